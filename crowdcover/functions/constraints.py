@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numbers import plain, to_double
+from .numbers import let, plain, to_double
 
 TYPE = "struct<lo:double,hi:double,vals:array<string>>"
 
@@ -51,8 +51,8 @@ PATTERNS = {
 
 def text(value: Column) -> Column:
     """The value without surrounding blanks; NULL when it says "unknown" or nothing."""
-    s = F.btrim(value.cast("string"), F.lit(BLANKS))
-    return F.when((s != "") & ~F.lower(s).isin(*UNKNOWN), s)
+    return let(F.btrim(value.cast("string"), F.lit(BLANKS)),
+               lambda s: F.when((s != "") & ~F.lower(s).isin(*UNKNOWN), s))
 
 
 def interval(lo: Column | float | None, hi: Column | float | None) -> Column:
@@ -77,45 +77,45 @@ def parse_numeric(value: Column, *, integer: bool = True, on_error: Column | Non
 
     An unreadable value (or a class whose bounds are the wrong way round) gives ``on_error``
     when that is given (see :func:`unreadable`), else NULL."""
-    s = text(value)
-    inner = F.btrim(F.substr(s, F.lit(2), F.length(s) - 2), F.lit(BLANKS))
-    s = F.when(s.rlike(r"^[\[(].+[\])]$"), inner).otherwise(s)
     unit = 1.0 if integer else 0.0
 
-    def group(name, i=1):
-        return to_double(F.regexp_extract(s, PATTERNS[name], i))
-
-    def is_(name):
-        return s.rlike(PATTERNS[name])
-
-    exact = F.when(s.rlike(EXACT), to_double(s))
-    decade = F.regexp_extract(s, PATTERNS["decade"], 1).try_cast("double") * 10
-    lo, hi = group("between", 1), group("between", 2)
-    parsed = (
-        F.when(exact.isNotNull(), interval(exact, exact))
-        .when(is_("between"), F.when(lo <= hi, interval(lo, hi)))
-        .when(is_("at_most"), interval(None, group("at_most")))
-        .when(is_("below"), interval(None, group("below") - unit))
-        .when(is_("at_least"), interval(group("at_least"), None))
-        .when(is_("above"), interval(group("above") + unit, None))
-        .when(is_("or_more"), interval(group("or_more"), None))
-        .when(is_("decade"), interval(decade, decade + 9)))
-    if on_error is not None:
-        parsed = F.coalesce(parsed, on_error)
-    return F.when(s.isNotNull(), parsed)
+    def read(s):
+        def is_(name):
+            return s.rlike(PATTERNS[name])
+
+        def group(name, i=1):
+            return to_double(F.regexp_extract(s, PATTERNS[name], i))
+
+        decade = F.regexp_extract(s, PATTERNS["decade"], 1).try_cast("double") * 10
+        parsed = (
+            F.when(s.rlike(EXACT), let(to_double(s), lambda x: interval(x, x)))
+            .when(is_("between"), F.when(group("between", 1) <= group("between", 2),
+                                         interval(group("between", 1), group("between", 2))))
+            .when(is_("at_most"), interval(None, group("at_most")))
+            .when(is_("below"), interval(None, group("below") - unit))
+            .when(is_("at_least"), interval(group("at_least"), None))
+            .when(is_("above"), interval(group("above") + unit, None))
+            .when(is_("or_more"), interval(group("or_more"), None))
+            .when(is_("decade"), interval(decade, decade + 9)))
+        return F.when(s.isNotNull(), parsed if on_error is None else F.coalesce(parsed, on_error))
+
+    def unwrapped(s):
+        inner = F.substr(s, F.lit(2), F.length(s) - 2)
+        return F.when(s.rlike(r"^[\[(].+[\])]$"), F.btrim(inner, F.lit(BLANKS))).otherwise(s)
+
+    return let(let(text(value), unwrapped), read)
 
 
 def parse_categorical(value: Column, *, normalise=None, on_error: Column | None = None) -> Column:
     """One text or several (``A|B``, ``A/B``, ``A of B``), each through ``normalise``; parts
     that cannot be normalised drop out, and nothing left means the wildcard."""
-    s = text(value)
-    parts = F.filter(F.split(s, SEPARATOR), lambda p: p != "")
-    if normalise is None:
-        empty = nothing() if on_error is None else on_error
-    else:
+    parts = F.filter(F.split(text(value), SEPARATOR), lambda p: p != "")
+    empty = nothing()
+    if normalise is not None:
         parts = F.filter(F.transform(parts, normalise), lambda p: p.isNotNull())
-        empty = nothing()
-    return F.when(s.isNotNull(), F.when(F.size(parts) > 0, one_of(parts)).otherwise(empty))
+    elif on_error is not None:
+        empty = on_error
+    return let(parts, lambda ps: F.when(F.size(ps) > 0, one_of(ps)).when(ps.isNotNull(), empty))
 
 
 def unreadable(record: Column, column: str, value: Column) -> Column:
@@ -127,14 +127,16 @@ def unreadable(record: Column, column: str, value: Column) -> Column:
 
 def render(c: Column) -> Column:
     """The canonical text of a constraint; empty for the wildcard."""
-    lo, hi = c["lo"], c["hi"]
-    numeric = (F.when(lo == hi, plain(lo))
-               .when(lo.isNull(), F.concat(F.lit("<="), plain(hi)))
-               .when(hi.isNull(), F.concat(F.lit(">="), plain(lo)))
-               .otherwise(F.concat(plain(lo), F.lit("-"), plain(hi))))
-    return (F.when(c.isNull(), "")
-            .when(c["vals"].isNotNull(), F.array_join(c["vals"], "|"))
-            .otherwise(numeric))
+    def shown(c):
+        ends = F.struct(plain(c["lo"]).alias("lo"), plain(c["hi"]).alias("hi"))
+        numeric = let(ends, lambda t: F.when(c["lo"] == c["hi"], t["lo"])
+                      .when(c["lo"].isNull(), F.concat(F.lit("<="), t["hi"]))
+                      .when(c["hi"].isNull(), F.concat(F.lit(">="), t["lo"]))
+                      .otherwise(F.concat(t["lo"], F.lit("-"), t["hi"])))
+        return F.when(c["vals"].isNotNull(), F.array_join(c["vals"], "|")).when(
+            c.isNotNull(), numeric)
+
+    return F.coalesce(let(c, shown), F.lit(""))
 
 
 def hull(c: Column) -> Column:
@@ -152,9 +154,9 @@ def widen(c: Column, tolerance: float) -> Column:
     """A numeric constraint when published values may be off by ``tolerance``."""
     if not tolerance:
         return c
-    return F.when(c["vals"].isNotNull(), c).when(
-        c.isNotNull(), interval(c["lo"] - F.lit(float(tolerance)),
-                                c["hi"] + F.lit(float(tolerance))))
+    t = F.lit(float(tolerance))
+    return let(c, lambda c: F.when(c["vals"].isNotNull(), c).when(
+        c.isNotNull(), interval(c["lo"] - t, c["hi"] + t)))
 
 
 def width(c: Column) -> Column:
@@ -231,8 +233,11 @@ class Reading:
     def apply(self, c: Column, *, integer: bool) -> Column:
         if self.exact:
             return c
+        return let(c, lambda c: F.when(c["vals"].isNotNull(), c).when(
+            c.isNotNull(), self._read(c["lo"], c["hi"], integer)))
+
+    def _read(self, lo: Column, hi: Column, integer: bool) -> Column:
         unit = 1.0 if integer else 0.0
-        lo, hi = c["lo"], c["hi"]
         if self.boundary and self.shared:
             inside = lo < hi
             marks = [float(v) for v in sorted(self.shared)]
@@ -248,7 +253,7 @@ class Reading:
                 lo, hi = lo - half, hi + half
         elif self.step:
             hi = hi + self.step - unit
-        return F.when(c["vals"].isNotNull(), c).when(c.isNotNull(), interval(lo, hi))
+        return interval(lo, hi)
 
 
 def satisfies(column: Column, c) -> Column:

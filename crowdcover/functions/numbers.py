@@ -7,6 +7,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once. Without it an expression that uses its input
+    many times doubles in size at every level, and so does the code generated for it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def to_double(c: Column) -> Column:
     """A number written with a point or a comma; NULL when it is not a number."""
     return F.replace(c.cast("string"), F.lit(","), F.lit(".")).try_cast("double")
@@ -33,16 +39,27 @@ def three_digits(c: Column) -> Column:
     return F.when(c == 0, 0.0).otherwise(F.rint(c * scale) / scale)
 
 
+def general(c: Column, digits: int = 6) -> Column:
+    """Text of a number with ``digits`` significant digits, without needless zeros; a power of
+    ten only for very small or large ones."""
+    def shown(parts):
+        text, v = parts["text"], parts["v"]
+        size = F.regexp_extract(text, r"e([+-]\d+)$", 1).try_cast("int")   # after rounding
+        out = F.when(v == 0, "0")
+        for e in range(-4, digits):
+            out = out.when(size == e, F.format_string(f"%.{digits - 1 - e}f", v))
+        return F.regexp_replace(F.regexp_replace(out.otherwise(text),
+                                                 r"(\.\d*?)0+(?=$|e)", "$1"), r"\.(?=$|e)", "")
+
+    shape = F.format_string(f"%.{digits - 1}e", c)
+    return F.when(c.isNotNull(), let(F.struct(shape.alias("text"), c.alias("v")), shown))
+
+
 def plain(c: Column) -> Column:
     """Text of a number: whole numbers without decimals, others with six significant digits."""
-    size = F.floor(F.log10(F.abs(c)))
-    text = F.format_string("%.5e", c)
-    for e in range(-4, 6):
-        text = F.when(size == e, F.format_string(f"%.{5 - e}f", c)).otherwise(text)
-    mantissa = F.regexp_replace(text, r"(\.\d*?)0+(?=$|e)", "$1")
-    short = F.regexp_replace(mantissa, r"\.(?=$|e)", "")
-    whole = (c == F.floor(c)) & (F.abs(c) < 9.0e18)
-    return F.when(c.isNull(), "").when(whole, c.cast("bigint").cast("string")).otherwise(short)
+    return F.coalesce(let(c, lambda v: F.when(
+        (v == F.floor(v)) & (F.abs(v) < 9.0e18), v.cast("bigint").cast("string"))
+        .otherwise(general(v))), F.lit(""))
 
 
 def uniform(*parts: Column | str | int) -> Column:

@@ -8,11 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _kept: list[DataFrame] = []
+_own_dirs: dict[str, str] = {}
 
 
-def local_session(cores: int | str = 8, name: str = "crowdcover") -> SparkSession:
+def local_session(cores: int | str = 8, name: str = "crowdcover", **settings) -> SparkSession:
     """A single-machine session for tests and the bench."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -23,8 +24,10 @@ def local_session(cores: int | str = 8, name: str = "crowdcover") -> SparkSessio
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for key, value in settings.items():
+        builder = builder.config(key, value)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -36,9 +39,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return found
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="crowdcover-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    return _own_dirs.setdefault(app, tempfile.mkdtemp(prefix="crowdcover-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
