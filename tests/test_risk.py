@@ -125,7 +125,7 @@ def brute(constraint_rows, rows, unknown_matches):
 def test_against_brute_force(spark, monkeypatch, strategy, limit, unknown_matches):
     """Both join strategies, with interval codes as constants and by distributed ranks."""
     rnd = random.Random(3)
-    rows = [(rnd.choice([None, *range(1900, 2000)]), rnd.choice([None, *range(40, 200)]),
+    rows = [(rnd.choice([None, *range(1900, 2000)]), rnd.choice([None, *map(float, range(40, 200))]),
              rnd.choice([None, "A", "B", "C"]), rnd.choice(["X", "Y"])) for _ in range(800)]
 
     def number(lo, hi):
