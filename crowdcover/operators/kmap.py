@@ -52,10 +52,6 @@ class _Marks:
     lows: list
     highs: list
 
-    @property
-    def top(self) -> int:
-        return len(self.lows) + len(self.highs)
-
     def code(self, x: Column) -> Column:
         """Number of the elementary interval of ``x``: bounds at or below it, upper ones below."""
         return count_le(self.lows, x) + count_lt(self.highs, x)
@@ -78,7 +74,7 @@ def count(classes: DataFrame, population: DataFrame, slots: Sequence[Slot], *, k
             "n", F.lit(0).cast("bigint"))
     marks, values = _lists(classes, slots, facts)
     cube = _cube(population, slots, by, facts, marks, values, unknown_matches)
-    rules, cube = _codes(classes, cube, slots, by, marks)
+    rules, cube = _codes(classes, cube, slots, by, marks, facts)
     rolled = _rolled(cube, slots, by, facts["patterns"])
     wanted = _wanted(rules, slots, key, unknown_matches)
 
@@ -89,8 +85,9 @@ def count(classes: DataFrame, population: DataFrame, slots: Sequence[Slot], *, k
         strategy = "direct" if not numeric or (small and per_key <= PER_KEY) else "blocks"
     if strategy == "blocks" and numeric:
         cut = numeric[:BLOCK_DIMS]
-        rolled = _with_blocks(rolled, cut, slots, by)
-        wanted = _in_blocks(wanted, cut, unknown_matches)
+        levels = {i: _top(facts, i).bit_length() for i in cut}
+        rolled = _with_blocks(rolled, cut, slots, by, levels)
+        wanted = _in_blocks(wanted, cut, unknown_matches, levels)
     else:
         cut = []
         if facts["exploded"] <= BROADCAST_ROWS:
@@ -133,6 +130,12 @@ def _facts(classes: DataFrame, slots) -> dict:
     return classes.agg(*aggs).first().asDict()
 
 
+def _top(facts: dict, i: int) -> int:
+    """No interval code of the attribute is higher. The numbers of bounds are estimates (within
+    a few per cent), so twice their sum is surely enough."""
+    return 2 * (facts[f"nlo{i}"] + facts[f"nhi{i}"]) + 2
+
+
 def _lists(classes: DataFrame, slots, facts) -> tuple[dict, dict]:
     """The bounds and allowed values of the attributes that have few enough of them."""
     few = {}
@@ -182,7 +185,7 @@ def _cube(population, slots, by, facts, marks, values, unknown_matches) -> DataF
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def _codes(classes, cube, slots, by, marks) -> tuple[DataFrame, DataFrame]:
+def _codes(classes, cube, slots, by, marks, facts) -> tuple[DataFrame, DataFrame]:
     """Class ranges as ranges of codes. Attributes with too many bounds for a constant get
     their codes from a distributed running count over all values and bounds."""
     rules = classes
@@ -191,7 +194,7 @@ def _codes(classes, cube, slots, by, marks) -> tuple[DataFrame, DataFrame]:
             continue
         lo, hi = F.col(s.name)["lo"], F.col(s.name)["hi"]
         if i in marks:
-            first, last, top = marks[i].code(lo), marks[i].code(hi), F.lit(marks[i].top)
+            first, last = marks[i].code(lo), marks[i].code(hi)
         else:
             codes = _rank_codes(classes, cube, s, f"q{i}")
             as_ = [F.col("_x").alias(f"_x{i}"), F.col("_code").alias(f"_c{i}")]
@@ -201,7 +204,6 @@ def _codes(classes, cube, slots, by, marks) -> tuple[DataFrame, DataFrame]:
                      .join(codes.select(F.col("_x").alias(f"_h{i}"),
                                         F.col("_code").alias(f"_hc{i}")), f"_h{i}", "left"))
             first, last = F.col(f"_lc{i}"), F.col(f"_hc{i}")
-            top = F.lit((1 << 31) - 2)
             cube = cube.join(codes.select(*as_), F.col(f"q{i}") == F.col(f"_x{i}"), "left")
             cube = (cube.groupBy(*by, *[f"_c{i}" if j == i else f"q{j}"
                                         for j in range(len(slots))], "_possible")
@@ -209,7 +211,7 @@ def _codes(classes, cube, slots, by, marks) -> tuple[DataFrame, DataFrame]:
         rules = (rules.withColumn(f"from{i}", F.when(F.col(s.name).isNull(), ANY_CODE)
                                   .otherwise(F.coalesce(first, F.lit(0))).cast("int"))
                  .withColumn(f"to{i}", F.when(F.col(s.name).isNull(), ANY_CODE)
-                             .otherwise(F.coalesce(last, top)).cast("int")))
+                             .otherwise(F.coalesce(last, F.lit(_top(facts, i)))).cast("int")))
     return rules, cube
 
 
@@ -261,15 +263,14 @@ def _wanted(rules, slots, key, unknown_matches) -> DataFrame:
     return out.select(key, "_pattern", *cols)
 
 
-LEVELS = 31
 _LEVEL = 1 << 40           # a block is level * 2^40 + number; negative codes stand for themselves
 
 
-def _with_blocks(rolled, cut, slots, by) -> DataFrame:
+def _with_blocks(rolled, cut, slots, by, levels) -> DataFrame:
     out = rolled
     for i in cut:
         k = F.col(f"k{i}").cast("bigint")
-        blocks = _ancestors(k)
+        blocks = _ancestors(k, levels[i])
         out = out.withColumn(f"b{i}", F.explode(
             F.when(k < 0, F.array(k)).otherwise(blocks))).drop(f"k{i}")
     keys = ["_pattern", *by, *[f"b{i}" for i in cut],
@@ -277,18 +278,18 @@ def _with_blocks(rolled, cut, slots, by) -> DataFrame:
     return out.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 
-def _ancestors(code: Column) -> Column:
+def _ancestors(code: Column, levels: int) -> Column:
     """The aligned blocks that hold ``code``, one per level."""
-    return F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda lv: F.lit(_LEVEL) * lv
+    return F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda lv: F.lit(_LEVEL) * lv
                        + F.floor(code / F.pow(F.lit(2.0), lv)))
 
 
-def _in_blocks(wanted, cut, unknown_matches) -> DataFrame:
+def _in_blocks(wanted, cut, unknown_matches, levels) -> DataFrame:
     """Each range of codes as the aligned blocks that make it up exactly."""
     out = wanted
     for i in cut:
         lo, end = F.col(f"from{i}").cast("bigint"), F.col(f"to{i}").cast("bigint") + 1
-        blocks = _blocks(lo, end)
+        blocks = _blocks(lo, end, levels[i])
         if unknown_matches:
             blocks = F.array_append(blocks, F.lit(UNKNOWN_CODE).cast("bigint"))
         out = out.withColumn(f"b{i}", F.explode(
@@ -296,7 +297,7 @@ def _in_blocks(wanted, cut, unknown_matches) -> DataFrame:
     return out
 
 
-def _blocks(lo: Column, end: Column) -> Column:
+def _blocks(lo: Column, end: Column, levels: int) -> Column:
     """Aligned blocks covering ``[lo, end)``: at every level at most one at either end."""
     def at(lv):
         size = F.pow(F.lit(2.0), lv)
@@ -308,4 +309,4 @@ def _blocks(lo: Column, end: Column) -> Column:
         return F.filter(F.array(F.when(odd_left, base + left),
                                 F.when(odd_right, base + right - 1)), lambda b: b.isNotNull())
 
-    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at))
