@@ -87,17 +87,17 @@ def class_key(names: Sequence[str]) -> Column:
 
 def score(frame: DataFrame, slots: Sequence[kmap.Slot], estimated: Sequence[str],
           population: Population, threshold: Threshold = Threshold(), *, record: str,
-          variant: str | None = None, unknown_matches: bool = False,
+          variant: str | None = None, weight: str | None = None, unknown_matches: bool = False,
           strategy: str | None = None) -> DataFrame:
     """Risk per record of ``frame``, which holds a constraint column per slot and per estimated
     attribute. With a ``variant`` column every variant is a dataset of its own; classes that
-    occur in several variants are counted once."""
+    occur in several variants are counted once. ``weight``: a row stands for that many records."""
     names = [s.name for s in slots]
     population.require(*[s.column for s in slots])
     by = [variant] if variant else []
     keyed = frame.withColumn("_key", class_key(names))
     groups = keyed.groupBy(*by, "_key").agg(
-        F.count(F.lit(1)).alias("f_dataset"), F.min(record).alias("klasse"),
+        F.sum(weight or F.lit(1)).cast("bigint").alias("f_dataset"), F.min(record).alias("klasse"),
         *[F.any_value(n).alias(n) for n in names])
     groups = keep(groups)
     classes = groups.select("_key", *names).dropDuplicates(["_key"]) if variant else groups
@@ -108,19 +108,21 @@ def score(frame: DataFrame, slots: Sequence[kmap.Slot], estimated: Sequence[str]
     out = keyed.join(groups, [*by, "_key"])
     share = F.lit(1.0)
     for i, e in enumerate(estimated):
-        out = _with_share(out, keyed, by, e, f"_share{i}")
+        out = _with_share(out, keyed, by, e, f"_share{i}", weight)
         share = share * F.col(f"_share{i}")
     out = out.withColumn("k", F.col("k_populatie") * share)
     return _judged(out, threshold, bool(estimated)).drop(
         "_key", *[f"_share{i}" for i in range(len(estimated))])
 
 
-def _with_share(out: DataFrame, keyed: DataFrame, by: list[str], name: str, alias: str):
+def _with_share(out: DataFrame, keyed: DataFrame, by: list[str], name: str, alias: str,
+                weight: str | None) -> DataFrame:
     """The estimated share: how often the value occurs among the known values of the dataset.
     An unknown value reveals nothing (share 1)."""
     text = con.render(F.col(name))
-    freq = (keyed.select(*by, text.alias("_text")).where(F.col("_text") != "")
-            .groupBy(*by, "_text").agg(F.count(F.lit(1)).alias("_n")))
+    one = F.col(weight) if weight else F.lit(1)
+    freq = (keyed.select(*by, text.alias("_text"), one.alias("_w")).where(F.col("_text") != "")
+            .groupBy(*by, "_text").agg(F.sum("_w").alias("_n")))
     freq = freq.withColumn("_all", F.lit(0))
     totals = freq.groupBy("_all", *by).agg(F.sum("_n").alias("_total"))
     freq = freq.join(totals, ["_all", *by]).select(
@@ -177,6 +179,38 @@ def assess(df: DataFrame, qids: Sequence[Qid], population: Population,
                  ).drop(*[f"c{i}" for i in range(len(known))])
 
 
+def score_variants(variants: Sequence[tuple[str, DataFrame, Sequence[Qid]]],
+                   population: Population, threshold: Threshold = Threshold(),
+                   scenario: Knowledge = Knowledge.INSIDER, *, record: str = "record_id",
+                   variant: str = "variant", keep_columns: Sequence[str] = (),
+                   weight: str | None = None, unknown_matches: bool = False) -> DataFrame:
+    """Several datasets (variants of one, or one under several attackers) as one job, so that the
+    population is read and reduced once. An attribute that a variant does not use is a wildcard
+    in it; one that means another population column in a variant is an attribute of its own."""
+    slots: dict[tuple, kmap.Slot] = {}
+    out = None
+    for name, df, qids in variants:
+        known = active(qids, scenario)
+        frame = constraints(df, known, record)
+        cols = [F.lit(name).alias(variant), F.col(record), *[F.col(c) for c in keep_columns]]
+        cols += [F.col(weight)] if weight else []
+        used: set[tuple] = set()
+        for i, q in enumerate(known):
+            key = (q.spec.population_column, q.numeric) if q.counted else (q.column, None)
+            while key in used:      # two columns on one population column: a slot for each
+                key = (*key, "again")
+            used.add(key)
+            slots.setdefault(key, kmap.Slot(f"s{len(slots)}", key[0], bool(key[1])))
+            cols.append(F.col(f"c{i}").alias(slots[key].name))
+        frame = frame.select(*cols)
+        out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
+    counted = [s for key, s in slots.items() if key[1] is not None]
+    estimated = [s.name for key, s in slots.items() if key[1] is None]
+    return score(out, counted, estimated, population, threshold, record=record, variant=variant,
+                 weight=weight, unknown_matches=unknown_matches).drop(
+                     *[s.name for s in slots.values()])
+
+
 def delta_signal() -> Column:
     """Half or more of the look-alikes take part (never for a record without match)."""
     return (F.col("status") != NO_MATCH) & (F.col("delta") >= DELTA_SIGNAL)

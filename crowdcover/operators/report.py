@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..catalogue import Knowledge, Qid
 from . import kmap
 from .assess import (AT_RISK, NO_MATCH, OK, RESULT, Threshold, active, class_key, constraints,
-                     score, slots_of)
+                     score_variants, slots_of)
 from .ordering import median
 from .population import Population
 
@@ -101,27 +101,9 @@ def compare_scenarios(df: DataFrame, scenarios: Mapping[str, tuple[Sequence[Qid]
                       record: str = "record_id", unknown_matches: bool = False) -> DataFrame:
     """The same dataset under several attackers or variants, as one job: the risk of every record
     per ``scenario``. What a scenario does not use is a wildcard in it."""
-    slots: dict[tuple, kmap.Slot] = {}
-    frames = []
-    for name, (qids, level) in scenarios.items():
-        known = active(qids, level)
-        frame = constraints(df, known, record)
-        cols = {}
-        for i, q in enumerate(known):
-            key = (q.spec.population_column, q.numeric) if q.counted else (q.column, None)
-            alias = f"s_{len(slots)}" if key not in slots else slots[key].name
-            slots.setdefault(key, kmap.Slot(alias, key[0], bool(key[1])))
-            cols[alias] = F.col(f"c{i}")
-        frames.append((name, frame.select(record, *[c.alias(a) for a, c in cols.items()])
-                       .withColumn("scenario", F.lit(name))))
-    out = frames[0][1]
-    for _, f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    counted = [s for key, s in slots.items() if key[1] is not None]
-    estimated = [s.name for key, s in slots.items() if key[1] is None]
-    return score(out, counted, estimated, population, threshold, record=record,
-                 variant="scenario", unknown_matches=unknown_matches).drop(
-                     *[s.name for s in slots.values()])
+    variants = [(name, df, active(qids, level)) for name, (qids, level) in scenarios.items()]
+    return score_variants(variants, population, threshold, record=record, variant="scenario",
+                          unknown_matches=unknown_matches)
 
 
 def zone_counts(df: DataFrame, qids: Sequence[Qid], population: Population, zone: str, *,
