@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_le, uniform
@@ -199,11 +199,9 @@ def category_counts(df: DataFrame, population: Population, features: Sequence[Fe
 
 
 def compare_categories(df: DataFrame, population: Population, features: Sequence[Feature], *,
-                       draws: int = 1000, seed: int = 0) -> DataFrame:
+                       record: str = "record_id", draws: int = 1000, seed: int = 0) -> DataFrame:
     """TVD of dataset and population per categorical feature, a verdict, and ``toeval``: the share
-    of random samples of the same size from the population that differ at least as much.
-
-    A draw of n records is n uniform numbers against the cumulative shares of the categories."""
+    of random samples of the same size from the population that differ at least as much."""
     counts = keep(category_counts(df, population, features))
     total = counts.groupBy("kenmerk").agg(F.sum("pop").alias("tp"), F.sum("ds").alias("n"))
     j = counts.join(total, "kenmerk")
@@ -212,7 +210,8 @@ def compare_categories(df: DataFrame, population: Population, features: Sequence
         F.col("ds") / F.greatest(F.col("n"), F.lit(1)) - p)) * 0.5).alias("waarde"))
     out = tvd
     if draws:
-        chance = _category_chance(counts, draws, seed).join(tvd, "kenmerk").groupBy("kenmerk").agg(
+        sampled = category_chance(counts, _records(df, features, record), draws, seed)
+        chance = sampled.join(tvd, "kenmerk").groupBy("kenmerk").agg(
             F.avg((F.col("tvd") >= F.col("waarde") - 1e-12).cast("double")).alias("toeval"))
         out = tvd.join(chance, "kenmerk", "left")
     else:
@@ -222,47 +221,54 @@ def compare_categories(df: DataFrame, population: Population, features: Sequence
                       F.round("toeval", 3).alias("toeval"))
 
 
-def draw_categories(counts: DataFrame, draws: int, seed: int) -> DataFrame:
-    """Random samples from the population shares: how often each category comes up per draw.
+def draw_categories(counts: DataFrame, records: DataFrame, draws: int, seed: int) -> DataFrame:
+    """Random samples from the population shares, one number per record (a row of ``records``:
+    ``kenmerk``, ``_rid``) and draw: how often each category comes up per draw.
 
-    The categories are laid end to end on [0, 1); a uniform number falls in one of them. The
-    numbers are matched through 1024 equal slots of [0, 1): a category lists the slots it
-    touches, so the join is on the slot, and a filter settles the ends."""
-    order = Window.partitionBy("kenmerk").orderBy("klasse").rowsBetween(
-        Window.unboundedPreceding, 0)
-    total = counts.groupBy("kenmerk").agg(F.sum("pop").alias("tp"), F.sum("ds").alias("n"))
-    shares = counts.where("pop > 0").join(total.select("kenmerk", "tp"), "kenmerk").withColumn(
-        "cum", F.sum("pop").over(order))
-    ends = shares.select("kenmerk", "klasse", ((F.col("cum") - F.col("pop")) / F.col("tp"))
-                         .alias("a"), (F.col("cum") / F.col("tp")).alias("b"))
+    The categories are laid end to end on [0, 1), in the order of a hash of their name; a uniform
+    number falls in one of them. Numbers and categories meet in 1024 equal slots of [0, 1): a
+    category lists the slots it touches, so the join is on the slot and a filter settles the ends."""
+    total = counts.groupBy("kenmerk").agg(F.sum("pop").alias("tp"))
+    name_order = F.conv(F.substring(F.md5("klasse"), 1, 13), 16, 10).cast("double")
+    laid = running_totals(counts.where("pop > 0").withColumn("_ord", name_order), "_ord",
+                          {"cum": F.col("pop")}, by=["kenmerk"]).join(total, "kenmerk")
+    ends = laid.select("kenmerk", "klasse", ((F.col("cum") - F.col("pop")) / F.col("tp"))
+                       .alias("a"), (F.col("cum") / F.col("tp")).alias("b"))
     slots = ends.withColumn("slot", F.explode(F.sequence(
         F.floor(F.col("a") * 1024).cast("int"),
         F.least(F.floor(F.col("b") * 1024).cast("int"), F.lit(1023)))))
-    picks = (total.where("n > 0").select("kenmerk", "n", F.explode(
+    picks = records.select("kenmerk", "_rid", F.explode(
         F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-        .select("kenmerk", "draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n")))
-                .alias("i")))
-    picks = picks.withColumn("u", uniform(seed, F.col("kenmerk"), F.col("draw"), F.col("i")))
+    picks = picks.withColumn("u", uniform(seed, F.col("kenmerk"), F.col("draw"), F.col("_rid")))
     picks = picks.withColumn("slot", F.floor(F.col("u") * 1024).cast("int"))
     hit = (F.col("u") >= F.col("a")) & (F.col("u") < F.col("b"))
     return (picks.join(slots, ["kenmerk", "slot"]).where(hit)
             .groupBy("kenmerk", "draw", "klasse").agg(F.count(F.lit(1)).alias("c")))
 
 
-def _category_chance(counts: DataFrame, draws: int, seed: int) -> DataFrame:
+def category_chance(counts: DataFrame, records: DataFrame, draws: int, seed: int) -> DataFrame:
+    """TVD of every random sample: ``(kenmerk, draw, tvd)``."""
     total = counts.groupBy("kenmerk").agg(F.sum("pop").alias("tp"), F.sum("ds").alias("n"))
     p = counts.join(total, "kenmerk").where("n > 0").select(
         "kenmerk", "klasse", "n", (F.col("pop") / F.greatest(F.col("tp"), F.lit(1))).alias("p"))
     every = p.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    drawn = draw_categories(counts, draws, seed)
+    drawn = draw_categories(counts, records, draws, seed)
     j = every.join(drawn, ["kenmerk", "draw", "klasse"], "left").fillna(0, ["c"])
     return j.groupBy("kenmerk", "draw").agg(
         (F.sum(F.abs(F.col("c") / F.col("n") - F.col("p"))) * 0.5).alias("tvd"))
 
 
-def chance_percentile(counts: DataFrame, draws: int, seed: int, q: float = 0.95) -> DataFrame:
-    """Per feature the q-quantile of the TVD of random samples."""
-    tvd = _category_chance(counts, draws, seed)
+def _records(df: DataFrame, features: Sequence[Feature], record: str) -> DataFrame:
+    return df.select(F.explode(F.lit([f.column for f in features])).alias("kenmerk"),
+                     F.col(record).alias("_rid"))
+
+
+def chance_percentile(df: DataFrame, population: Population, features: Sequence[Feature], *,
+                      record: str = "record_id", draws: int = 1000, seed: int = 0,
+                      q: float = 0.95) -> DataFrame:
+    """Per feature the q-quantile of the TVD of random samples of the dataset's size."""
+    counts = keep(category_counts(df, population, features))
+    tvd = category_chance(counts, _records(df, features, record), draws, seed)
     return quantiles(tvd, "tvd", [q], by=["kenmerk"]).drop("p").withColumnRenamed(
         "q", "tvd_toeval")
 
@@ -280,20 +286,23 @@ def _grid(n: int) -> list[float]:
     return [(i + 0.5) / n for i in range(n)]
 
 
-def _number_cells(df: DataFrame, columns: Sequence[tuple[str, str]]) -> DataFrame:
-    return df.select(F.explode(F.array(*[
+def _number_cells(df: DataFrame, columns: Sequence[tuple[str, str]], record: str | None = None
+                  ) -> DataFrame:
+    rid = [F.col(record).alias("_rid")] if record else []
+    return df.select(*rid, F.explode(F.array(*[
         F.struct(F.lit(name).alias("kenmerk"), F.col(c).cast("string").try_cast("double").alias("x"))
-        for name, c in columns])).alias("v")).select("v.*")
+        for name, c in columns])).alias("v")).select(*(["_rid"] if record else []), "v.*")
 
 
 def compare_numbers(df: DataFrame, population: Population, features: Sequence[Feature], *,
-                    draws: int = 1000, seed: int = 0, n_quantiles: int = QUANTILES) -> DataFrame:
+                    record: str = "record_id", draws: int = 1000, seed: int = 0,
+                    n_quantiles: int = QUANTILES) -> DataFrame:
     """SMD and Wasserstein distance (in population standard deviations) per numeric feature, and
     the share of random samples from the population whose mean is off at least as much."""
     cols = [f.column for f in features]
     moments, pop_q = population_numbers(population, cols, n_quantiles)
     moments, pop_q = keep(moments), keep(pop_q)
-    cells = keep(_number_cells(df, [(f.column, f.source or f.column) for f in features]))
+    cells = keep(_number_cells(df, [(f.column, f.source or f.column) for f in features], record))
     mine = cells.groupBy("kenmerk").agg(F.count("x").alias("dn"), F.avg("x").alias("dmu"))
     ds_q = quantiles(cells, "x", _grid(n_quantiles), by=["kenmerk"])
     wass = pop_q.alias("a").join(ds_q.alias("b"), ["kenmerk", "p"]).groupBy("kenmerk").agg(
@@ -303,7 +312,7 @@ def compare_numbers(df: DataFrame, population: Population, features: Sequence[Fe
     row = row.withColumn("smd", F.when(usable, (F.col("dmu") - F.col("mu")) / F.col("sd")))
     row = row.withColumn("wasserstein", F.when(usable, F.col("w") / F.col("sd")))
     if draws:
-        sampled = _sampled_means(row.select("kenmerk", "dn"), pop_q, draws, seed, n_quantiles)
+        sampled = _sampled_means(cells.where("x is not null"), pop_q, draws, seed, n_quantiles)
         chance = sampled.join(row.select("kenmerk", "mu", "sd", "smd"), "kenmerk").groupBy(
             "kenmerk").agg(F.avg((F.abs((F.col("m") - F.col("mu")) / F.col("sd"))
                                   >= F.abs("smd") - 1e-12).cast("double")).alias("toeval"))
@@ -317,28 +326,28 @@ def compare_numbers(df: DataFrame, population: Population, features: Sequence[Fe
                       .alias("oordeel"), F.round("toeval", 3).alias("toeval"))
 
 
-def _sampled_means(sizes: DataFrame, pop_q: DataFrame, draws: int, seed: int, n: int) -> DataFrame:
-    """Means of random samples: uniform numbers through the inverse of the population's
-    distribution, linear between its quantiles and flat beyond the outermost."""
+def _sampled_means(cells: DataFrame, pop_q: DataFrame, draws: int, seed: int, n: int) -> DataFrame:
+    """Means of random samples, one number per known value of the dataset and draw: uniform
+    numbers through the inverse of the population's distribution, linear between its quantiles
+    and flat beyond the outermost."""
     at = F.rint(F.col("p") * n - 0.5).cast("int")
     inverse = pop_q.select("kenmerk", at.alias("i"), "q")
     nxt = inverse.select("kenmerk", (F.col("i") - 1).alias("i"), F.col("q").alias("q2"))
-    table = inverse.join(nxt, ["kenmerk", "i"], "left")
     low = inverse.where("i = 0").select("kenmerk", F.lit(-1).alias("i"), "q", F.col("q").alias("q2"))
-    table = table.unionByName(low)
-    picks = sizes.where("dn > 0").select("kenmerk", "dn", F.explode(
-        F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(
-            "kenmerk", "draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("dn")))
-            .alias("nr"))
-    pos = uniform(seed, F.col("kenmerk"), F.col("draw"), F.col("nr")) * n - 0.5
+    table = inverse.join(nxt, ["kenmerk", "i"], "left").unionByName(low)
+    picks = cells.select("kenmerk", "_rid", F.explode(
+        F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    pos = uniform(seed, F.col("kenmerk"), F.col("draw"), F.col("_rid")) * n - 0.5
     picks = picks.withColumn("pos", pos).withColumn("i", F.floor("pos").cast("int"))
     x = F.col("q") + (F.coalesce("q2", "q") - F.col("q")) * (F.col("pos") - F.col("i"))
-    return picks.join(table, ["kenmerk", "i"]).groupBy("kenmerk", "draw").agg(F.avg(x).alias("m"))
+    # the table has n + 1 rows per feature: safe to broadcast
+    return picks.join(F.broadcast(table), ["kenmerk", "i"]).groupBy("kenmerk", "draw").agg(
+        F.avg(x).alias("m"))
 
 
 def compare_linked(linked: DataFrame, population: Population,
-                   features: Sequence[Feature] = STANDARD, *, k: int = 11, draws: int = 1000,
-                   seed: int = 0, prefix: str = "register_") -> tuple[DataFrame, DataFrame]:
+                   features: Sequence[Feature] = STANDARD, *, record: str = "record_id",
+                   k: int = 11, draws: int = 1000, seed: int = 0, prefix: str = "register_") -> tuple[DataFrame, DataFrame]:
     """The register values of the linked records against the population, on the features the
     population has: the comparison per feature, and the class table."""
     data = linked.where(F.col(f"{prefix}gekoppeld__bool"))
@@ -350,9 +359,11 @@ def compare_linked(linked: DataFrame, population: Population,
     cat = [f for f in have if not (f.edges or f.numeric)]
     parts = []
     if num:
-        parts.append(compare_numbers(data, population, num, draws=draws, seed=seed))
+        parts.append(compare_numbers(data, population, num, record=record, draws=draws,
+                                     seed=seed))
     if cat:
-        parts.append(compare_categories(data, population, cat, draws=draws, seed=seed))
+        parts.append(compare_categories(data, population, cat, record=record, draws=draws,
+                                        seed=seed))
     table = parts[0]
     for p in parts[1:]:
         table = table.unionByName(p, allowMissingColumns=True)
