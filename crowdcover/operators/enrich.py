@@ -59,9 +59,10 @@ def type_from_shape(dwellings_in_building: Column, neighbours: Column, block: Co
 
 def type_from_neighbours(neighbours: Column, block: Column) -> Column:
     """No neighbour: detached; a block of two: semi-detached; the end of a longer row: corner."""
-    return (F.when(neighbours == 0, "vrijstaand").when(block == 2, "twee_onder_een_kap")
-            .when((neighbours == 1) & block.isNotNull(), "hoekwoning")
-            .when((neighbours >= 2) & block.isNotNull(), "tussenwoning"))
+    attached = (F.when(block == 2, "twee_onder_een_kap").when(neighbours == 1, "hoekwoning")
+                .when(neighbours >= 2, "tussenwoning"))
+    return F.when(neighbours == 0, "vrijstaand").when(
+        neighbours.isNotNull() & block.isNotNull(), attached)
 
 
 def with_registered(rows: DataFrame, labels: DataFrame, key: str, registered: str,

@@ -47,8 +47,10 @@ def link(df: DataFrame, population: Population, *, record: str = "record_id",
     else:
         raise ValueError("give vbo_id, or postcode and huisnummer")
     keys = [f"_k{i}" for i in range(len(left))]
+    wanted = df.select(*[c.alias(k) for k, c in zip(keys, left)]).distinct()
     unique = (rows.select(*[c.alias(k) for k, c in zip(keys, right)],
                           *[F.col(c).alias(prefix + c) for c in have])
+              .join(wanted, keys, "left_semi")      # only the keys the records ask for
               .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(
                   *[prefix + c for c in have])).alias("_row"))
               .where("_n = 1"))
