@@ -126,10 +126,12 @@ def unreadable(record: Column, column: str, value: Column) -> Column:
 
 
 def render(c: Column) -> Column:
-    """The canonical text of a constraint; empty for the wildcard."""
+    """The canonical text of a constraint; empty for the wildcard and for an interval that is
+    open at both ends, which tells no more."""
     def shown(c):
         ends = F.struct(plain(c["lo"]).alias("lo"), plain(c["hi"]).alias("hi"))
         numeric = let(ends, lambda t: F.when(c["lo"] == c["hi"], t["lo"])
+                      .when(c["lo"].isNull() & c["hi"].isNull(), "")
                       .when(c["lo"].isNull(), F.concat(F.lit("<="), t["hi"]))
                       .when(c["hi"].isNull(), F.concat(F.lit(">="), t["lo"]))
                       .otherwise(F.concat(t["lo"], F.lit("-"), t["hi"])))

@@ -18,7 +18,8 @@ from ..functions import constraints as con
 from ..functions.cleaning import ENERGY_LABELS
 from ..functions.numbers import count_le, let, uniform
 from ..session import cut
-from .assess import AT_RISK, NO_MATCH, OK, Threshold, active, constraints, score_variants
+from . import kmap
+from .assess import AT_RISK, NO_MATCH, OK, Threshold, active, constraints, score
 from .ordering import median
 from .population import Population
 
@@ -279,47 +280,86 @@ def information_loss(df: DataFrame, qids: Sequence[Qid], original: DataFrame | N
                     ).alias("informatieverlies"))
 
 
+@dataclass(frozen=True)
+class _Cell:
+    """One attribute in one variant: the columns with its text and its constraint, and how it is
+    read."""
+
+    text: str
+    constraint: str
+    qid: Qid
+
+
 @dataclass
 class _Run:
     """One dataset to be generalised, reduced to its distinct combinations of values: records
-    that agree on every attribute share their fate in every variant."""
+    that agree on every attribute share their fate in every variant. Every variant is a choice of
+    columns of one table, in which a rewritten attribute is read once."""
 
     rows: DataFrame
+    state: list[_Cell]
     qids: list[Qid]
     population: Population
     threshold: Threshold
-    scenario: Knowledge
     unknown_matches: bool
     domains: dict
+    made: int = 0
 
     @classmethod
-    def start(cls, df, qids, population, threshold, scenario, record, unknown_matches):
+    def start(cls, df, qids, population, threshold, scenario, record, unknown_matches, *,
+              per_record=False):
         known = active(qids, scenario)
-        spans = domains(df, known, record)
-        rows = df.groupBy(*dict.fromkeys(q.column for q in known)).agg(
-            F.min(record).alias("_rid"), F.count(F.lit(1)).alias("_w"))
-        rows = constraints(rows, known, "_rid")
-        rows = rows.select("_rid", "_w", *dict.fromkeys(q.column for q in known), *[
-            F.col(f"c{i}").alias(f"_ref{i}") for i in range(len(known))])
-        return cls(cut(rows), known, population, threshold, scenario, unknown_matches, spans)
-
-    def evaluate(self, variants) -> dict[str, dict]:
-        """Counts, median k, loss and mean log k of every ``(name, rows, qids)``, in one job."""
-        scored, losses = [], None
-        for name, rows, qids in variants:
-            frame = constraints(rows, qids, "_rid")
-            cells = []
-            for i, (q, r) in enumerate(zip(qids, self.qids)):
-                now = cell_loss(F.col(f"c{i}"), q, r, self.domains[q.column])
-                was = cell_loss(F.col(f"_ref{i}"), r, q, self.domains[q.column])
-                cells.append(relative_loss(now, was))
+        columns = list(dict.fromkeys(q.column for q in known))
+        if per_record:
+            rows = df.select(F.col(record).alias("_rid"), F.lit(1).cast("bigint").alias("_w"), *columns)
+        else:
+            rows = df.groupBy(*columns).agg(F.min(record).alias("_rid"),
+                                            F.count(F.lit(1)).alias("_w"))
+        rows = constraints(rows, known, "_rid", names=[f"_ref{i}" for i in range(len(known))])
+        state = [_Cell(q.column, f"_ref{i}", q) for i, q in enumerate(known)]
+        return cls(rows, state, known, population, threshold, unknown_matches,
+                   domains(df, known, record))
+
+    def rewrite(self, action: Action, state: list[_Cell]) -> list[_Cell]:
+        """The state after an action; its new text and constraint become columns of the table."""
+        i = next(i for i, cell in enumerate(state) if self.qids[i].column == action.column)
+        cell = state[i]
+        text, read = f"_text{self.made}", f"_cons{self.made}"
+        self.made += 1
+        rows = self.rows.withColumn(text, F.col(cell.text))
+        rows, (after,) = replace(action, column=text).apply(
+            rows, [replace(cell.qid, column=text)], self.population, record="_rid")
+        self.rows = constraints(rows, [after], "_rid", names=[read])
+        new = _Cell(text, read, replace(after, column=self.qids[i].column))
+        return [new if j == i else c for j, c in enumerate(state)]
+
+    def evaluate(self, variants: Mapping[str, list[_Cell]]) -> dict[str, dict]:
+        """Counts, median k, loss and mean log k of every variant, in one job."""
+        self.rows = cut(self.rows)
+        slots: dict[tuple, kmap.Slot] = {}
+        for state in variants.values():
+            for i, cell in enumerate(state):
+                spec = cell.qid.spec
+                slots.setdefault((i, spec.population_column), kmap.Slot(
+                    f"s{len(slots)}", spec.population_column, cell.qid.numeric))
+        choices = []
+        for name, state in variants.items():
+            used = {(i, c.qid.spec.population_column): c for i, c in enumerate(state)}
+            cells = [relative_loss(
+                cell_loss(F.col(c.constraint), c.qid, q, self.domains[q.column]),
+                cell_loss(F.col(f"_ref{i}"), q, c.qid, self.domains[q.column]))
+                for i, (c, q) in enumerate(zip(state, self.qids))]
             loss = sum(cells, F.lit(0.0)) / max(len(cells), 1)
-            scored.append((name, frame.withColumn("_loss", loss).drop(
-                *[f"c{i}" for i in range(len(qids))]), qids))
-        out = score_variants(scored, self.population, self.threshold, self.scenario,
-                             record="_rid", weight="_w", keep_columns=["_loss"],
-                             unknown_matches=self.unknown_matches)
-        out = out.select("variant", "_w", "_loss", "k", "status").persist()
+            choices.append(F.struct(F.lit(name).alias("variant"), loss.alias("_loss"), *[
+                (F.col(used[key].constraint) if key in used else con.nothing()).alias(slot.name)
+                for key, slot in slots.items()]))
+        frame = self.rows.select("_rid", "_w", F.explode(F.array(*choices)).alias("_v")).select(
+            "_rid", "_w", "_v.*")
+        out = score(frame, [s for s in slots.values() if s.column is not None],
+                    [s.name for s in slots.values() if s.column is None], self.population,
+                    self.threshold, record="_rid", variant="variant", weight="_w",
+                    unknown_matches=self.unknown_matches)
+        out = cut(out.select("variant", "_w", "_loss", "k", "status"))
         w = F.col("_w")
 
         def total(status):
@@ -332,9 +372,9 @@ class _Run:
             (F.sum(F.log(F.greatest("k", F.lit(1.0))) * w) / F.sum(w)).alias("log_k"))
         mid = median(out.where(F.col("status") != NO_MATCH), "k", by=["variant"], weight=w,
                      name="k_mediaan")
-        found = {r["variant"]: r.asDict() for r in figures.join(mid, "variant", "left").collect()}
-        out.unpersist()
-        return found                      # one row per variant
+        # one row per variant
+        return {r["variant"]: r.asDict()
+                for r in figures.join(mid, "variant", "left").collect()}
 
 
 STEP_SCHEMA = ("nr int, stap string, ok bigint, risico bigint, geen_match bigint, "
@@ -356,19 +396,12 @@ def tradeoff(df: DataFrame, qids: Sequence[Qid], population: Population, actions
              record: str = "record_id", unknown_matches: bool = False) -> DataFrame:
     """Actions applied one after the other; risk and information loss after each. All steps are
     assessed in one job."""
-    noisy = any(isinstance(a, Noise) for a in actions)
-    run = _Run.start(df, qids, population, threshold, scenario, record, unknown_matches)
-    rows, now = run.rows, run.qids
-    if noisy:       # noise differs per record: no reduction to distinct combinations
-        rows = constraints(df, now, record).select(
-            F.col(record).alias("_rid"), F.lit(1).cast("bigint").alias("_w"),
-            *dict.fromkeys(q.column for q in now),
-            *[F.col(f"c{i}").alias(f"_ref{i}") for i in range(len(now))])
-    variants = [("0", rows, now)]
-    for i, a in enumerate(actions, 1):
-        rows, now = a.apply(rows, now, population, record="_rid")
-        variants.append((str(i), rows, now))
-    found = run.evaluate(variants)
+    run = _Run.start(df, qids, population, threshold, scenario, record, unknown_matches,
+                     per_record=any(isinstance(a, Noise) for a in actions))
+    states = [run.state]
+    for a in actions:
+        states.append(run.rewrite(a, states[-1]))
+    found = run.evaluate({str(i): s for i, s in enumerate(states)})
     names = ["as delivered", *[a.describe() for a in actions]]
     return _steps(df.sparkSession, [(t, found[str(i)]) for i, t in enumerate(names)])
 
@@ -417,35 +450,42 @@ def suggest(df: DataFrame, qids: Sequence[Qid], population: Population,
     are assessed in one job per round."""
     run = _Run.start(df, qids, population, threshold, scenario, record, unknown_matches)
     left = {q.column: list((ladders or {}).get(q.column) or default_ladder(q)) for q in run.qids}
-    rows, now = run.rows, run.qids
-    current = run.evaluate([("start", rows, now)])["start"]
-    steps, chosen = [("as delivered", current)], []
-    n = current["ok"] + current["risico"] + current["geen_match"]
-    for _ in range(max_steps):
-        if not n or current["ok"] / n >= target_share:
-            break
-        tried = {f"{col}#{i}": (col, i, a, *a.apply(rows, now, population, record="_rid"))
-                 for col, ladder in left.items() for i, a in enumerate(ladder)}
-        if not tried:
+    tried = {"": (None, 0, None, run.state)}
+    current, steps, chosen = None, [], []
+    while True:
+        # the dataset as delivered is assessed together with the first round
+        for col, ladder in left.items():
+            tried |= {f"{col}#{i}": (col, i, a, run.rewrite(a, run.state))
+                      for i, a in enumerate(ladder)}
+        found = run.evaluate({name: t[3] for name, t in tried.items()})
+        if current is None:
+            current = found[""]
+            steps.append(("as delivered", current))
+        n = current["ok"] + current["risico"] + current["geen_match"]
+        if not n or current["ok"] / n >= target_share or len(chosen) >= max_steps:
             break
-        found = run.evaluate([(name, t[3], t[4]) for name, t in tried.items()])
-        best, best_score, done = None, -math.inf, set()
-        for name, (col, _i, _a, _rows, _qids) in tried.items():
+        best, best_score, helped = None, -math.inf, set()
+        for name, (col, _, action, _) in tried.items():
+            if action is None or col in helped:
+                continue
             f = found[name]
             gain = (f["ok"] - current["ok"]) + (f["log_k"] - current["log_k"])
-            if col in done or gain <= 1e-9:
+            if gain <= 1e-9:
                 continue
-            done.add(col)
-            score = gain / max(f["informatieverlies"] - current["informatieverlies"], 1e-6)
-            if score > best_score:
-                best, best_score = name, score
+            helped.add(col)       # only the first rung that helps competes
+            score_ = gain / max(f["informatieverlies"] - current["informatieverlies"], 1e-6)
+            if score_ > best_score:
+                best, best_score = name, score_
         if best is None:
             break
-        col, i, action, rows, now = tried[best]
-        rows, current = cut(rows), found[best]
+        col, i, action, run.state = tried[best]
+        current = found[best]
         del left[col][: i + 1]
         chosen.append(action)
         steps.append((action.describe(), current))
+        if current["ok"] / n >= target_share or len(chosen) >= max_steps or not any(left.values()):
+            break
+        tried = {}
     out, out_qids = df, list(qids)
     for a in chosen:
         out, out_qids = a.apply(out, out_qids, population, record=record)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..catalogue import NUMERIC, Knowledge, Qid, custom
+from ..catalogue import Knowledge
 from ..functions import cleaning as clean
 from ..functions import constraints as con
 from ..operators import explain, report, rounding
@@ -106,8 +106,7 @@ CONSTRAINT_HULL = f"""WITH {POP}, {CONS}, g AS (SELECT seg, mo,
   CASE WHEN count(labs) = count(*) THEN
     array_to_string(list_sort(list_distinct(flatten(list(labs)))), '|') ELSE '' END AS label
   FROM cons WHERE ylo IS NOT NULL OR yhi IS NOT NULL GROUP BY seg, mo)
-SELECT seg, mo::VARCHAR AS maand, CASE WHEN lo IS NULL AND hi IS NULL THEN '<='
-  ELSE {_text('lo', 'hi')} END AS jaar, label FROM g"""
+SELECT seg, mo::VARCHAR AS maand, {_text('lo', 'hi')} AS jaar, label FROM g"""
 
 
 def constraint_reading(spark, d):

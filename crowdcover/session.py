@@ -23,6 +23,9 @@ def local_session(cores: int | str = 8, name: str = "crowdcover", **settings) ->
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        # recording the Python line of every expression takes longer than making it
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in settings.items():
