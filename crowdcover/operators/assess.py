@@ -206,8 +206,8 @@ def score_variants(variants: Sequence[tuple[str, DataFrame, Sequence[Qid]]],
         out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
     counted = [s for key, s in slots.items() if key[1] is not None]
     estimated = [s.name for key, s in slots.items() if key[1] is None]
-    return score(out, counted, estimated, population, threshold, record=record, variant=variant,
-                 weight=weight, unknown_matches=unknown_matches).drop(
+    return score(keep(out), counted, estimated, population, threshold, record=record,
+                 variant=variant, weight=weight, unknown_matches=unknown_matches).drop(
                      *[s.name for s in slots.values()])
 
 

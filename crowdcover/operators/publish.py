@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import CATALOGUE, Knowledge, Qid, output_column, signature_qid
 from ..functions.numbers import half_up
+from ..session import keep
 from . import signature
 from .assess import NO_MATCH, OK, Threshold, score_variants
 from .link import link
@@ -79,7 +80,8 @@ def explore(df: DataFrame, population: Population, method: str,
     """Every combination of rounding steps: how many records could be published, and how precise
     the baseline then is. All combinations are assessed in one job."""
     names = list(candidates)
-    values = baseline_values(df, population, method, names, references, record=record, **key)
+    # every plan rounds the same values
+    values = keep(baseline_values(df, population, method, names, references, record=record, **key))
     plans = [Plan(method, dict(zip(names, combo)))
              for combo in itertools.product(*(sorted(candidates[n]) for n in names))]
     variants = []
