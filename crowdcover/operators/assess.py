@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..catalogue import Knowledge, Qid
 from ..functions import constraints as con
 from ..functions.numbers import general
-from ..session import keep
+from ..session import cut
 from . import kmap
 from .ordering import median
 from .population import Population
@@ -99,7 +99,7 @@ def score(frame: DataFrame, slots: Sequence[kmap.Slot], estimated: Sequence[str]
     groups = keyed.groupBy(*by, "_key").agg(
         F.sum(weight or F.lit(1)).cast("bigint").alias("f_dataset"), F.min(record).alias("klasse"),
         *[F.any_value(n).alias(n) for n in names])
-    groups = keep(groups)
+    groups = cut(groups)
     classes = groups.select("_key", *names).dropDuplicates(["_key"]) if variant else groups
     counts = kmap.count(classes.select("_key", *names), population.rows(), slots, key="_key",
                         unknown_matches=unknown_matches, strategy=strategy)
@@ -206,7 +206,7 @@ def score_variants(variants: Sequence[tuple[str, DataFrame, Sequence[Qid]]],
         out = frame if out is None else out.unionByName(frame, allowMissingColumns=True)
     counted = [s for key, s in slots.items() if key[1] is not None]
     estimated = [s.name for key, s in slots.items() if key[1] is None]
-    return score(keep(out), counted, estimated, population, threshold, record=record,
+    return score(cut(out), counted, estimated, population, threshold, record=record,
                  variant=variant, weight=weight, unknown_matches=unknown_matches).drop(
                      *[s.name for s in slots.values()])
 
@@ -220,16 +220,22 @@ def summary(assessed: DataFrame, *, by: Sequence[str] = ()) -> DataFrame:
     """Counts per status and the k and delta figures; k and delta over records with a match."""
     by = list(by)
     matched = F.col("status") != NO_MATCH
-    base = assessed.withColumn("_all", F.lit(0))
     keys = ["_all", *by]
-    figures = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("records"),
-        *[F.count_if(F.col("status") == s).alias(s) for s in (OK, AT_RISK, NO_MATCH)],
+    # records of one class look the same here: count them once, use that twice
+    alike = cut(assessed.withColumn("_all", F.lit(0)).groupBy(
+        *keys, "status", "k", "delta", "f_dataset", "k_populatie").agg(F.count(F.lit(1)).alias("_w")))
+
+    def total(cond):
+        return F.sum(F.when(cond, F.col("_w")).otherwise(0))
+
+    figures = alike.groupBy(*keys).agg(
+        F.sum("_w").alias("records"),
+        *[total(F.col("status") == s).alias(s) for s in (OK, AT_RISK, NO_MATCH)],
         F.min(F.when(matched, F.col("k"))).alias("k_min"),
         F.max(F.when(matched, F.col("delta"))).alias("delta_max"),
-        F.count_if(delta_signal()).alias("delta_signalen"),
-        F.count_if(F.col("f_dataset") > F.col("k_populatie")).alias("inconsistent"))
-    mid = median(base.where(matched), "k", by=keys, name="k_mediaan")
+        total(delta_signal()).alias("delta_signalen"),
+        total(F.col("f_dataset") > F.col("k_populatie")).alias("inconsistent"))
+    mid = median(alike.where(matched), "k", by=keys, weight=F.col("_w"), name="k_mediaan")
     return figures.join(mid, keys, "left").drop("_all")
 
 

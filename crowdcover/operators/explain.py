@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalogue import Knowledge, Qid
-from ..session import keep
+from ..session import cut
 from . import kmap
 from .assess import NO_MATCH, active, constraints, slots_of
 from .ordering import median
@@ -36,7 +36,7 @@ def information_bits(df: DataFrame, qids: Sequence[Qid], population: Population,
     cells = frame.select(F.explode(F.array(*[
         F.struct(F.lit(i).alias("nr"), F.col(f"c{i}").alias("c")) for i in range(len(known))]))
         .alias("x")).select("x.nr", "x.c").where(F.col("c").isNotNull())
-    values = keep(cells.groupBy("nr", F.to_json("c").alias("text")).agg(
+    values = cut(cells.groupBy("nr", F.to_json("c").alias("text")).agg(
         F.any_value("c").alias("c"), F.count(F.lit(1)).alias("records")))
     key = F.concat_ws("|", F.col("nr").cast("string"), F.col("text"))
     register = [i for i, q in enumerate(known) if q.counted]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -303,7 +303,8 @@ class _Run:
     threshold: Threshold
     unknown_matches: bool
     domains: dict
-    made: int = 0
+    made: dict = field(default_factory=dict)
+    written: bool = False
 
     @classmethod
     def start(cls, df, qids, population, threshold, scenario, record, unknown_matches, *,
@@ -324,18 +325,21 @@ class _Run:
         """The state after an action; its new text and constraint become columns of the table."""
         i = next(i for i, cell in enumerate(state) if self.qids[i].column == action.column)
         cell = state[i]
-        text, read = f"_text{self.made}", f"_cons{self.made}"
-        self.made += 1
+        if (action, cell) in self.made:      # the same step from the same text was taken before
+            return [self.made[action, cell] if j == i else c for j, c in enumerate(state)]
+        text, read = f"_text{len(self.made)}", f"_cons{len(self.made)}"
         rows = self.rows.withColumn(text, F.col(cell.text))
         rows, (after,) = replace(action, column=text).apply(
             rows, [replace(cell.qid, column=text)], self.population, record="_rid")
         self.rows = constraints(rows, [after], "_rid", names=[read])
         new = _Cell(text, read, replace(after, column=self.qids[i].column))
+        self.made[action, cell], self.written = new, False
         return [new if j == i else c for j, c in enumerate(state)]
 
     def evaluate(self, variants: Mapping[str, list[_Cell]]) -> dict[str, dict]:
         """Counts, median k, loss and mean log k of every variant, in one job."""
-        self.rows = cut(self.rows)
+        if not self.written:
+            self.rows, self.written = cut(self.rows), True
         slots: dict[tuple, kmap.Slot] = {}
         for state in variants.values():
             for i, cell in enumerate(state):

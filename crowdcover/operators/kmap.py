@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_le, count_lt
+from ..session import cut
 from .ordering import running_totals
 
 ANY, UNKNOWN = "\u0001", "\u0002"      # text keys: not constrained, unknown in the population
@@ -196,7 +197,8 @@ def _codes(classes, cube, slots, by, marks, facts) -> tuple[DataFrame, DataFrame
         if i in marks:
             first, last = marks[i].code(lo), marks[i].code(hi)
         else:
-            codes = _rank_codes(classes, cube, s, f"q{i}")
+            cube = cut(cube)
+            codes = cut(_rank_codes(classes, cube, s, f"q{i}"))
             as_ = [F.col("_x").alias(f"_x{i}"), F.col("_code").alias(f"_c{i}")]
             rules = (rules.withColumn(f"_l{i}", lo).withColumn(f"_h{i}", hi)
                      .join(codes.select(F.col("_x").alias(f"_l{i}"),
@@ -223,7 +225,7 @@ def _rank_codes(classes, cube, slot, q) -> DataFrame:
     highs = classes.select(c["hi"].alias("_x"), F.lit(0), F.lit(1)).where("_x is not null")
     each = (values.union(lows).union(highs).groupBy("_x")
             .agg(F.max("_lows").alias("_lows"), F.max("_highs").alias("_highs")))
-    cum = running_totals(each, "_x", {"_l": F.col("_lows"), "_h": F.col("_highs")})
+    cum = running_totals(cut(each), "_x", {"_l": F.col("_lows"), "_h": F.col("_highs")})
     return cum.select("_x", (F.col("_l") + F.col("_h") - F.col("_highs")).alias("_code"))
 
 

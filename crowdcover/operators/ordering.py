@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_le
+from ..session import cut
 
 
 def cuts(df: DataFrame, order: str) -> list[float]:
@@ -26,14 +27,16 @@ def cuts(df: DataFrame, order: str) -> list[float]:
 
 
 def running_totals(df: DataFrame, order: str, sums: Mapping[str, Column], *,
-                   by: Sequence[str] = (), descending: bool = False) -> DataFrame:
+                   by: Sequence[str] = (), at: Sequence[float] | None = None) -> DataFrame:
     """``df`` with, per name in ``sums``, the total of that expression up to and including the
-    row, in the order of a numeric column whose values are unique within ``by``."""
-    sign = -1 if descending else 1
-    marked = df.withColumn("_at", F.col(order).cast("double") * sign)
-    for name, expr in sums.items():
-        marked = marked.withColumn(f"_w_{name}", expr)
-    marked = marked.withColumn("_part", count_le(cuts(marked, "_at"), F.col("_at")))
+    row, in the order of a numeric column whose values are unique within ``by``.
+
+    ``df`` is read three times: pass a table that is written or cheap to make. ``at``: where to
+    cut, when that is known beforehand."""
+    marked = df.withColumns({"_at": F.col(order).cast("double"),
+                             **{f"_w_{name}": expr for name, expr in sums.items()}})
+    marked = marked.withColumn("_part", count_le(
+        cuts(marked, "_at") if at is None else at, F.col("_at")))
     by = list(by)
     parts = marked.groupBy(*by, "_part").agg(
         *[F.sum(f"_w_{name}").alias(f"_t_{name}") for name in sums])
@@ -61,6 +64,7 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float], *, by: Sequence
     keys = ["_one", *by]
     counts = d.groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(
         F.sum(weight if weight is not None else F.lit(1)).cast("bigint").alias("_n"))
+    counts = cut(counts)
     cum = running_totals(counts, "_v", {"_cum": F.col("_n")}, by=keys)
     totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     ranked = cum.join(totals, keys).withColumn("_first", F.col("_cum") - F.col("_n"))

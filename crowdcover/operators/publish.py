@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import CATALOGUE, Knowledge, Qid, output_column, signature_qid
 from ..functions.numbers import half_up
-from ..session import keep
+from ..session import cut
 from . import signature
 from .assess import NO_MATCH, OK, Threshold, score_variants
 from .link import link
@@ -81,7 +81,7 @@ def explore(df: DataFrame, population: Population, method: str,
     the baseline then is. All combinations are assessed in one job."""
     names = list(candidates)
     # every plan rounds the same values
-    values = keep(baseline_values(df, population, method, names, references, record=record, **key))
+    values = cut(baseline_values(df, population, method, names, references, record=record, **key))
     plans = [Plan(method, dict(zip(names, combo)))
              for combo in itertools.product(*(sorted(candidates[n]) for n in names))]
     variants = []
@@ -90,9 +90,11 @@ def explore(df: DataFrame, population: Population, method: str,
         variants.append((str(i), rounded, [*other_qids, *qids]))
     scored = score_variants(variants, population, threshold, scenario, record=record,
                             unknown_matches=unknown_matches)
-    passed = scored.groupBy("variant").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == OK).alias("publiceerbaar"))
-    mid = median(scored.where(F.col("status") != NO_MATCH), "k", by=["variant"], name="k_mediaan")
+    alike = cut(scored.groupBy("variant", "status", "k").agg(F.count(F.lit(1)).alias("_w")))
+    passed = alike.groupBy("variant").agg(F.sum("_w").alias("n"), F.sum(
+        F.when(F.col("status") == OK, F.col("_w")).otherwise(0)).alias("publiceerbaar"))
+    mid = median(alike.where(F.col("status") != NO_MATCH), "k", by=["variant"],
+                 weight=F.col("_w"), name="k_mediaan")
     inverse = values.agg(*[F.avg(F.when(F.abs(f"_v_{o}") > 0, 1.0 / F.abs(f"_v_{o}"))).alias(o)
                            for o in names]).first()
     rows = []

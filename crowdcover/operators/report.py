@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalogue import Knowledge, Qid
+from ..session import cut
 from . import kmap
 from .assess import (AT_RISK, NO_MATCH, OK, RESULT, Threshold, active, class_key, constraints,
                      score_variants, slots_of)
@@ -31,6 +32,8 @@ def candidates(assessed: DataFrame, qids: Sequence[Qid], population: Population,
     names = [s.name for s in slots]
     rows = assessed.where(F.col("status") == AT_RISK) if only_at_risk else assessed
     rows = constraints(rows, register, record).withColumn("_key", class_key(names))
+    rows = cut(rows.select(F.col(record).alias("record"), "status", "k_populatie", "k", "delta",
+                           "_key", *names))
     listed = (F.col("k_populatie") > 0) & (F.col("k_populatie") <= max_per_record)
     few = rows.where(listed).select("_key", *names).dropDuplicates(["_key"])
     shown = list(dict.fromkeys([*shown, *[q.spec.population_column for q in register]]))
@@ -40,8 +43,7 @@ def candidates(assessed: DataFrame, qids: Sequence[Qid], population: Population,
     # at most max_per_record rows per class: these windows stay small
     order = Window.partitionBy("_key").orderBy(*[F.col(c).asc_nulls_last() for c in shown], "_copy")
     found = found.withColumn("kandidaat_nr", F.row_number().over(order)).drop("n", "_copy")
-    base = rows.select(F.col(record).alias("record"), "status", "k_populatie", "k", "delta", "_key")
-    return base.join(found, "_key", "left").drop("_key")
+    return rows.drop(*names).join(found, "_key", "left").drop("_key")
 
 
 def publishable(assessed: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
@@ -82,18 +84,23 @@ def scenario_rows(assessed: DataFrame, by: str, *, delta_norm: float = 0.09,
                   edges: Sequence[int] = (11, 100, 1000)) -> DataFrame:
     """One row per scenario or variant: records per class of k (over records with a match), no
     match, delta above the norm, publishable and median k."""
+    alike = cut(assessed.groupBy(by, "status", "k", "delta").agg(F.count(F.lit(1)).alias("_w")))
     matched = F.col("status") != NO_MATCH
     k = F.col("k")
+
+    def total(cond):
+        return F.sum(F.when(cond, F.col("_w")).otherwise(0))
+
     bounds = [0, *edges]
-    aggs = [F.count(F.lit(1)).alias("records")]
+    aggs = [F.sum("_w").alias("records")]
     for a, b in zip(bounds, bounds[1:]):
-        aggs.append(F.count_if(matched & (k >= a) & (k < b)).alias(f"k_{a}_{b}"))
-    aggs += [F.count_if(matched & (k >= bounds[-1])).alias(f"k_{bounds[-1]}_plus"),
-             F.count_if(~matched).alias("geen_match"),
-             F.count_if(matched & (F.col("delta") > delta_norm)).alias("delta_boven_norm"),
-             F.count_if(F.col("status") == OK).alias("publiceerbaar")]
-    mid = median(assessed.where(matched), "k", by=[by], name="k_mediaan")
-    return assessed.groupBy(by).agg(*aggs).join(mid, by, "left")
+        aggs.append(total(matched & (k >= a) & (k < b)).alias(f"k_{a}_{b}"))
+    aggs += [total(matched & (k >= bounds[-1])).alias(f"k_{bounds[-1]}_plus"),
+             total(~matched).alias("geen_match"),
+             total(matched & (F.col("delta") > delta_norm)).alias("delta_boven_norm"),
+             total(F.col("status") == OK).alias("publiceerbaar")]
+    mid = median(alike.where(matched), "k", by=[by], weight=F.col("_w"), name="k_mediaan")
+    return alike.groupBy(by).agg(*aggs).join(mid, by, "left")
 
 
 def compare_scenarios(df: DataFrame, scenarios: Mapping[str, tuple[Sequence[Qid], Knowledge]],

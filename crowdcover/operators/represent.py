@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_le, uniform
-from ..session import keep
+from ..session import cut, keep
 from .ordering import quantiles, running_totals
 from .population import Population
 
@@ -49,7 +49,9 @@ def _omissions(df: DataFrame, kept: str, record: str, draws: int, seed: int) ->
     drawn = drawn.withColumn("_hash", F.conv(F.substring(F.md5(F.concat_ws(
         "|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("_rid").cast("string"))),
         1, 13), 16, 10).cast("double"))
-    ranked = running_totals(drawn, "_hash", {"_rank": F.lit(1)}, by=["draw"])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    at = [16.0 ** 13 * i / parts for i in range(1, parts)]       # hashes are spread evenly
+    ranked = running_totals(drawn, "_hash", {"_rank": F.lit(1)}, by=["draw"], at=at)
     return ranked.where(F.col("_rank") <= left_out).select("draw", "_rid")
 
 
@@ -202,7 +204,7 @@ def compare_categories(df: DataFrame, population: Population, features: Sequence
                        record: str = "record_id", draws: int = 1000, seed: int = 0) -> DataFrame:
     """TVD of dataset and population per categorical feature, a verdict, and ``toeval``: the share
     of random samples of the same size from the population that differ at least as much."""
-    counts = keep(category_counts(df, population, features))
+    counts = cut(category_counts(df, population, features))
     total = counts.groupBy("kenmerk").agg(F.sum("pop").alias("tp"), F.sum("ds").alias("n"))
     j = counts.join(total, "kenmerk")
     p = F.col("pop") / F.greatest(F.col("tp"), F.lit(1))
@@ -267,7 +269,7 @@ def chance_percentile(df: DataFrame, population: Population, features: Sequence[
                       record: str = "record_id", draws: int = 1000, seed: int = 0,
                       q: float = 0.95) -> DataFrame:
     """Per feature the q-quantile of the TVD of random samples of the dataset's size."""
-    counts = keep(category_counts(df, population, features))
+    counts = cut(category_counts(df, population, features))
     tvd = category_chance(counts, _records(df, features, record), draws, seed)
     return quantiles(tvd, "tvd", [q], by=["kenmerk"]).drop("p").withColumnRenamed(
         "q", "tvd_toeval")
@@ -301,7 +303,7 @@ def compare_numbers(df: DataFrame, population: Population, features: Sequence[Fe
     the share of random samples from the population whose mean is off at least as much."""
     cols = [f.column for f in features]
     moments, pop_q = population_numbers(population, cols, n_quantiles)
-    moments, pop_q = keep(moments), keep(pop_q)
+    moments, pop_q = cut(moments), cut(pop_q)
     cells = keep(_number_cells(df, [(f.column, f.source or f.column) for f in features], record))
     mine = cells.groupBy("kenmerk").agg(F.count("x").alias("dn"), F.avg("x").alias("dmu"))
     ds_q = quantiles(cells, "x", _grid(n_quantiles), by=["kenmerk"])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import bucket
+from ..session import cut
 from .ordering import running_totals
 from .population import Population
 
@@ -49,7 +50,7 @@ def group_sizes(population: Population, grid: Sequence[Mapping[str, float]],
               .agg(F.sum("_n").alias("n")))
     # groups of the same size are interchangeable from here on
     sizes = groups.groupBy("schema_nr", "n").agg(F.count(F.lit(1)).alias("groups"))
-    sizes = sizes.withColumn("rows", F.col("n") * F.col("groups"))
+    sizes = cut(sizes.withColumn("rows", F.col("n") * F.col("groups")))
     total = sizes.groupBy("schema_nr").agg(
         F.sum("rows").alias("woningen"),
         F.sum(F.when(F.col("n") < k, F.col("rows")).otherwise(0)).alias("_small"),
