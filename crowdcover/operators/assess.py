@@ -79,6 +79,28 @@ def bad_values(df: DataFrame, qids: Sequence[Qid], record: str) -> DataFrame:
     return cells.where("cell.bad").select("record", "cell.column", "cell.value")
 
 
+def text_key(qids: Sequence[Qid]) -> Column:
+    """The published texts of a record as one key: equal texts, equal fate."""
+    texts = [F.col(q.column).cast("string").alias(f"t{i}") for i, q in enumerate(qids)]
+    return F.md5(F.to_json(F.struct(*texts))) if texts else F.md5(F.lit("{}"))
+
+
+def reduced(df: DataFrame, qids: Sequence[Qid], record: str) -> DataFrame:
+    """One row per distinct combination of published texts: ``_text``, the number of records
+    ``_w``, the lowest record id under its own name, and the texts.
+
+    Reading texts is the costly part per record, and datasets repeat them; so they are read once
+    per combination. The aggregation combines before it shuffles: a combination that holds most
+    of the records costs one row per task."""
+    columns = list(dict.fromkeys(q.column for q in qids))
+    for c in columns:
+        if c not in df.columns:
+            raise KeyError(f"column {c!r} not in dataset")
+    return df.groupBy(text_key(qids).alias("_text")).agg(
+        F.count(F.lit(1)).alias("_w"), F.min(record).alias(record),
+        *[F.any_value(F.col(c)).alias(c) for c in columns])
+
+
 def class_key(names: Sequence[str]) -> Column:
     """The equivalence class: equal constraints give equal keys. Numbers in full, so values that
     only look alike when printed stay apart."""
@@ -91,7 +113,9 @@ def score(frame: DataFrame, slots: Sequence[kmap.Slot], estimated: Sequence[str]
           strategy: str | None = None) -> DataFrame:
     """Risk per record of ``frame``, which holds a constraint column per slot and per estimated
     attribute. With a ``variant`` column every variant is a dataset of its own; classes that
-    occur in several variants are counted once. ``weight``: a row stands for that many records."""
+    occur in several variants are counted once. ``weight``: a row stands for that many records.
+
+    The frame is read twice: pass a table that is written or cheap to make."""
     names = [s.name for s in slots]
     population.require(*[s.column for s in slots])
     by = [variant] if variant else []
@@ -121,14 +145,14 @@ def _with_share(out: DataFrame, keyed: DataFrame, by: list[str], name: str, alia
     An unknown value reveals nothing (share 1)."""
     text = con.render(F.col(name))
     one = F.col(weight) if weight else F.lit(1)
-    freq = (keyed.select(*by, text.alias("_text"), one.alias("_w")).where(F.col("_text") != "")
-            .groupBy(*by, "_text").agg(F.sum("_w").alias("_n")))
+    freq = (keyed.select(*by, text.alias("_val"), one.alias("_w")).where(F.col("_val") != "")
+            .groupBy(*by, "_val").agg(F.sum("_w").alias("_n")))
     freq = freq.withColumn("_all", F.lit(0))
     totals = freq.groupBy("_all", *by).agg(F.sum("_n").alias("_total"))
     freq = freq.join(totals, ["_all", *by]).select(
-        *by, "_text", (F.col("_n") / F.col("_total")).alias(alias))
-    out = out.withColumn("_text", text).join(freq, [*by, "_text"], "left")
-    return out.withColumn(alias, F.coalesce(alias, F.lit(1.0))).drop("_text")
+        *by, "_val", (F.col("_n") / F.col("_total")).alias(alias))
+    out = out.withColumn("_val", text).join(freq, [*by, "_val"], "left")
+    return out.withColumn(alias, F.coalesce(alias, F.lit(1.0))).drop("_val")
 
 
 def _judged(out: DataFrame, threshold: Threshold, estimated: bool) -> DataFrame:
@@ -173,27 +197,31 @@ def assess(df: DataFrame, qids: Sequence[Qid], population: Population,
     ``klasse`` is the lowest record id of the equivalence class, its representative."""
     known = active(qids, scenario)
     slots, estimated = slots_of(known)
-    frame = constraints(df, known, record)
-    return score(frame, slots, estimated, population, threshold, record=record,
-                 unknown_matches=unknown_matches, strategy=strategy
-                 ).drop(*[f"c{i}" for i in range(len(known))])
+    names = [f"c{i}" for i in range(len(known))]
+    combos = constraints(reduced(df, known, record), known, record)
+    combos = cut(combos.select("_text", "_w", record, *names))
+    scored = score(combos, slots, estimated, population, threshold, record=record, weight="_w",
+                   unknown_matches=unknown_matches, strategy=strategy)
+    return df.withColumn("_text", text_key(known)).join(
+        scored.select("_text", *RESULT), "_text").drop("_text")
 
 
 def score_variants(variants: Sequence[tuple[str, DataFrame, Sequence[Qid]]],
                    population: Population, threshold: Threshold = Threshold(),
                    scenario: Knowledge = Knowledge.INSIDER, *, record: str = "record_id",
-                   variant: str = "variant", keep_columns: Sequence[str] = (),
-                   weight: str | None = None, unknown_matches: bool = False) -> DataFrame:
+                   variant: str = "variant", unknown_matches: bool = False) -> DataFrame:
     """Several datasets (variants of one, or one under several attackers) as one job, so that the
     population is read and reduced once. An attribute that a variant does not use is a wildcard
-    in it; one that means another population column in a variant is an attribute of its own."""
+    in it; one that means another population column in a variant is an attribute of its own.
+
+    One row per variant and distinct combination of texts, which stands for ``records`` records
+    (``record`` is the lowest id among them)."""
     slots: dict[tuple, kmap.Slot] = {}
     out = None
     for name, df, qids in variants:
         known = active(qids, scenario)
-        frame = constraints(df, known, record)
-        cols = [F.lit(name).alias(variant), F.col(record), *[F.col(c) for c in keep_columns]]
-        cols += [F.col(weight)] if weight else []
+        frame = constraints(reduced(df, known, record), known, record)
+        cols = [F.lit(name).alias(variant), F.col(record), F.col("_w").alias("records")]
         used: set[tuple] = set()
         for i, q in enumerate(known):
             key = (q.spec.population_column, q.numeric) if q.counted else (q.column, None)
@@ -207,7 +235,7 @@ def score_variants(variants: Sequence[tuple[str, DataFrame, Sequence[Qid]]],
     counted = [s for key, s in slots.items() if key[1] is not None]
     estimated = [s.name for key, s in slots.items() if key[1] is None]
     return score(cut(out), counted, estimated, population, threshold, record=record,
-                 variant=variant, weight=weight, unknown_matches=unknown_matches).drop(
+                 variant=variant, weight="records", unknown_matches=unknown_matches).drop(
                      *[s.name for s in slots.values()])
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,7 +110,7 @@ def with_mean_per_postcode(rows: DataFrame, table: DataFrame, *, postcode: str =
 
 
 def nearest(points: DataFrame, stations: DataFrame, *, lat: str = "lat__degN",
-            lon: str = "lon__degE", station: str = "knmi_station", limit: int = 5_000,
+            lon: str = "lon__degE", station: str = "knmi_station", limit: int = 200,
             flat: bool = False) -> DataFrame:
     """The nearest station of every point (equal distances: the lower name). The stations travel
     as one constant, after their number is checked; every point scans them inside its own task,
@@ -117,14 +118,16 @@ def nearest(points: DataFrame, stations: DataFrame, *, lat: str = "lat__degN",
     found = stations.select(F.col(station).cast("string"), "lat", "lon").limit(limit + 1).collect()
     if len(found) > limit:
         return nearest_by_cell(points, stations, lat=lat, lon=lon, station=station)
-    table = F.array(*[F.struct(F.lit(float(r["lat"])).alias("la"), F.lit(float(r["lon"])).alias("lo"),
-                               F.lit(r[0]).alias("s")) for r in sorted(found)])
+    found = sorted((r[0], float(r["lat"]), float(r["lon"])) for r in found)
+    names, lats, lons = (F.lit(np.array(c)) if i else F.lit(list(c))
+                         for i, c in enumerate(zip(*found)))
     distance = geo.flat_km if flat else geo.haversine_km
-    best = F.array_min(F.transform(table, lambda s: F.struct(
-        distance(F.col(lat), F.col(lon), s["la"], s["lo"]).alias("km"), s["s"].alias("s"))))
+    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(found) - 1)), lambda i: F.struct(
+        distance(F.col(lat), F.col(lon), F.get(lats, i), F.get(lons, i)).alias("km"), i.alias("i"))))
     known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
     return points.withColumn("_best", F.when(known, best)).withColumns({
-        "knmi_station__cat": F.col("_best.s"), "afstand__km": F.col("_best.km")}).drop("_best")
+        "knmi_station__cat": F.get(names, F.col("_best.i")),
+        "afstand__km": F.col("_best.km")}).drop("_best")
 
 
 def nearest_by_cell(points: DataFrame, stations: DataFrame, *, lat: str = "lat__degN",

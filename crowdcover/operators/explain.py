@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..catalogue import Knowledge, Qid
 from ..session import cut
 from . import kmap
-from .assess import NO_MATCH, active, constraints, slots_of
+from .assess import NO_MATCH, active, constraints, reduced, slots_of
 from .ordering import median
 from .population import Population
 
@@ -31,13 +31,13 @@ def information_bits(df: DataFrame, qids: Sequence[Qid], population: Population,
     Estimated attributes: minus log2 of how often the value occurs in the dataset."""
     known = active(qids, scenario)
     slots, _ = slots_of(known)
-    frame = constraints(df, known, record)
+    frame = constraints(reduced(df, known, record), known, record)
     total = max(population.size(), 1)
-    cells = frame.select(F.explode(F.array(*[
+    cells = frame.select("_w", F.explode(F.array(*[
         F.struct(F.lit(i).alias("nr"), F.col(f"c{i}").alias("c")) for i in range(len(known))]))
-        .alias("x")).select("x.nr", "x.c").where(F.col("c").isNotNull())
+        .alias("x")).select("_w", "x.nr", "x.c").where(F.col("c").isNotNull())
     values = cut(cells.groupBy("nr", F.to_json("c").alias("text")).agg(
-        F.any_value("c").alias("c"), F.count(F.lit(1)).alias("records")))
+        F.any_value("c").alias("c"), F.sum("_w").alias("records")))
     key = F.concat_ws("|", F.col("nr").cast("string"), F.col("text"))
     register = [i for i, q in enumerate(known) if q.counted]
     singles = values.where(F.col("nr").isin(register)).select(key.alias("key"), *[

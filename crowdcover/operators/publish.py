@@ -90,7 +90,7 @@ def explore(df: DataFrame, population: Population, method: str,
         variants.append((str(i), rounded, [*other_qids, *qids]))
     scored = score_variants(variants, population, threshold, scenario, record=record,
                             unknown_matches=unknown_matches)
-    alike = cut(scored.groupBy("variant", "status", "k").agg(F.count(F.lit(1)).alias("_w")))
+    alike = cut(scored.groupBy("variant", "status", "k").agg(F.sum("records").alias("_w")))
     passed = alike.groupBy("variant").agg(F.sum("_w").alias("n"), F.sum(
         F.when(F.col("status") == OK, F.col("_w")).otherwise(0)).alias("publiceerbaar"))
     mid = median(alike.where(F.col("status") != NO_MATCH), "k", by=["variant"],

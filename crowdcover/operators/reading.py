@@ -152,5 +152,6 @@ def sensitivity(df: DataFrame, qids: Sequence[Qid], population: Population, thre
         return table.drop("variant").withColumn("publiceerbaar", F.lit(0).cast("bigint"))
     scored = score_variants(variants, population, threshold, scenario, record=record,
                             unknown_matches=unknown_matches)
-    passed = scored.groupBy("variant").agg(F.count_if(F.col("status") == OK).alias("publiceerbaar"))
+    passed = scored.groupBy("variant").agg(F.sum(
+        F.when(F.col("status") == OK, F.col("records")).otherwise(0)).alias("publiceerbaar"))
     return table.join(passed, "variant").drop("variant")

@@ -12,7 +12,7 @@ from ..catalogue import Knowledge, Qid
 from ..session import cut
 from . import kmap
 from .assess import (AT_RISK, NO_MATCH, OK, RESULT, Threshold, active, class_key, constraints,
-                     score_variants, slots_of)
+                     reduced, score_variants, slots_of, text_key)
 from .ordering import median
 from .population import Population
 
@@ -31,11 +31,13 @@ def candidates(assessed: DataFrame, qids: Sequence[Qid], population: Population,
     slots, _ = slots_of(register)
     names = [s.name for s in slots]
     rows = assessed.where(F.col("status") == AT_RISK) if only_at_risk else assessed
-    rows = constraints(rows, register, record).withColumn("_key", class_key(names))
     rows = cut(rows.select(F.col(record).alias("record"), "status", "k_populatie", "k", "delta",
-                           "_key", *names))
-    listed = (F.col("k_populatie") > 0) & (F.col("k_populatie") <= max_per_record)
-    few = rows.where(listed).select("_key", *names).dropDuplicates(["_key"])
+                           text_key(register).alias("_text"),
+                           *dict.fromkeys(q.column for q in register)))
+    listed = rows.where((F.col("k_populatie") > 0) & (F.col("k_populatie") <= max_per_record))
+    texts = constraints(reduced(listed, register, "record"), register, "record")
+    texts = cut(texts.withColumn("_key", class_key(names)).select("_text", "_key", *names))
+    few = texts.select("_key", *names).dropDuplicates(["_key"])
     shown = list(dict.fromkeys([*shown, *[q.spec.population_column for q in register]]))
     found = kmap.count(few, population.rows(), slots, key="_key", by=shown,
                        unknown_matches=unknown_matches)
@@ -43,7 +45,9 @@ def candidates(assessed: DataFrame, qids: Sequence[Qid], population: Population,
     # at most max_per_record rows per class: these windows stay small
     order = Window.partitionBy("_key").orderBy(*[F.col(c).asc_nulls_last() for c in shown], "_copy")
     found = found.withColumn("kandidaat_nr", F.row_number().over(order)).drop("n", "_copy")
-    return rows.drop(*names).join(found, "_key", "left").drop("_key")
+    base = rows.select("record", "status", "k_populatie", "k", "delta", "_text")
+    return base.join(texts.select("_text", "_key"), "_text", "left").join(
+        found, "_key", "left").drop("_key", "_text")
 
 
 def publishable(assessed: DataFrame, drop: Sequence[str] = ()) -> DataFrame:
@@ -84,7 +88,8 @@ def scenario_rows(assessed: DataFrame, by: str, *, delta_norm: float = 0.09,
                   edges: Sequence[int] = (11, 100, 1000)) -> DataFrame:
     """One row per scenario or variant: records per class of k (over records with a match), no
     match, delta above the norm, publishable and median k."""
-    alike = cut(assessed.groupBy(by, "status", "k", "delta").agg(F.count(F.lit(1)).alias("_w")))
+    one = F.col("records") if "records" in assessed.columns else F.lit(1)
+    alike = cut(assessed.groupBy(by, "status", "k", "delta").agg(F.sum(one).alias("_w")))
     matched = F.col("status") != NO_MATCH
     k = F.col("k")
 
@@ -106,8 +111,9 @@ def scenario_rows(assessed: DataFrame, by: str, *, delta_norm: float = 0.09,
 def compare_scenarios(df: DataFrame, scenarios: Mapping[str, tuple[Sequence[Qid], Knowledge]],
                       population: Population, threshold: Threshold = Threshold(), *,
                       record: str = "record_id", unknown_matches: bool = False) -> DataFrame:
-    """The same dataset under several attackers or variants, as one job: the risk of every record
-    per ``scenario``. What a scenario does not use is a wildcard in it."""
+    """The same dataset under several attackers or variants, as one job: the risk per ``scenario``
+    and distinct combination of texts, with the ``records`` it stands for. What a scenario does
+    not use is a wildcard in it."""
     variants = [(name, df, active(qids, level)) for name, (qids, level) in scenarios.items()]
     return score_variants(variants, population, threshold, record=record, variant="scenario",
                           unknown_matches=unknown_matches)
@@ -116,13 +122,16 @@ def compare_scenarios(df: DataFrame, scenarios: Mapping[str, tuple[Sequence[Qid]
 def zone_counts(df: DataFrame, qids: Sequence[Qid], population: Population, zone: str, *,
                 record: str = "record_id") -> DataFrame:
     """Per record and zone of the population (a region, station, cell): how many rows match."""
-    slots, _ = slots_of([q for q in qids if q.counted])
-    frame = constraints(df, [q for q in qids if q.counted], record)
-    keyed = frame.withColumn("_key", class_key([s.name for s in slots]))
-    classes = keyed.select("_key", *[s.name for s in slots]).dropDuplicates(["_key"])
+    register = [q for q in qids if q.counted]
+    slots, _ = slots_of(register)
+    names = [s.name for s in slots]
+    texts = constraints(reduced(df, register, record), register, record)
+    texts = cut(texts.withColumn("_key", class_key(names)).select("_text", "_key", *names))
+    classes = texts.select("_key", *names).dropDuplicates(["_key"])
     rows = population.rows().where(F.col(zone).isNotNull())
     counts = kmap.count(classes, rows, slots, key="_key", by=[zone])
-    return keyed.drop(*[s.name for s in slots]).join(counts, "_key").drop("_key")
+    return (df.withColumn("_text", text_key(register)).join(texts.select("_text", "_key"), "_text")
+            .join(counts, "_key").drop("_key", "_text"))
 
 
 def candidate_areas(df: DataFrame, qids: Sequence[Qid], population: Population, zone: str, *,

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import count_le, uniform
@@ -38,79 +39,76 @@ def numeric_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
     return {c for i, c in enumerate(columns) if row[f"n{i}"] and row[f"x{i}"] / row[f"n{i}"] >= 0.9}
 
 
-def _omissions(df: DataFrame, kept: str, record: str, draws: int, seed: int) -> DataFrame:
-    """Per draw the records left out: the m with the lowest hash, m as many as really left out.
+HASH_BITS, HASH_PARTS = 52, 4096
 
-    The m-th lowest hash of a draw is found with running totals over a global order, so no task
-    ranks all records of a draw."""
-    left_out = df.where(~F.col(kept)).count()
-    ids = df.select(F.col(record).alias("_rid"))
-    drawn = ids.select("_rid", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    drawn = drawn.withColumn("_hash", F.conv(F.substring(F.md5(F.concat_ws(
-        "|", F.lit(str(seed)), F.col("draw").cast("string"), F.col("_rid").cast("string"))),
-        1, 13), 16, 10).cast("double"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    at = [16.0 ** 13 * i / parts for i in range(1, parts)]       # hashes are spread evenly
-    ranked = running_totals(drawn, "_hash", {"_rank": F.lit(1)}, by=["draw"], at=at)
-    return ranked.where(F.col("_rank") <= left_out).select("draw", "_rid")
+
+def _hash(seed: int, draw: Column, rid: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws(
+        "|", F.lit(str(seed)), draw.cast("string"), rid.cast("string"))), 1, 13), 16, 10).cast("bigint")
+
+
+def omission_limits(ids: DataFrame, left_out: int, draws: int, seed: int) -> list[int]:
+    """Per draw the hash up to which records are left out, so that ``left_out`` of them are.
+
+    Hashes are counted in equal parts first; only the part in which the last one falls is
+    ranked, which holds one in 4096 of the records of a draw. One number per draw comes back."""
+    each = ids.select("_rid", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    each = each.withColumn("h", _hash(seed, F.col("draw"), F.col("_rid")))
+    each = each.withColumn("part", F.shiftright("h", HASH_BITS - 12))
+    counts = each.groupBy("draw", "part").agg(F.count(F.lit(1)).alias("n"))
+    # at most 4096 rows per draw
+    before = Window.partitionBy("draw").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    edge = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(
+        (F.col("before") < left_out) & (F.col("before") + F.col("n") >= left_out))
+    edge = edge.select("draw", "part", (F.lit(left_out) - F.col("before")).alias("rest"))
+    order = Window.partitionBy("draw").orderBy("h", "_rid")
+    # one row per draw: safe to broadcast
+    last = each.join(F.broadcast(edge), ["draw", "part"]).withColumn(
+        "rn", F.row_number().over(order)).where("rn = rest")
+    found = {r["draw"]: r["h"] for r in last.select("draw", "h").collect()}
+    return [found[i] for i in range(draws)]
 
 
 def shift(df: DataFrame, kept: str, columns: Sequence[str], *, record: str = "record_id",
           draws: int = 200, seed: int = 0) -> DataFrame:
     """Per column how far the kept records (boolean column ``kept``) differ from all: SMD for
     numbers, TVD for categories, a verdict, and ``toeval``: the share of random omissions of as
-    many records that shift at least as much."""
+    many records that shift at least as much.
+
+    A record is read once and tells by itself in which draws it is left out; sums and counts
+    over what is left out combine before they shuffle, and what is kept follows by subtraction."""
     columns = list(columns)
     numbers = numeric_columns(df, columns)
     num = [c for c in columns if c in numbers]
     cat = [c for c in columns if c not in numbers]
-    total = df.count()
-    keptn = df.where(kept).count()
-    real = df.where(~F.col(kept)).select(F.lit(-1).alias("draw"), F.col(record).alias("_rid"))
-    chance = 0 < total - keptn < total
-    omitted = real
-    if chance and draws:
-        omitted = real.unionByName(_omissions(df, kept, record, draws, seed))
-    # only the records left out are read per draw: what is kept follows by subtraction
-    values = df.select(F.col(record).alias("_rid"), *[F.col(f"`{c}`") for c in columns])
-    gone = omitted.join(values, "_rid")
-    out = None
-    if num:
-        def cells(d, *keys):
-            return d.select(*keys, F.explode(F.array(*[
-                F.struct(F.lit(c).alias("kolom"), F.col(f"`{c}`").cast("string").try_cast("double")
-                         .alias("x")) for c in num])).alias("v")).select(*keys, "v.*")
-
-        whole = cells(values).groupBy("kolom").agg(
-            F.sum("x").alias("_s"), F.count("x").alias("_n"), F.stddev_pop("x").alias("_sd"))
-        per_draw = cells(gone, "draw").groupBy("kolom", "draw").agg(
-            F.sum("x").alias("_gs"), F.count("x").alias("_gn"))
-        base = whole.select("*", F.explode(F.lit(list(range(-1, draws if chance else 0)))
-                                           ).alias("draw"))
-        j = base.join(per_draw, ["kolom", "draw"], "left").fillna(0, ["_gs", "_gn"])
-        left = F.col("_n") - F.col("_gn")
-        smd = F.when((left > 0) & (F.col("_sd") > 0), (
-            (F.col("_s") - F.col("_gs")) / left - F.col("_s") / F.col("_n")) / F.col("_sd")
-            ).otherwise(0.0)
-        out = j.select("kolom", "draw", F.lit("SMD").alias("maat"), smd.alias("size"))
-    if cat:
-        def cells(d, *keys):
-            return d.select(*keys, F.explode(F.array(*[
-                F.struct(F.lit(c).alias("kolom"), F.coalesce(F.col(f"`{c}`").cast("string"),
-                                                             F.lit(EMPTY)).alias("x"))
-                for c in cat])).alias("v")).select(*keys, "v.*")
-
-        whole = cells(values).groupBy("kolom", "x").agg(F.count(F.lit(1)).alias("_n"))
-        per_draw = cells(gone, "draw").groupBy("kolom", "draw", "x").agg(
-            F.count(F.lit(1)).alias("_gn"))
-        base = whole.select("*", F.explode(F.lit(list(range(-1, draws if chance else 0)))
-                                           ).alias("draw"))
-        j = base.join(per_draw, ["kolom", "draw", "x"], "left").fillna(0, ["_gn"])
-        part = (F.col("_n") - F.col("_gn")) / F.lit(float(max(keptn, 1)))
-        tvd = (F.sum(F.abs(F.col("_n") / F.lit(float(total)) - part)) * 0.5)
-        rows = j.groupBy("kolom", "draw").agg(tvd.alias("size")).select(
-            "kolom", "draw", F.lit("TVD").alias("maat"), "size")
-        out = rows if out is None else out.unionByName(rows)
+    sizes = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(kept)).alias("k")).first()
+    total, keptn = sizes["n"], sizes["k"]
+    draws = draws if 0 < total - keptn < total else 0
+    out_of = F.when(F.col(kept), F.array().cast("array<int>")).otherwise(F.array(F.lit(-1)))
+    if draws:
+        limits = F.lit(np.array(omission_limits(df.select(F.col(record).alias("_rid")),
+                                                total - keptn, draws, seed), dtype="int64"))
+        out_of = F.concat(out_of, F.filter(
+            F.sequence(F.lit(0), F.lit(draws - 1)),
+            lambda i: _hash(seed, i, F.col(record)) <= F.get(limits, i)))
+    every = F.explode(F.lit(list(range(-1, draws)))).alias("draw")
+    parts = []
+    for names, measure, value in (
+            (num, "SMD", lambda c: F.col(f"`{c}`").cast("string").try_cast("double")),
+            (cat, "TVD", lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(EMPTY)))):
+        if not names:
+            continue
+        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("kolom"), value(c).alias("x"))
+                                    for c in names]))
+        whole = df.select(cells.alias("v")).select("v.*")
+        gone = df.select(out_of.alias("_d"), cells.alias("v")).select(
+            F.explode("_d").alias("draw"), "v.*")
+        parts.append(_smd(whole, gone, every) if measure == "SMD"
+                     else _tvd(whole, gone, every, total, keptn))
+    out = parts[0]
+    for other in parts[1:]:
+        out = out.unionByName(other)
+    out = cut(out)                          # one row per column and draw
     seen = out.where("draw = -1").select("kolom", "maat", F.col("size").alias("waarde"))
     drawn = out.where("draw >= 0").select("kolom", F.abs("size").alias("c"))
     likely = drawn.join(seen, "kolom").groupBy("kolom").agg(
@@ -123,6 +121,27 @@ def shift(df: DataFrame, kept: str, columns: Sequence[str], *, record: str = "re
         F.round("toeval", 3).alias("toeval"))
 
 
+def _smd(whole: DataFrame, gone: DataFrame, every: Column) -> DataFrame:
+    base = whole.groupBy("kolom").agg(F.sum("x").alias("_s"), F.count("x").alias("_n"),
+                                      F.stddev_pop("x").alias("_sd")).select("*", every)
+    per_draw = gone.groupBy("kolom", "draw").agg(F.sum("x").alias("_gs"), F.count("x").alias("_gn"))
+    j = base.join(per_draw, ["kolom", "draw"], "left").fillna(0, ["_gs", "_gn"])
+    left = F.col("_n") - F.col("_gn")
+    smd = F.when((left > 0) & (F.col("_sd") > 0), (
+        (F.col("_s") - F.col("_gs")) / left - F.col("_s") / F.col("_n")) / F.col("_sd")).otherwise(0.0)
+    return j.select("kolom", "draw", F.lit("SMD").alias("maat"), smd.alias("size"))
+
+
+def _tvd(whole: DataFrame, gone: DataFrame, every: Column, total: int, keptn: int) -> DataFrame:
+    base = whole.groupBy("kolom", "x").agg(F.count(F.lit(1)).alias("_n")).select("*", every)
+    per_draw = gone.groupBy("kolom", "draw", "x").agg(F.count(F.lit(1)).alias("_gn"))
+    j = base.join(per_draw, ["kolom", "draw", "x"], "left").fillna(0, ["_gn"])
+    part = (F.col("_n") - F.col("_gn")) / F.lit(float(max(keptn, 1)))
+    return j.groupBy("kolom", "draw").agg((F.sum(F.abs(
+        F.col("_n") / F.lit(float(total)) - part)) * 0.5).alias("size")).select(
+            "kolom", "draw", F.lit("TVD").alias("maat"), "size")
+
+
 def largest_change(df: DataFrame, kept: str, columns: Sequence[str]) -> DataFrame:
     """Per categorical column the category whose share changes most, before and after."""
     cells = df.select(F.col(kept).alias("_k"), F.explode(F.array(*[
