@@ -12,12 +12,17 @@ from pyspark.sql import functions as F
 
 from ..catalogue import CATEGORICAL, NUMERIC, Knowledge, Qid, custom
 from ..operators.population import Population
+from ..session import spread
 
 R = Knowledge.REGISTER
 
 
+FACTS = ("orders", "lineitem", "events", "customer")
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    scan = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(scan) if name in FACTS else scan
 
 
 def pop_rows(spark: SparkSession, d: str) -> DataFrame:

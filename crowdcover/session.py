@@ -55,6 +55,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A bare scan that gives fewer tasks than there are cores, spread over all of them. A table
+    of one small file would otherwise be worked on by a single core, however much work follows.
+    A table with files enough is left as it is: no shuffle is added there."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def keep(df: DataFrame) -> DataFrame:
     """Persist ``df`` for several uses; :func:`release` lets go of everything kept."""
     df = df.persist()

@@ -11,6 +11,7 @@ from ..catalogue import CATALOGUE, NUMERIC, RENAMED
 from ..functions import constraints as con
 from ..operators.enrich import overlay, with_aliases
 from ..operators.population import Population, Scope
+from ..session import spread
 
 SEPARATORS = ";,\t|"
 
@@ -24,13 +25,13 @@ def read_dataset(spark: SparkSession, path: str) -> DataFrame:
     """A dataset as text: CSV (separator from the header line, only an empty cell is missing), or
     Parquet with every column as written."""
     if path.rstrip("/").lower().endswith(".parquet"):
-        return spark.read.parquet(path)
+        return spread(spark.read.parquet(path))
     head = spark.read.text(path).first()
     sep = separator(head[0]) if head else ","
     df = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
           .option("nullValue", "").option("quote", '"').option("escape", '"')
           .option("multiLine", False).csv(path))
-    return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns})
+    return spread(df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns}))
 
 
 def with_record_id(df: DataFrame, columns: list[str], name: str = "record_id") -> DataFrame:
