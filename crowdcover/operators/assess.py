@@ -21,6 +21,7 @@ from ..session import cut
 from . import kmap
 from .ordering import median
 from .population import Population
+from .resolve import resolve
 
 # The statuses of a record, the bounds of p, and when delta is marked.
 OK, AT_RISK, NO_MATCH = "ok", "risico", "geen_match"
@@ -195,7 +196,7 @@ def assess(df: DataFrame, qids: Sequence[Qid], population: Population,
     """``df`` with the risk columns of every record (:data:`RESULT`).
 
     ``klasse`` is the lowest record id of the equivalence class, its representative."""
-    known = active(qids, scenario)
+    known, _ = resolve(df, active(qids, scenario), population, record)
     slots, estimated = slots_of(known)
     names = [f"c{i}" for i in range(len(known))]
     combos = constraints(reduced(df, known, record), known, record)
@@ -219,7 +220,7 @@ def score_variants(variants: Sequence[tuple[str, DataFrame, Sequence[Qid]]],
     slots: dict[tuple, kmap.Slot] = {}
     out = None
     for name, df, qids in variants:
-        known = active(qids, scenario)
+        known, _ = resolve(df, active(qids, scenario), population, record)
         frame = constraints(reduced(df, known, record), known, record)
         cols = [F.lit(name).alias(variant), F.col(record), F.col("_w").alias("records")]
         used: set[tuple] = set()

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..catalogue import Knowledge, Qid
 from ..functions import constraints as con
+from ..functions.numbers import count_le
+from ..session import cut
 from .assess import OK, Threshold, active, constraints, score_variants
+from .ordering import cuts
 from .population import Population
 
 # The rounding steps that are recognised, largest first, and how many distinct
@@ -63,11 +66,7 @@ def neighbouring_classes(df: DataFrame, qids: Sequence[Qid], record: str) -> Dat
     distinct = _distinct(df, qids, record)
     classes = distinct.where(F.col("lo").isNull() | F.col("hi").isNull()
                              | (F.col("lo") != F.col("hi")))
-    # one window per column, over the distinct classes of its codebook
-    order = Window.partitionBy("nr").orderBy(F.col("lo").asc_nulls_first(),
-                                             F.col("hi").asc_nulls_last())
-    pairs = classes.withColumns({"lo_2": F.lead("lo").over(order), "hi_2": F.lead("hi").over(order),
-                                 "_more": F.lead(F.lit(1)).over(order)}).where("_more = 1")
+    pairs = _with_next(cut(classes))
     unit = F.get(F.lit([1.0 if q.spec.integer else 0.0 for q in qids]), F.col("nr"))
     hi, lo2 = F.col("hi"), F.col("lo_2")
     kind = (F.when(hi.isNull() | lo2.isNull(), "overlap")
@@ -78,6 +77,25 @@ def neighbouring_classes(df: DataFrame, qids: Sequence[Qid], record: str) -> Dat
                         "lo", "hi", "lo_2", "hi_2", kind.alias("soort"))
 
 
+def _with_next(classes: DataFrame) -> DataFrame:
+    """Every class with the next one of its column. The order is cut into parts along the lower
+    bound; the last class of a part is followed by the first one of the next part that has any."""
+    parts = classes.withColumn("_part", F.coalesce(
+        count_le(cuts(classes, "lo"), F.col("lo")), F.lit(0)))
+    order = Window.partitionBy("nr", "_part").orderBy(F.col("lo").asc_nulls_first(),
+                                                      F.col("hi").asc_nulls_last())
+    bounds = F.struct("lo", "hi")
+    numbered = parts.withColumns({"_next": F.lead(bounds).over(order),
+                                  "_nr": F.row_number().over(order)})
+    # one row per column and part
+    follow = Window.partitionBy("nr").orderBy("_part")
+    firsts = numbered.where("_nr = 1").select(
+        "nr", "_part", F.lead(bounds).over(follow).alias("_first"))
+    out = numbered.join(firsts, ["nr", "_part"]).withColumn("_next", F.coalesce("_next", "_first"))
+    return out.where(F.col("_next").isNotNull()).select(
+        "nr", "lo", "hi", F.col("_next.lo").alias("lo_2"), F.col("_next.hi").alias("hi_2"))
+
+
 def _distinct(df: DataFrame, qids: Sequence[Qid], record: str) -> DataFrame:
     """Distinct numeric constraints per column; unreadable values are left out."""
     plain = [q.with_(reading=None, tolerance=0.0) for q in qids]

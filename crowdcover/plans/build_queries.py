@@ -374,6 +374,19 @@ def linked_comparison(spark, d):
     return t.select("kenmerk", "n", "maat", "waarde", "wasserstein", "oordeel")
 
 
+_P1000 = ", ".join(repr((i + 0.5) / 1000) for i in range(1000))
+LINKED = f"""WITH {ADDRESS}, l AS (SELECT s_suppkey, bal, nat FROM supplier JOIN reg ON s_suppkey = c_custkey),
+ w AS (SELECT avg(bal) AS mu, stddev_pop(bal) AS sd, quantile_cont(bal, [{_P1000}]) AS qp FROM reg),
+ f AS (SELECT count(bal) AS n, avg(bal) AS m, quantile_cont(bal, [{_P1000}]) AS qd FROM l),
+ x AS (SELECT n, (m - mu) / sd AS v, (SELECT avg(abs(a - b)) FROM (SELECT unnest(qp) AS a, unnest(qd) AS b)) / sd AS ws FROM w, f),
+ c AS (SELECT nat, count(*) AS p, (SELECT count(*) FROM l WHERE l.nat = reg.nat) AS k FROM reg GROUP BY nat),
+ t AS (SELECT sum(k)::BIGINT AS n, 0.5 * sum(abs(k / (SELECT count(*) FROM l) - p / (SELECT count(*) FROM reg))) AS v FROM c)
+SELECT 'uhi__degC' AS kenmerk, n, 'SMD' AS maat, round(v, 3) AS waarde, round(ws, 3) AS wasserstein,
+  CASE WHEN abs(v) < 0.1 THEN 'verwaarloosbaar' WHEN abs(v) < 0.2 THEN 'klein' ELSE 'merkbaar' END AS oordeel FROM x
+UNION ALL SELECT 'gemeente__cat', n, 'TVD', round(v, 3), NULL,
+  CASE WHEN v < 0.05 THEN 'verwaarloosbaar' WHEN v < 0.1 THEN 'klein' ELSE 'merkbaar' END FROM t"""
+
+
 QUERIES = {
     "link_by_id": (link_by_id, LINK_ID),
     "link_by_address": (link_by_address, LINK_ADDRESS),
@@ -391,5 +404,5 @@ QUERIES = {
     "number_comparison": (number_comparison, _number_sql()),
     "class_shares": (class_shares, SHARES),
     "population_quantiles": (population_quantiles, _quantile_sql()),
-    "linked_comparison": (linked_comparison, None),
+    "linked_comparison": (linked_comparison, LINKED),
 }

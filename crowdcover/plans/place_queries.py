@@ -6,9 +6,12 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..catalogue import CATALOGUE, CATEGORICAL, Knowledge, Qid, custom
 from ..functions import geo
 from ..functions.numbers import uniform
 from ..operators import enrich, facade, spatial
+from ..operators.assess import assess
+from ..operators.population import Population
 from .views import table
 
 # Positions follow from a hash of the key, in a box around the middle of the country.
@@ -303,6 +306,35 @@ def trading_blocks(spark, d):
     return out.groupBy("blok").agg(F.count(F.lit(1)).alias("leden"))
 
 
+def assess_cells(spark, d):
+    """Customers published by cell and segment, when the true point may lie 5 km away: counted in
+    the cell and its ring, at the level the cells turn out to have."""
+    p = geo.with_cells(customers(spark, d), (4, 5)).join(table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("seg")), "id")
+    ds = p.select(F.col("id").alias("record_id"), F.col("h3_r5__str").alias("zone"), "seg")
+    q = [Qid("zone", CATALOGUE["h3_cel"], tolerance=5.0),
+         Qid("seg", custom("seg", CATEGORICAL, Knowledge.REGISTER, population_column="seg"))]
+    return assess(ds, q, Population(p)).select("record_id", "f_dataset", "k_populatie", "status")
+
+
+ASSESS_CELLS = f"""WITH {PTS}, c AS (SELECT id, seg, {cell_sql('la', 'lo', 5)} AS cel FROM pts),
+ g AS (SELECT cel, seg, count(*) AS n FROM c GROUP BY ALL),
+ k AS (SELECT a.cel, a.seg, a.n AS f, sum(b.n) AS k FROM g a JOIN g b ON a.seg = b.seg AND {_steps('a.cel', 'b.cel')} <= 1 GROUP BY ALL)
+SELECT id AS record_id, f AS f_dataset, k::BIGINT AS k_populatie, CASE WHEN k < 11 THEN 'risico' ELSE 'ok' END AS status
+FROM c JOIN k USING (cel, seg)"""
+
+
+def weather_zones(spark, d):
+    ds, _ = spatial.add_weather(customers(spark, d), method="h3", lat="lat__degN", lon="lon__degE",
+                                record="id", level=5, sigma=10.0, seed=4)
+    return spatial.zones(ds, spatial.WEATHER_CELL)
+
+
+ZONES = f"""WITH {PTS}, n AS (SELECT id, la + {_gauss(4, 'y', 'id')} * 10.0 / 111.0 AS la2,
+   lo + {_gauss(4, 'x', 'id')} * 10.0 / (cos(radians(la)) * 111.0) AS lo2 FROM pts)
+SELECT {cell_sql('la2', 'lo2', 5)} AS weerzone_h3, count(*) AS n, 5 AS niveau FROM n GROUP BY 1"""
+
+
 QUERIES = {
     "nearest_station": (nearest_station, NEAREST),
     "nearest_by_cell": (nearest_by_cell, NEAREST),
@@ -320,4 +352,6 @@ QUERIES = {
     "exposed_walls": (exposed_walls, _exposed_sql()),
     "neighbours_and_blocks": (neighbours, NEIGHBOURS),
     "connected_blocks": (trading_blocks, None),
+    "assess_cells": (assess_cells, ASSESS_CELLS),
+    "weather_zones": (weather_zones, ZONES),
 }

@@ -51,9 +51,7 @@ def dwellings(spark, d):
 
 def references(spark, d):
     """Reference dwellings per type and period, from the mean prices of the parts."""
-    periods = ["< 1946", "< 1965", "1946–1964", "1965–1974", "1975–1991", "1992–2005", "2006–2014",
-               "2015–2018"]
-    n = len(periods)
+    n = len(PERIODS)
     p = table(spark, d, "part").groupBy((F.col("p_partkey") % (4 * n)).alias("nr")).agg(
         (F.avg("p_size") / 100).alias("b"))
     b = F.col("b")
@@ -63,7 +61,7 @@ def references(spark, d):
 
     return p.select(
         F.get(F.lit(TYPES[:4]), (F.col("nr") % 4).cast("int")).alias("woningtype"),
-        F.get(F.lit(periods), F.floor(F.col("nr") / 4).cast("int")).alias("periode"),
+        F.get(F.lit(list(PERIODS)), F.floor(F.col("nr") / 4).cast("int")).alias("periode"),
         F.concat(F.lit("ref"), F.col("nr").cast("string")).alias("id"),
         levels(1.6, 0.7, 0.4, 0.2).alias("u_gevel"), levels(2.9, 2.0, 1.2, 0.8).alias("u_raam"),
         levels(3.4, 2.0, 1.4, 1.0).alias("u_deur"), levels(1.2, 0.7, 0.4, 0.2).alias("u_vloer"),
@@ -126,6 +124,82 @@ SELECT i::VARCHAR AS vbo_id__str, CASE WHEN ok THEN round_even(h * 100, 0) / 100
   CASE WHEN ok THEN round_even(asol * 1000, 0) / 1000 END AS Asol__m2, CASE WHEN ok THEN round_even(ainf * 10, 0) / 10 END AS Ainf__cm2 FROM o"""
 
 
+PERIODS = ("< 1946", "< 1965", "1946–1964", "1965–1974", "1975–1991", "1992–2005", "2006–2014",
+           "2015–2018")
+
+
+def label_signature_sql(ep: bool) -> str:
+    """The label-based methods: the reference dwelling at the level of the label, its windows by
+    the direction of the walls."""
+    def at(values, t="lv"):
+        vals = f"[{', '.join(values)}]"
+        return (f"CASE WHEN floor({t}) >= 3 THEN {values[3]} ELSE {vals}[floor({t})::INT + 1] * (1 - ({t} - floor({t}))) "
+                f"+ {vals}[least(floor({t})::INT + 2, 4)] * ({t} - floor({t})) END")
+
+    def ref(*values):
+        return at([f"({v}::DOUBLE + b * 0.1)" for v in values])
+
+    def adj(u):
+        return f"(1 / (1 / ({u}) + 0.15))"
+
+    q = [f"({v}::DOUBLE - b * 5)" for v in (260, 150, 80, 45)]
+    seg = " ".join(f"WHEN {q[i + 1]} <= w AND w <= {q[i]} THEN {i} + ({q[i]} - w) / ({q[i]} - {q[i + 1]})"
+                   for i in range(3))
+    t = [f"(i * {j + 1} % 15 + 10.0::DOUBLE)" for j in range(8)]
+    side = "(i % 5 * 1.0::DOUBLE)"                   # a side wall is never longer than the wall
+    ws = [f"({x} - {side} + sw * {side})" for x in t]
+    if ep:
+        area = "compact * coalesce(agl, ag)"
+        areas = (f"{area} * 0.12 AS win, {area} * 0.35 AS wall, {area} * 0.03 AS dr, {area} * 0.2 * 0.7 AS grb, "
+                 f"{area} * 0.3 AS rf, coalesce(agl, ag) AS gbo")
+    else:
+        areas = ("ow * (0.2 + b * 0.1) AS win, ow - ow * (0.2 + b * 0.1) - (6.0 + b) AS wall, 6.0 + b AS dr, "
+                 "gr * 0.7 AS grb, roof AS rf, ag AS gbo")
+    o = [f"greatest((wall + win + dr) * {x} / tt - (win + dr) * {w} / wt, 0)" for x, w in zip(t, ws)]
+
+    def mean(parts, total):
+        return "(" + " + ".join(f"{x} * {r}" for x, r in zip(parts, sig.SECTOR_RATIO)) + f") / {total}"
+
+    return f"""WITH rf AS (SELECT p_partkey % 32 AS nr, avg(p_size) / 100 AS b FROM part GROUP BY 1),
+ d AS (SELECT o_orderkey AS i, o_orderkey * 7 % 125 + 1900 AS y, o_orderkey % 140 + 60 AS ag,
+   CASE o_orderkey % 6 WHEN 0 THEN 'vrijstaand' WHEN 1 THEN 'twee_onder_een_kap' WHEN 2 THEN 'hoekwoning' WHEN 3 THEN 'tussenwoning'
+     ELSE CASE WHEN o_orderkey % 3 = 0 THEN 'vrijstaand' WHEN (o_orderkey % 70)::DOUBLE / (o_orderkey % 70 + o_orderkey % 90 + 90) < 0.44
+       THEN 'twee_onder_een_kap' ELSE 'tussenwoning' END END AS kind,
+   o_orderkey % 90 + 90.0::DOUBLE AS ow, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey % 30 + 40.0::DOUBLE END AS gr,
+   o_orderkey % 20 + o_orderkey % 25 + 50.0::DOUBLE AS roof, o_orderkey % 8 <> 0 AS single, o_orderkey % 3 = 1 AS flat,
+   CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 ELSE 2 END AS cls,
+   CASE WHEN o_orderkey % 7 > 0 THEN o_orderkey % 10 / 10.0::DOUBLE + 1.5 END AS compact,
+   CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 140 + 55.0::DOUBLE END AS agl FROM orders),
+ p AS (SELECT *, CASE WHEN y < 1946 AND kind IN ('hoekwoning', 'tussenwoning') THEN 0 WHEN y < 1965 AND kind NOT IN ('hoekwoning', 'tussenwoning') THEN 1
+   WHEN y < 1965 THEN 2 WHEN y < 1975 THEN 3 WHEN y < 1992 THEN 4 WHEN y < 2006 THEN 5 WHEN y < 2015 THEN 6 ELSE 7 END AS per,
+   CASE kind WHEN 'vrijstaand' THEN 0 WHEN 'twee_onder_een_kap' THEN 1 WHEN 'hoekwoning' THEN 2 ELSE 3 END AS kn FROM d),
+ r AS (SELECT p.*, b, (i % 200 + 50.0::DOUBLE) * CASE WHEN compact > 0 THEN (2.0 + b) / compact ELSE 1 END AS w,
+   CASE WHEN kind = 'vrijstaand' THEN 1.0 ELSE 0.5 END AS sw FROM p JOIN rf ON nr = per * 4 + kn),
+ l AS (SELECT *, CASE WHEN i % 3 = 0 THEN CASE WHEN w >= {q[0]} THEN 0.0 WHEN w <= {q[3]} THEN 3.0 {seg} ELSE 1.0 END
+   WHEN i % 5 = 1 THEN 2.0 WHEN i % 5 = 0 THEN 1.5 ELSE 1.0 END::DOUBLE AS lv FROM r),
+ u AS (SELECT *, {adj(ref(1.6, 0.7, 0.4, 0.2))} AS ug, ({ref(2.9, 2.0, 1.2, 0.8)}) * 0.9 AS uw, ({ref(3.4, 2.0, 1.4, 1.0)}) * 0.9 AS uu,
+   {adj(ref(1.2, 0.7, 0.4, 0.2))} AS uv, {adj(ref(1.5, 0.6, 0.3, 0.15))} AS ud,
+   {at(['0.85::DOUBLE', '0.75', '0.6', '0.4'])} AS g, {areas}, {' + '.join(t)} AS tt, {' + '.join(ws)} AS wt,
+   {_steps('y', sig.MASS_BY_YEAR)}::DOUBLE AS mass, {_steps('y', sig.AIR_BY_YEAR)} * CASE kind WHEN 'tussenwoning' THEN 1.0 WHEN 'vrijstaand' THEN 1.4 ELSE 1.2 END
+     * CASE WHEN flat THEN 0.7 ELSE 1.0 END * 0.5::DOUBLE AS qv FROM l),
+ v AS (SELECT *, {mean(ws, 'wt')} AS rw, {' + '.join(o)} AS ot FROM u),
+ k AS (SELECT *, CASE WHEN wall IS NULL THEN 0.731 ELSE rw END AS r1, CASE WHEN wall IS NULL THEN 0.731 WHEN ot > 0 THEN {mean(o, 'ot')} ELSE {mean(t, 'tt')} END AS r2 FROM v),
+ h AS (SELECT *, wall * ug + win * uw + dr * uu + grb * uv + rf * ud AS h, mass * 1000 / 3600 * gbo AS c,
+   win * 0.7::DOUBLE * g * 0.9 * 0.9 * r1 + wall * (0.6 * 0.04) * ug * r2 + dr * (0.6 * 0.04) * uu * r1 + rf * (0.6 * 0.04) * ud AS asol,
+   qv * gbo * pow(4.0::DOUBLE / 10.0, 0.67) / 1000.0 / sqrt(8.0::DOUBLE / 1.2) * 1e4 * CASE cls WHEN 1 THEN 0.23 WHEN 2 THEN 0.2877 ELSE 0.331 END AS ainf FROM k),
+ z AS (SELECT *, single AND h > 0 AND wall > 0 AS ok FROM h)
+SELECT i::VARCHAR AS vbo_id__str, CASE WHEN ok THEN round_even(h * 100, 0) / 100 END AS H__W_K_1,
+  CASE WHEN ok THEN round_even(c * 10, 0) / 10 END AS C__Wh_K_1, CASE WHEN ok THEN round_even(c / h * 1000, 0) / 1000 END AS tau__h,
+  CASE WHEN ok THEN round_even(asol * 1000, 0) / 1000 END AS Asol__m2, CASE WHEN ok THEN round_even(ainf * 10, 0) / 10 END AS Ainf__cm2 FROM z"""
+
+
+def _fitting_sql():
+    pick = ", ".join(f"CASE WHEN e.H__W_K_1 IS NOT NULL THEN e.{c} ELSE b.{c} END AS {c}"
+                     for c in sig.OUTPUT_COLUMNS)
+    return (f"WITH e AS ({label_signature_sql(True)}), b AS ({label_signature_sql(False)}) "
+            f"SELECT vbo_id__str, {pick} FROM e JOIN b USING (vbo_id__str)")
+
+
 def signature_nta(spark, d):
     return _sig(spark, d, "nta8800")
 
@@ -421,12 +495,51 @@ CHECKED = f"""WITH {PTS.replace(' sts AS', ' sts0 AS')}, sts AS (SELECT (n_natio
 SELECT c_custkey AS record_id, CASE WHEN list_contains(al, s) THEN s ELSE array_to_string(list_sort(list_append(al, s)), '|') END AS station_gelezen,
   NOT list_contains(al, s) AS verdacht FROM c JOIN r USING (seg)"""
 
+BORDER = f"""WITH {PTS.replace(' sts AS', ' sts0 AS')}, sts AS (SELECT (n_nationkey + 200)::VARCHAR AS s, {_u('wla', 'n_nationkey')} * 2 + 51 AS la,
+   {_u('wlo', 'n_nationkey')} * 3 + 4 AS lo FROM nation), cl AS (SELECT DISTINCT CELL AS cand FROM pts),
+ p AS (SELECT cand, EDGE * split_part(cand, ':', 3)::BIGINT * 1.5 / KY AS la, EDGE * (split_part(cand, ':', 2)::BIGINT * SQ3
+   + split_part(cand, ':', 3)::BIGINT * SQ32) / KX AS lo FROM cl),
+ r AS (SELECT cand, s.s FROM p, sts s QUALIFY row_number() OVER (PARTITION BY cand ORDER BY {HAVERSINE}, s.s) <= 2)
+SELECT cand, array_to_string(list_sort(list(s)), '|') AS stations FROM r GROUP BY cand"""
+
+
+def _border_sql():
+    import math
+
+    from .place_queries import KX, KY, cell_sql
+    out = BORDER.replace("CELL", cell_sql("la", "lo", 5)).replace("EDGE", f"{9.85!r}::DOUBLE")
+    return out.replace("SQ32", f"{math.sqrt(3.0) / 2!r}::DOUBLE").replace(
+        "SQ3", f"{math.sqrt(3.0)!r}::DOUBLE").replace("KY", repr(KY)).replace("KX", repr(KX))
+
+
+def sampled_users(spark, d):
+    """The events of forty users, chosen by a hash of their id."""
+    from ..sources.series import sample_entities
+
+    e = table(spark, d, "events").select("event_id", "user_id", "value")
+    return sample_entities(e, 40, 3, "user_id")
+
+
+SAMPLED = """SELECT event_id, user_id, value FROM events WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM events)
+  ORDER BY md5('3|' || user_id), user_id LIMIT 40)"""
+
+
+def traced_columns(spark, d):
+    """The traced place back onto the users, as columns that enter an assessment."""
+    t = trace.trace(planted(spark, d), weather(spark, d), weather_stations(spark, d), _cells(spark, d, (4,)))
+    users = table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return trace.onto_dataset(users, "user_id", t, weather_stations(spark, d))
+
+
+TRACED_COLUMNS = """SELECT user_id, count(*) AS n, (user_id % 25 + 200)::VARCHAR AS weer_knmi_station, NULL::VARCHAR AS weerzone_h3,
+  0.0::DOUBLE AS onzekerheid_km FROM events GROUP BY user_id"""
+
 QUERIES = {
     "signature_nta8800": (signature_nta, signature_sql(False)),
     "signature_mwa": (signature_mwa, signature_sql(True)),
-    "signature_best": (signature_best, None),
-    "signature_label": (signature_label, None),
-    "signature_fitting": (signature_fitting, None),
+    "signature_best": (signature_best, label_signature_sql(False)),
+    "signature_label": (signature_label, label_signature_sql(True)),
+    "signature_fitting": (signature_fitting, _fitting_sql()),
     "signature_table": (signature_table, SIGNATURE_TABLE),
     "signature_lookup": (signature_lookup, LOOKUP),
     "signature_as_learned": (as_learned, LEARNED),
@@ -437,7 +550,9 @@ QUERIES = {
     "wind_constants": (wind_constants, WIND),
     "interpolated_cells": (interpolated, _interpolated_sql()),
     "interpolated_rbf": (interpolated_rbf, None),
-    "border_cells": (border_cells, None),
+    "border_cells": (border_cells, _border_sql()),
+    "sampled_users": (sampled_users, SAMPLED),
+    "traced_columns": (traced_columns, TRACED_COLUMNS),
     "traced_shifts": (traced_shifts, TRACED_SHIFTS),
     "traced_stations": (traced_stations, TRACED_STATIONS),
     "traced_months": (traced_months, TRACED_MONTHS),

@@ -169,3 +169,24 @@ def test_interval_codes_are_exact():
     for lo, hi, x in itertools.product(lows, highs, xs):
         if lo <= hi:
             assert (code(lo) <= code(x) <= code(hi)) == (lo <= x <= hi)
+
+
+def test_cells_and_stopped_stations(spark):
+    """A cell is counted at its own level; a stopped station as its successor, unless the
+    population still has it."""
+    from crowdcover.operators.resolve import resolve
+
+    rows = [("4:1:1", "5:2:2", "215")] * 3 + [("4:1:2", "5:2:3", "260")] * 2
+    base = spark.createDataFrame(rows, "h3_r4__str string, h3_r5__str string, knmi_station__cat string")
+    df = spark.createDataFrame([(1, "5:2:2", "210"), (2, "5:2:3", "06260"), (3, None, None)],
+                               "record_id int, zone string, station string")
+    zone, station = Qid("zone", CATALOGUE["h3_cel"]), Qid("station", CATALOGUE["knmi_station"])
+    got = {r.record_id: r.k_populatie for r in assess(df, [zone, station], Population(base)).collect()}
+    assert got == {1: 3, 2: 2, 3: 5}
+    _, notes = resolve(df, [zone, station], Population(base), "record_id")
+    assert len(notes) == 1 and "successor" in notes[0]
+    old = Population(base.union(spark.createDataFrame([("4:9:9", "5:9:9", "210")])))
+    got = {r.record_id: r.k_populatie for r in assess(df, [station], old).collect()}
+    assert got[1] == 1
+    empty = df.withColumn("zone", F.lit(None).cast("string"))
+    assert {r.k_populatie for r in assess(empty, [zone], Population(base)).collect()} == {5}
