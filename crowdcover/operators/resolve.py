@@ -64,7 +64,8 @@ def _station(df, q, population, notes) -> Qid:
     known = {r[0] for r in population.df.select(
         F.col(q.spec.population_column).cast("string").alias("s")).where(
             F.col("s").isin(*old)).distinct().collect()}
-    value = clean.station_as_is(F.explode(F.split(F.col(q.column).cast("string"), r"\|")))
+    value = F.explode(F.transform(F.split(F.col(q.column).cast("string"), r"\|"),
+                                  clean.station_as_is))
     seen = {r[0] for r in df.select(value.alias("s")).where(F.col("s").isin(*old)).distinct().collect()}
     for s in sorted(seen):
         kept = "itself: the population still has it" if known else f"{clean.SUCCESSORS[s]}, its successor"

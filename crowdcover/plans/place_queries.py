@@ -306,6 +306,15 @@ def trading_blocks(spark, d):
     return out.groupBy("blok").agg(F.count(F.lit(1)).alias("leden"))
 
 
+TRADING = """WITH RECURSIVE o AS (SELECT DISTINCT o_custkey AS a, -datediff('day', TIMESTAMP '1990-01-01', o_orderdate)
+   - CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE 100000 END AS b FROM orders),
+ e AS (SELECT a, b FROM o UNION ALL SELECT b, a FROM o),
+ cc(node, lab) USING KEY (node) AS (SELECT a AS node, a AS lab FROM (SELECT DISTINCT a FROM e)
+   UNION SELECT e.b, min(c.lab) FROM cc c JOIN e ON e.a = c.node JOIN recurring.cc r ON r.node = e.b
+   WHERE c.lab < r.lab GROUP BY e.b)
+SELECT lab AS blok, count(*) AS leden FROM cc WHERE node >= 0 GROUP BY lab"""
+
+
 def assess_cells(spark, d):
     """Customers published by cell and segment, when the true point may lie 5 km away: counted in
     the cell and its ring, at the level the cells turn out to have."""
@@ -351,7 +360,7 @@ QUERIES = {
     "shared_walls": (shared_walls, SHARED),
     "exposed_walls": (exposed_walls, _exposed_sql()),
     "neighbours_and_blocks": (neighbours, NEIGHBOURS),
-    "connected_blocks": (trading_blocks, None),
+    "connected_blocks": (trading_blocks, TRADING),
     "assess_cells": (assess_cells, ASSESS_CELLS),
     "weather_zones": (weather_zones, ZONES),
 }

@@ -524,6 +524,33 @@ SAMPLED = """SELECT event_id, user_id, value FROM events WHERE user_id IN (SELEC
   ORDER BY md5('3|' || user_id), user_id LIMIT 40)"""
 
 
+def clock_periods(spark, d):
+    """The days of all orders as hours of a reference: clock periods of the country they are in."""
+    o = table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("time"))
+    return trace.periods(o)
+
+
+CLOCK = """WITH h AS (SELECT DISTINCT o_orderdate AS t FROM orders),
+ s AS (SELECT y, (m3 - INTERVAL 1 DAY * (isodow(m3) % 7)) + INTERVAL 1 HOUR AS a, (m9 - INTERVAL 1 DAY * (isodow(m9) % 7)) + INTERVAL 1 HOUR AS b
+   FROM (SELECT range AS y, make_timestamp(range, 3, 31, 0, 0, 0) AS m3,
+     CASE WHEN range <= 1995 THEN make_timestamp(range, 9, 30, 0, 0, 0) ELSE make_timestamp(range, 10, 31, 0, 0, 0) END AS m9 FROM range(1990, 2010))),
+ o AS (SELECT t, t >= a AND t < b AS z FROM h JOIN s ON year(t) = y),
+ w AS (SELECT *, coalesce(z <> lag(z) OVER (ORDER BY t), FALSE) AS sw FROM o),
+ v AS (SELECT *, sum(sw::INT) OVER (ORDER BY t) AS p, max(CASE WHEN sw THEN t END) OVER (ORDER BY t) AS l,
+   min(CASE WHEN sw THEN t END) OVER (ORDER BY t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n FROM w)
+SELECT t AS time, p::INTEGER AS period, z AS zomer, coalesce(t - l < INTERVAL 24 HOUR, FALSE) OR coalesce(n - t <= INTERVAL 24 HOUR, FALSE) AS bij_wissel FROM v"""
+
+
+def time_kinds(spark, d):
+    """How the users keep time, from the shifts that fit."""
+    _, shifts = trace.align(planted(spark, d), weather(spark, d))
+    return trace.time_findings(shifts)
+
+
+TIME_KINDS = """SELECT CASE WHEN user_id % 5 = 2 THEN 'utc' ELSE 'vast' END AS soort, CASE WHEN user_id % 5 <> 2 THEN (2 - user_id % 5)::INTEGER END AS verschuiving,
+  count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2"""
+
+
 def traced_columns(spark, d):
     """The traced place back onto the users, as columns that enter an assessment."""
     t = trace.trace(planted(spark, d), weather(spark, d), weather_stations(spark, d), _cells(spark, d, (4,)))
@@ -551,6 +578,8 @@ QUERIES = {
     "interpolated_cells": (interpolated, _interpolated_sql()),
     "interpolated_rbf": (interpolated_rbf, None),
     "border_cells": (border_cells, _border_sql()),
+    "clock_periods": (clock_periods, CLOCK),
+    "time_kinds": (time_kinds, TIME_KINDS),
     "sampled_users": (sampled_users, SAMPLED),
     "traced_columns": (traced_columns, TRACED_COLUMNS),
     "traced_shifts": (traced_shifts, TRACED_SHIFTS),
