@@ -184,7 +184,7 @@ SELECT id, count(x1) % 2 = 1 AS binnen FROM pts LEFT JOIN e ON (y1 > la) <> (y2
 def land_share(spark, d):
     e = spatial.ring_edges(_rings(spark, d), ["n_nationkey"])
     cells = geo.with_cells(customers(spark, d), (4,), name=lambda n: "cel").select("cel").distinct()
-    return spatial.land_share(cells, "cel", e, 2).withColumn("aandeel", F.round("aandeel", 6))
+    return spatial.land_share(cells, "cel", e, 3).withColumn("aandeel", F.round("aandeel", 6))
 
 
 def heat_classes(spark, d):
@@ -306,6 +306,23 @@ def trading_blocks(spark, d):
     return out.groupBy("blok").agg(F.count(F.lit(1)).alias("leden"))
 
 
+def _land_sql():
+    r3, r32 = f"{math.sqrt(3.0)!r}::DOUBLE", f"{math.sqrt(3.0) / 2!r}::DOUBLE"
+    e4, e6 = f"{9.85 * 7.0 ** 0.5!r}::DOUBLE", f"{9.85 / 7.0!r}::DOUBLE"
+    q, r = _axial("cel")
+    fq, fr = _axial("f")
+    rings = INSIDE[INSIDE.index("v AS"):INSIDE.index("SELECT id, count(x1)")]
+    return f"""WITH {PTS}, {rings}, cl AS (SELECT DISTINCT {cell_sql('la', 'lo', 4)} AS cel FROM pts),
+ ct AS (SELECT cel, {e4} * {r} * 1.5 / {KY!r} AS la, {e4} * ({q} * {r3} + {r} * {r32}) / {KX!r} AS lo FROM cl),
+ st AS (SELECT cel, {cell_sql('la', 'lo', 7)} AS f FROM ct),
+ cd AS (SELECT cel, {fq} + a.range - 16 AS q, {fr} + b.range - 16 AS r FROM st, range(33) a, range(33) b),
+ ps AS (SELECT cel, q, r, {e6} * r * 1.5 / {KY!r} AS la, {e6} * (q * {r3} + r * {r32}) / {KX!r} AS lo FROM cd),
+ fi AS (SELECT * FROM ps WHERE {cell_sql('la', 'lo', 4)} = cel),
+ te AS (SELECT cel, q, r, count(x1) % 2 AS b FROM fi LEFT JOIN e ON (y1 > la) <> (y2 > la)
+   AND lo < x1 + (la - y1) * (x2 - x1) / (y2 - y1) GROUP BY cel, q, r)
+SELECT cel, round(avg(b), 6) AS aandeel FROM te GROUP BY cel"""
+
+
 TRADING = """WITH RECURSIVE o AS (SELECT DISTINCT o_custkey AS a, -datediff('day', TIMESTAMP '1990-01-01', o_orderdate)
    - CASE WHEN o_custkey % 2 = 0 THEN 0 ELSE 100000 END AS b FROM orders),
  e AS (SELECT a, b FROM o UNION ALL SELECT b, a FROM o),
@@ -354,7 +371,7 @@ QUERIES = {
     "noisy_cells": (noisy_cells, NOISY),
     "cell_statistics": (cell_statistics, STATISTICS),
     "inside_polygons": (inside_polygons, INSIDE),
-    "land_share": (land_share, None),
+    "land_share": (land_share, _land_sql()),
     "heat_classes": (heat_classes, HEAT),
     "ring_edges": (ring_edges, RING_EDGES),
     "shared_walls": (shared_walls, SHARED),
