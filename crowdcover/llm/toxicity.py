@@ -1,13 +1,13 @@
 """Toxic passages: the segments of a text whose words speak most for the toxic class.
 
 1. *Log-odds.* Words are reduced to stems (their first letters, lower case, without punctuation), as
-   one insult comes with many endings. For every stem the documents of each class that hold it are
-   counted, each text once however often it is copied. A Dirichlet prior that follows the stem's share
-   of all documents, plus a constant, shrinks the log-odds; a stem whose log-odds are many standard
+   one insult comes with many endings. For every stem the words in the documents of each class are
+   counted, word by word, each text once however often it is copied. A Dirichlet prior that follows
+   the stem's share of the whole corpus, plus a constant, shrinks the log-odds; a stem whose log-odds are many standard
    deviations from 0 is a scoring stem. Stems are hashed to STEM_BUCKETS numbers, so a model is a
    table of bounded size, whatever the corpus.
-2. *Segments.* A word with a scoring stem scores its log-odds, any other a small negative number, the
-   log-odds of seeing no scoring stem. One linear scan gives all maximal segments: those that no
+2. *Segments.* The first word with a scoring stem scores its log-odds; any other word, and one whose
+   stem the text had before, scores a small negative number, the log-odds of seeing no scoring stem. One linear scan gives all maximal segments: those that no
    extension and no cut within makes better.
 3. *Extreme values.* The best segment of n random words is about ln(K n) / lambda, with Gumbel tails.
    lambda solves sum p(s) exp(lambda s) = 1 over the scores of clean words; K fits the clean documents
@@ -44,10 +44,11 @@ from crowdcover.llm.common import as_bytes, batches, small, written
 #: Numbers that stems are hashed to; the model has at most so many.
 STEM_BUCKETS = 1 << 22
 STEM = 5
-#: The prior counts as so many documents, spread like the stems of the corpus, and so many per stem.
-PRIOR_DOCUMENTS, PRIOR_EACH = 20.0, 0.5
+#: The prior counts as so many words, spread like the words of the corpus, and so many per stem; the
+#: classes share them by their sizes, so it favours neither.
+PRIOR_WORDS, PRIOR_EACH = 1000.0, 0.5
 #: Standard deviations of the log-odds above which a stem scores, and the least log-odds.
-MIN_DEVIATIONS, MIN_LOG_ODDS = 2.5, 1.0
+MIN_DEVIATIONS, MIN_LOG_ODDS = 3.0, 3.0
 MAX_LOG_ODDS = 8.0
 MAX_EXPECTED = 0.05
 #: Stems a task counts before it hands them on.
@@ -93,11 +94,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, train, doc_id: str, text:
 
 
 def stem_counts(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(stem, n, toxic, clean): documents that hold the stem: all, and those of the training rows.
-    The stem -1 counts the documents themselves."""
+    """(stem, n, toxic, clean): different words of a document with the stem, over all documents and
+    over the training rows of either class."""
     def work(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter(), Counter(), Counter()]  # all, toxic, clean
-        sizes = [0, 0, 0]
 
         def out() -> pa.RecordBatch:
             seen = list(counts[0])
@@ -107,10 +107,8 @@ def stem_counts(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> Dat
                        for c in counts]
             for c in counts:
                 c.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.append(stems, -1))] + [pa.array(np.append(c, n))
-                                                    for c, n in zip(columns, sizes)],
-                ["stem", "n", "toxic", "clean"])
+            return pa.RecordBatch.from_arrays([pa.array(stems)] + [pa.array(c) for c in columns],
+                                              ["stem", "n", "toxic", "clean"])
 
         for batch in batches_:
             for doc, y in zip(as_bytes(batch[0]), batch[1].to_pylist()):
@@ -118,10 +116,8 @@ def stem_counts(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> Dat
                 which = [0] if y is None else [0, 1 if y > 0 else 2]
                 for i in which:
                     counts[i].update(words)
-                    sizes[i] += 1
                 if len(counts[0]) > HELD:
                     yield out()
-                    sizes = [0, 0, 0]
         yield out()
 
     marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(
@@ -133,30 +129,24 @@ def stem_counts(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> Dat
 def learn(counts: DataFrame) -> Model:
     """Log-odds and lambda. Only scoring stems, at most STEM_BUCKETS, come to the driver."""
     counts = written(counts)
-    total = counts.where("stem = -1").first()
-    n, toxic, clean = (total["n"], total["toxic"], total["clean"]) if total else (0, 0, 0)
+    n, toxic, clean = counts.agg(F.sum("n"), F.sum("toxic"), F.sum("clean")).first()
     if not toxic or not clean:
         return Model(np.empty(0, np.int64), np.empty(0), -0.01, 1.0)
-    prior = F.lit(PRIOR_EACH) + F.lit(PRIOR_DOCUMENTS) * F.col("n") / F.lit(float(n))
-
-    def logit(found, size: int):
-        return F.log((found + prior) / (F.lit(size + PRIOR_DOCUMENTS + 1) - found))
-
-    odds = logit(F.col("toxic"), toxic) - logit(F.col("clean"), clean)
-    spread = F.sqrt(1 / (F.col("toxic") + prior) + 1 / (F.col("clean") + prior))
-    rows = (counts.where("stem >= 0 AND toxic > 0").withColumns({"odds": odds, "z": odds / spread})
+    share = toxic / (toxic + clean)
+    prior = F.lit(PRIOR_EACH) + F.lit(PRIOR_WORDS / n) * F.col("n")
+    t, c = F.col("toxic") + prior * share, F.col("clean") + prior * (1 - share)
+    rows = (counts.where("toxic > 0")
+            .withColumn("odds", F.log(t / share) - F.log(c / (1 - share)))
+            .withColumn("z", F.col("odds") / F.sqrt(1 / t + 1 / c))
             .where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("z") >= MIN_DEVIATIONS))
             .select("stem", F.least("odds", F.lit(MAX_LOG_ODDS)).alias("odds"),
                     "toxic", "clean").toPandas().sort_values("stem"))
     scores = rows["odds"].to_numpy(float)
-    # words per document of either class, as far as distinct words tell
-    sums = counts.where("stem >= 0").agg(F.sum("toxic"), F.sum("clean")).first()
-    share_clean = (rows["clean"].to_numpy(float) + PRIOR_EACH / 10) / max(1, sums[1])
-    share_toxic = rows["toxic"].sum() / max(1, sums[0])
+    share_clean = (rows["clean"].to_numpy(float) + PRIOR_EACH / 10) / clean
+    share_toxic = rows["toxic"].sum() / toxic
     other = float(np.log(max(1e-3, 1 - share_toxic) / max(1e-3, 1 - share_clean.sum())))
-    other = min(other, -0.005)
-    return Model(rows["stem"].to_numpy(np.int64), scores, other,
-                 _scale(scores, share_clean, other))
+    return Model(rows["stem"].to_numpy(np.int64), scores, min(other, -0.005),
+                 _scale(scores, share_clean, min(other, -0.005)))
 
 
 def _scale(scores: np.ndarray, shares: np.ndarray, other: float) -> float:
@@ -212,7 +202,7 @@ def find_passages(docs: DataFrame, model: Model, text: str) -> DataFrame:
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stems, scores, other = shared.value
         table = dict(zip(stems.tolist(), scores.tolist()))
-        known: dict[bytes, float] = {}
+        known: dict[bytes, int] = {}  # scoring stem of a word, or -1
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()),
                                    ("score", pa.float64())]))
         for batch in rows:
@@ -221,16 +211,17 @@ def find_passages(docs: DataFrame, model: Model, text: str) -> DataFrame:
                 words = doc.lower().split()
                 got = list(map(known.get, words))
                 if None in got:
-                    new = list({w for w, s in zip(words, got) if s is None})
-                    fresh = dict(zip(new, (table.get(i, 0.0) for i in stem_numbers(new))))
-                    got = [fresh[w] if s is None else s for w, s in zip(words, got)]
+                    new = list({w for w, i in zip(words, got) if i is None})
+                    fresh = {w: i if i in table else -1 for w, i in zip(new, stem_numbers(new))}
+                    got = [fresh[w] if i is None else i for w, i in zip(words, got)]
                     if len(known) < HELD:
-                        known.update((w, s) for w, s in fresh.items() if len(w) <= 40)
-                values = np.array(got)
-                at = np.flatnonzero(values)
+                        known.update((w, i) for w, i in fresh.items() if len(w) <= 40)
+                numbers = np.array(got, dtype=np.int64)
+                at = np.flatnonzero(numbers >= 0)
+                at = np.sort(at[np.unique(numbers[at], return_index=True)[1]])  # first of each stem
                 sizes.append(len(words))
-                found.append([{"start": s, "end": e, "score": x} for s, e, x in
-                              maximal_segments(at, values[at], other)])
+                found.append([{"start": s, "end": e, "score": x} for s, e, x in maximal_segments(
+                    at, np.array([table[i] for i in numbers[at].tolist()]), other)])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(sizes, pa.int64()), pa.array(found, kind)],
                 [*batch.schema.names, "n_tokens", "segments"])

@@ -33,7 +33,8 @@ def stops_end_words(text: str) -> bool:
 
 def single_blanks(text: str) -> bool:
     """All white space is one space or one line end between two words."""
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1
+    words, blanks = text.split(), text.count(" ") + text.count("\n")
+    return len(words) == blanks + 1 and sum(map(len, words)) + blanks == len(text)
 
 
 _encoders: dict[str, WordEncoder] = {}

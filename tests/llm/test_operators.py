@@ -6,6 +6,7 @@ import math
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -134,8 +135,13 @@ def test_permutation(n, key):
     assert (order.numbers(slots) == np.arange(n)).all()
 
 
+@lru_cache(None)
+def word_tokenizer():
+    return Tokenizer.from_file(WORD_TOKENIZER)
+
+
 def word_ids(text):
-    return Tokenizer.from_file(WORD_TOKENIZER).encode(text or "", add_special_tokens=False).ids
+    return word_tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_training_order(spark, docs, empty):
@@ -500,6 +506,7 @@ TEXTS = [r[1] or "" for r in odd_docs()] + [
     "12345 a1b2 ½ ²", "naïve café.Élan,", "\U0001f600 \ud7ff z", "don't,can't.", "a" * 5000]
 
 
+@lru_cache(None)
 def reference_encoding():
     with open(BYTE_RANKS, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
