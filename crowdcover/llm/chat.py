@@ -81,9 +81,8 @@ def fingerprint(record: Column) -> Column:
 
 def known_layouts(spark: SparkSession, mappings: list[Mapping]) -> dict[str, int]:
     """name -> fingerprint, from the example of every mapping."""
-    rows = spark.createDataFrame([(m.name, m.example) for m in mappings], "name string, record string")
-    found = {r["name"]: r["f"] for r in rows.select("name", fingerprint(F.col("record")).alias("f"))
-             .collect()}
+    found = spark.range(1).select(*[fingerprint(F.lit(m.example)).alias(m.name)
+                                    for m in mappings]).first().asDict()
     if len(set(found.values())) < len(mappings):
         raise ValueError("two mappings have the same layout")
     return found

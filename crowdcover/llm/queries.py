@@ -215,8 +215,9 @@ def conversation_records(rows: DataFrame) -> DataFrame:
 
 
 def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
+    hostile = F.array(*[F.struct(*map(F.lit, row)) for row in HOSTILE])
     rows = _read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(
-        spark.createDataFrame(HOSTILE, "conv_id long, turn long, role string, text string"))
+        spark.range(1).select(F.inline(hostile)))
     turns = chat.canonical_turns(conversation_records(rows)).drop("record")
     out = chat.formatted(turns).select("conv_id", "formatted", "loss_spans")
     read = out.withColumns({"read": chat.read_turns(F.col("formatted")),
