@@ -18,8 +18,9 @@ threshold t. Everything below is exact; filters only leave out what cannot link.
 5. *Verification*, once per pair, by intersecting the sets.
 6. *No pairs within a group.* A shingle's list is not paired with itself. First every list meets its
    leader, one set, and what is linked becomes a component. Then only pairs of different components
-   in a list are left. While those are many, lists meet other leaders, up to ROUNDS times; whatever
-   is left then is joined in full. Pairs of one component are never made: they change no class.
+   in a list are left. While those are many, lists meet other leaders, up to ROUNDS times, each set
+   those few that it shares most lists with; whatever is left then is joined in full. Pairs of one
+   component are never made: they change no class.
 
 The result is the class, so a pair within a component is left unverified; no link between components
 is lost. Every step ends in a written table.
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crowdcover.llm.common import as_bytes, batches, components, free_shuffles, small, written
@@ -49,8 +50,9 @@ WORDS = 5
 EXTRA = 6
 #: Pivots of the suffix filter.
 PIVOTS = 16
-#: Rounds of leaders before everything left is joined, and the pairs per set that are worth another.
-ROUNDS, WORTH = 3, 8
+#: Rounds of leaders before everything left is joined, the pairs per prefix entry that are worth
+#: another round, and the leaders that a set meets in a round.
+ROUNDS, WORTH, EACH = 4, 2, 4
 
 _U = np.uint64
 _NONE = -(1 << 63)
@@ -264,45 +266,57 @@ def _across(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame
     return labelled, groups, left.agg(F.sum("pairs")).first()[0] or 0
 
 
+def _with_leaders(labelled: DataFrame, groups: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(x, y): for every set of a mixed list the leaders it shares most lists with, EACH at most. A
+    list's leader is a set of the component that has most of the list; the order among those is
+    another one each turn, but the same for all lists, so that lists agree on few leaders."""
+    biggest = groups.groupBy("h").agg(F.max(F.struct("probes", "c")).alias("g")).select("h", "g.c")
+    rank = F.struct(F.xxhash64(F.col("node"), F.lit(turn)).alias("r"), F.col("node"), F.col("n"))
+    leaders = (labelled.join(biggest, ["h", "c"]).groupBy("h", "c").agg(F.min(rank).alias("s"))
+               .select("h", F.col("c").alias("cy"), F.col("s.node").alias("leader"),
+                       F.col("s.n").alias("ny")))
+    met = (labelled.join(leaders, "h").where("c <> cy").groupBy("node", "leader", "n", "ny").agg(
+        F.count("*").alias("lists")).where(
+        100 * F.least("n", "ny") >= percent * F.greatest("n", "ny")))
+    best = Window.partitionBy("node").orderBy(F.desc("lists"), "leader")
+    chosen = met.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= EACH)
+    larger = F.struct("n", "node") > F.struct(F.col("ny").alias("n"), F.col("leader").alias("node"))
+    return chosen.select(F.when(larger, F.col("node")).otherwise(F.col("leader")).alias("x"),
+                         F.when(larger, F.col("leader")).otherwise(F.col("node")).alias("y"))
+
+
+def _in_full(labelled: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(x, y): all candidate pairs of different components."""
+    ours = groups.select("h", F.col("c").alias("cx"))
+    theirs = groups.where("indexed > 0").select("h", F.col("c").alias("cy"))
+    meet = ours.join(theirs, "h").where("cx <> cy")
+    return (_side(labelled, "x", F.col("c").alias("cx")).join(meet, ["h", "cx"])
+            .join(_side(labelled.where("indexed"), "y", F.col("c").alias("cy")), ["h", "cy"])
+            .where(_can_link(percent)).select("x", "y"))
+
+
 def links(docs: DataFrame, classes: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
     """(node, component) of the classes that link with another."""
     sets = written(sets_of(docs, classes, doc_id, text))
     ordered = written(rare_first(sets))
     entries = written(prefixes(ordered, percent))
     free_shuffles(docs)
-    probes, done = _side(entries, "x"), None
+    n_entries, found, done = entries.count(), None, None
     labels = entries.select("node", F.col("node").alias("component")).limit(0)
-    found = None
     for turn in range(ROUNDS + 1):
-        if turn:
-            labels = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
         labelled, groups, left = _across(entries, labels)
         if not left:
             break
-        last = turn == ROUNDS or left <= WORTH * entries.count()
-        if last:
-            ours = groups.select("h", F.col("c").alias("cx"))
-            theirs = groups.where("indexed > 0").select("h", F.col("c").alias("cy"))
-            meet = ours.join(theirs, "h").where("cx <> cy")
-            met = (_side(labelled, "x", F.col("c").alias("cx")).join(meet, ["h", "cx"])
-                   .join(_side(labelled.where("indexed"), "y", F.col("c").alias("cy")), ["h", "cy"]))
-        else:
-            # one set per list: the smallest at first, later any, another one each round
-            first = F.struct(*([F.col("n").alias("size")] if not turn else []),
-                             F.xxhash64(F.col("node"), F.lit(turn)).alias("r"), "node", "n", "at")
-            leaders = (labelled.where("indexed").join(groups.select("h").distinct(), "h", "left_semi")
-                       .groupBy("h").agg(F.min(first).alias("s"))
-                       .select("h", F.col("s.node").alias("y"), F.col("s.n").alias("ny"),
-                               F.col("s.at").alias("ay")))
-            met = probes.join(leaders, "h")
-        pairs = met.where(_can_link(percent)).select("x", "y").distinct()
+        last = turn == ROUNDS or left <= WORTH * n_entries
+        pairs = (_in_full(labelled, groups, percent) if last
+                 else _with_leaders(labelled, groups, turn, percent)).distinct()
         pairs = written(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"))
         fresh = verified(pairs, ordered, percent)
         found = fresh if found is None else found.union(fresh)
         done = pairs if done is None else done.union(pairs)
+        labels = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
         free_shuffles(docs)
         if last:
-            labels = components(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
             break
     return labels
 
