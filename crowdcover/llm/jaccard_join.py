@@ -12,15 +12,16 @@ threshold t. Everything below is exact; filters only leave out what cannot link.
    Shingles of one set alone come first and join with nothing, so they are only counted.
 4. *Prefix join.* The rarest n - ceil(tn) + 1 shingles of a set probe, the rarest n - ceil(2t/(1+t) n)
    + 1 of sets no larger are indexed. The length filter and the positional filter, which bounds the
-   overlap by what is left behind the matching places, are conditions of the join. The suffix filter
-   follows: all shingles are split at fixed pivots, and the differences of the counts between pivots,
-   with the shingles of one set alone, bound the overlap from above.
+   overlap by what is left behind the matching places, are conditions of the join. So is the suffix
+   filter: the shingles are split at fixed pivots into PARTS parts; a part whose counts differ in
+   parity holds a shingle of only one of the two, which, with the shingles that a set has alone,
+   bounds the overlap from above.
 5. *Verification*, once per pair, by intersecting the sets.
 6. *No pairs within a group.* A shingle's list is not paired with itself. First every list meets its
    leader, one set, and what is linked becomes a component. Then only pairs of different components
-   in a list are left. While those are many, lists meet other leaders, up to ROUNDS times, each set
-   those few that it shares most lists with; whatever is left then is joined in full. Pairs of one
-   component are never made: they change no class.
+   in a list are left. While those are many, and each round halves them, lists meet other leaders,
+   each set those few that it shares most lists with; whatever is left then is joined in full. Pairs
+   of one component are never made: they change no class.
 
 The result is the class, so a pair within a component is left unverified; no link between components
 is lost. Every step ends in a written table.
@@ -48,11 +49,11 @@ WORDS = 5
 #: Percent of a set by which its beginning in step 2 is longer than need be. More shingles are
 #: counted then, and more documents drop out.
 EXTRA = 6
-#: Pivots of the suffix filter.
-PIVOTS = 16
-#: Rounds of leaders before everything left is joined, the pairs per prefix entry that are worth
-#: another round, and the leaders that a set meets in a round.
-ROUNDS, WORTH, EACH = 4, 2, 4
+#: Parts of the suffix filter, a multiple of 64: one bit each.
+PARTS = 512
+#: The pairs per prefix entry that are worth another round of leaders, and the leaders that a set
+#: meets in a round.
+WORTH, EACH = 2, 4
 
 _U = np.uint64
 _NONE = -(1 << 63)
@@ -152,83 +153,89 @@ def sets_of(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> Data
     return batches(chosen, work, "node long, shingles binary").dropDuplicates(["node"])
 
 
+def parity(values: np.ndarray) -> list[int]:
+    """One bit for every part: whether it holds an odd number of the shingles."""
+    part = (values.view(np.uint64) >> _U(64 - PARTS.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(part, minlength=PARTS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
 def rare_first(sets: DataFrame) -> DataFrame:
-    """(node, n, alone, tokens, shape): the shingles that several sets have, rarest first; how many
-    only this set has; and the counts of ``tokens`` between the pivots."""
+    """(node, n, alone, tokens): the shingles that several sets have, rarest first, and how many
+    only this set has."""
     entries = exploded(sets, "node", "shingles")
     often = entries.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     tokens = (entries.join(often, "h").groupBy("node")
               .agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))
               .select("node", F.col("x.h").alias("tokens")))
-    joined = sets.select("node", (F.octet_length("shingles") / 8).cast("long").alias("n")).join(
-        tokens, "node")
+    n = (F.octet_length("shingles") / 8).cast("long")
+    joined = sets.select("node", n.alias("n")).join(tokens, "node")
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            packed, shapes = [], []
-            for row in batch["tokens"]:
-                values = np.asarray(row.values.to_numpy(zero_copy_only=False), dtype=np.int64)
-                packed.append(values.tobytes())
-                band = (values.view(np.uint64) >> _U(64 - PIVOTS.bit_length() + 1)).astype(np.int64)
-                shapes.append(np.bincount(band, minlength=PIVOTS).tolist())
-            alone = pa.array([n - len(p) // 8 for n, p in zip(batch["n"].to_pylist(), packed)], pa.int64())
+            packed = [np.asarray(row.values.to_numpy(zero_copy_only=False), dtype=np.int64).tobytes()
+                      for row in batch["tokens"]]
+            alone = [n - len(p) // 8 for n, p in zip(batch["n"].to_pylist(), packed)]
             yield pa.RecordBatch.from_arrays(
-                [batch["node"], batch["n"], alone, pa.array(packed, pa.binary()),
-                 pa.array(shapes, pa.list_(pa.int32()))], ["node", "n", "alone", "tokens", "shape"])
+                [batch["node"], batch["n"], pa.array(alone, pa.int64()), pa.array(packed, pa.binary())],
+                ["node", "n", "alone", "tokens"])
 
     return batches(joined.select("node", "n", "tokens"), work,
-                   "node long, n long, alone long, tokens binary, shape array<int>")
+                   "node long, n long, alone long, tokens binary")
 
 
 def prefixes(ordered: DataFrame, percent: int) -> DataFrame:
-    """(h, node, n, at, indexed): the prefix of every set, without shingles it has alone; indexed
-    says whether the place ``at`` is also within the shorter prefix for sets no larger."""
+    """(h, node, n, alone, at, indexed, bits): the prefix of every set, without shingles it has alone;
+    indexed says whether the place ``at`` is also within the shorter prefix for sets no larger."""
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            bits = []
             for node, n, alone, tokens in zip(*(batch[c].to_pylist() for c in
                                                 ("node", "n", "alone", "tokens"))):
                 probe = n - least(n, percent) + 1 - alone
                 if probe <= 0:
                     continue
-                values = np.frombuffer(tokens, dtype=np.int64)[:probe]
+                tokens = np.frombuffer(tokens, dtype=np.int64)
+                values = tokens[:probe]
                 at = np.arange(alone, alone + len(values))
                 index = n + (-2 * percent * n // (100 + percent)) + 1
-                for column, x in zip(out, (values, np.full(len(at), node), np.full(len(at), n), at,
-                                           at < index)):
+                every = [np.full(len(at), x) for x in (node, n, alone)]
+                for column, x in zip(out, (values, *every, at, at < index)):
                     column.append(x)
+                bits += [parity(tokens)] * len(at)
             columns = [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4].astype(bool))],
-                ["h", "node", "n", "at", "indexed"])
+                [pa.array(c, pa.int64()) for c in columns[:5]] + [
+                    pa.array(columns[5].astype(bool)), pa.array(bits, pa.list_(pa.int64()))],
+                ["h", "node", "n", "alone", "at", "indexed", "bits"])
 
-    return batches(ordered.select("node", "n", "alone", "tokens"), work,
-                   "h long, node long, n long, at long, indexed boolean")
+    return batches(ordered, work, "h long, node long, n long, alone long, at long, indexed boolean, "
+                                  "bits array<long>")
 
 
 def _can_link(percent: int) -> Column:
-    """Length and positional filter for x against y, the one no larger."""
+    """Length, positional and suffix filter for x against y, the one no larger."""
     order = (F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") < F.col("x")))
     length = 100 * F.col("ny") >= percent * F.col("nx")
+    both = F.col("nx") + F.col("ny")
     most = F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay"))  # this shingle and those behind
-    return order & length & ((100 + percent) * most >= percent * (F.col("nx") + F.col("ny")))
+    differ = F.col("ux") + F.col("uy")
+    for k in range(PARTS // 64):
+        differ = differ + F.bit_count(F.col("bx")[k].bitwiseXOR(F.col("by")[k]))
+    # overlap = (size - difference) / 2
+    return (order & length & ((100 + percent) * most >= percent * both)
+            & ((100 + percent) * (both - differ) >= 2 * percent * both))
 
 
-def _side(entries: DataFrame, name: str, *more: str) -> DataFrame:
-    return entries.select("h", F.col("node").alias(name), F.col("n").alias(f"n{name}"),
-                          F.col("at").alias(f"a{name}"), *more)
+def _side(entries: DataFrame, name: str, *more: Column) -> DataFrame:
+    return entries.select("h", *[F.col(c).alias(short + name) for c, short in
+                                 (("node", ""), ("n", "n"), ("alone", "u"), ("at", "a"), ("bits", "b"))],
+                          *more)
 
 
 def verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct ``pairs`` (x, y) that link."""
-    about = ordered.select("node", "n", "alone", "shape")
-
-    def sides(table: DataFrame, frame: DataFrame, columns: list[str]) -> DataFrame:
-        for end in ("x", "y"):
-            frame = frame.join(table.select(F.col("node").alias(end), *[
-                F.col(c).alias(f"{c}_{end}") for c in columns]), end)
-        return frame
-
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             good = []
@@ -241,14 +248,12 @@ def verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["x"].filter(mask), batch["y"].filter(mask)], ["x", "y"])
 
-    differ = F.aggregate(F.zip_with("shape_x", "shape_y", lambda a, b: F.abs(a - b).cast("long")),
-                         F.lit(0).cast("long"), lambda a, b: a + b)
-    size = F.col("n_x") + F.col("n_y")
-    # overlap = (size - difference) / 2, and the difference is no smaller than this
-    suffix = (100 + percent) * (size - F.col("alone_x") - F.col("alone_y") - differ) >= 2 * percent * size
-    left = written(sides(about, pairs, ["n", "alone", "shape"]).where(suffix)
-                   .select("x", "y", size.alias("size")))
-    return written(batches(sides(ordered, left, ["tokens"]), work, "x long, y long"))
+    sides = pairs
+    for end in ("x", "y"):
+        sides = sides.join(ordered.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"),
+                                          F.col("tokens").alias(f"tokens_{end}")), end)
+    sides = sides.select("x", "y", "tokens_x", "tokens_y", (F.col("n_x") + F.col("n_y")).alias("size"))
+    return written(batches(sides, work, "x long, y long"))
 
 
 def _across(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -301,13 +306,13 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, doc_id: str, text:
     ordered = written(rare_first(sets))
     entries = written(prefixes(ordered, percent))
     free_shuffles(docs)
-    n_entries, found, done = entries.count(), None, None
+    n_entries, found, done, turn, before = entries.count(), None, None, 0, None
     labels = entries.select("node", F.col("node").alias("component")).limit(0)
-    for turn in range(ROUNDS + 1):
+    while True:
         labelled, groups, left = _across(entries, labels)
         if not left:
             break
-        last = turn == ROUNDS or left <= WORTH * n_entries
+        last = left <= WORTH * n_entries or (before is not None and 2 * left > before)
         pairs = (_in_full(labelled, groups, percent) if last
                  else _with_leaders(labelled, groups, turn, percent)).distinct()
         pairs = written(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"))
@@ -318,6 +323,7 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, doc_id: str, text:
         free_shuffles(docs)
         if last:
             break
+        turn, before = turn + 1, left
     return labels
 
 
