@@ -45,6 +45,11 @@ def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.count() <= limit else table
 
 
+def few_tasks(rows: int) -> int:
+    """Tasks for a table of ``rows`` short rows."""
+    return max(8, rows // 50_000)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
     return F.transform(F.array(value), body)[0]
@@ -84,24 +89,27 @@ def components(edges: DataFrame) -> DataFrame:
     and leaves one written table; it ends when a round changes no edge. A node with very many
     neighbours costs one row per task: its minimum is taken before the shuffle.
     """
-    def star(table: DataFrame, larger: bool) -> DataFrame:
+    def star(table: DataFrame, larger: bool, tasks: int, fits: bool) -> DataFrame:
         both = (table.select("a", "b").union(table.select(F.col("b").alias("a"), F.col("a").alias("b")))
                 if larger else table)
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        joined = both.join(low, "a")
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).coalesce(tasks)
+        joined = both.join(F.broadcast(low) if fits else low, "a")
         if larger:
             kept = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         else:
             kept = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(
                 low.select("a", F.col("m").alias("b")))
         return kept.where("a <> b").select(
-            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(tasks)
 
     now = written(edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
-        after = written(star(star(now, True), False))
-        if after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty():
+        n = now.count()
+        # as many tasks as the edges need, and no shuffle of edges while a row per node fits
+        tasks, fits = few_tasks(n), 2 * n <= BROADCAST_ROWS
+        after = written(star(star(now, True, tasks, fits), False, tasks, fits))
+        if after.count() == n and after.join(small(now), ["a", "b"], "left_anti").isEmpty():
             break
         now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(

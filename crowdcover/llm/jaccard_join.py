@@ -43,7 +43,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crowdcover.llm.common import as_bytes, batches, components, free_shuffles, small, written
+from crowdcover.llm.common import (as_bytes, batches, components, few_tasks, free_shuffles,
+                                   small, written)
 
 WORDS = 5
 #: Percent of a set by which its beginning in step 2 is longer than need be. More shingles are
@@ -248,7 +249,7 @@ def verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["x"].filter(mask), batch["y"].filter(mask)], ["x", "y"])
 
-    sides = pairs
+    sides = small(pairs)
     for end in ("x", "y"):
         sides = sides.join(ordered.select(F.col("node").alias(end), F.col("n").alias(f"n_{end}"),
                                           F.col("tokens").alias(f"tokens_{end}")), end)
@@ -259,15 +260,18 @@ def verified(pairs: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
 def _across(entries: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Entries with their component, the (h, c, c2) of different components that meet in a list, and
     how many pairs of sets that makes."""
-    labelled = written(entries.join(labels.withColumnsRenamed({"component": "c"}), "node", "left")
+    tasks = few_tasks(entries.count())
+    labelled = written(entries.join(small(labels.withColumnsRenamed({"component": "c"})), "node", "left")
                        .withColumn("c", F.coalesce("c", "node")))
-    groups = labelled.groupBy("h", "c").agg(
+    groups = written(labelled.groupBy("h", "c").agg(
         F.count("*").alias("probes"), F.sum(F.col("indexed").cast("long")).alias("indexed"))
+        .coalesce(tasks))
     mixed = groups.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"),
                                     F.sum("probes").alias("p"), F.sum("indexed").alias("i"),
                                     F.sum(F.col("probes") * F.col("indexed")).alias("own")).where("lo < hi")
-    left = written(mixed.select("h", (F.col("p") * F.col("i") - F.col("own")).alias("pairs")))
-    groups = written(groups.join(left.select("h"), "h", "left_semi"))
+    left = written(mixed.select("h", (F.col("p") * F.col("i") - F.col("own")).alias("pairs"))
+                   .coalesce(tasks))
+    groups = written(groups.join(small(left.select("h")), "h", "left_semi"))
     return labelled, groups, left.agg(F.sum("pairs")).first()[0] or 0
 
 
@@ -315,7 +319,8 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, doc_id: str, text:
         last = left <= WORTH * n_entries or (before is not None and 2 * left > before)
         pairs = (_in_full(labelled, groups, percent) if last
                  else _with_leaders(labelled, groups, turn, percent)).distinct()
-        pairs = written(pairs if done is None else pairs.join(done, ["x", "y"], "left_anti"))
+        pairs = pairs if done is None else pairs.join(small(done), ["x", "y"], "left_anti")
+        pairs = written(pairs.coalesce(few_tasks(n_entries)))
         fresh = verified(pairs, ordered, percent)
         found = fresh if found is None else found.union(fresh)
         done = pairs if done is None else done.union(pairs)
