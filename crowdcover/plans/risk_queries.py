@@ -276,7 +276,8 @@ def k_histogram(spark, d):
 K_HISTOGRAM = risk() + """, e(klasse_nr, k_van, k_tot) AS (VALUES (0, 0.0::DOUBLE, 10.0::DOUBLE),
   (1, 11.0, 30.0), (2, 31.0, 100.0), (3, 101.0, 300.0), (4, 301.0, 1000.0),
   (5, 1001.0, 'infinity'::DOUBLE))
-SELECT klasse_nr, k_van, k_tot, (SELECT count(*) FROM res WHERE k BETWEEN k_van AND k_tot) AS records
+SELECT klasse_nr, k_van, k_tot, (SELECT count(*) FROM res WHERE k >= k_van AND k < k_tot + 1
+  OR k = k_tot) AS records
 FROM e"""
 
 

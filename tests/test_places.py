@@ -209,3 +209,12 @@ def test_grid_is_found(spark, month):
     assert {r.id: r.locatie for r in f.per_entity.collect()} == {r.id: r.cand for r in cells.collect()}
     back = trace.onto_dataset(cells.select("id"), "id", f.per_entity, st).collect()
     assert all(r.weerzone_h3 and r.weer_knmi_station is None for r in back)
+
+
+def test_blocks_of_a_chain_longer_than_any_bound(spark):
+    from crowdcover.operators.facade import blocks
+    n = 400
+    nodes = spark.range(n + 2).toDF("node")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    got = dict(map(tuple, blocks(nodes, edges).collect()))
+    assert got == {**{i: 0 for i in range(n)}, n: n, n + 1: n + 1}

@@ -190,3 +190,11 @@ def test_cells_and_stopped_stations(spark):
     assert got[1] == 1
     empty = df.withColumn("zone", F.lit(None).cast("string"))
     assert {r.k_populatie for r in assess(empty, [zone], Population(base)).collect()} == {5}
+
+
+def test_k_histogram_counts_fractional_k(spark):
+    from crowdcover.operators.report import k_histogram
+    values = [0.0, 10.0, 10.5, 11.0, 30.0, 30.5, 31.0, 100.9, 1000.5, 1e9, None, float("nan")]
+    rows = k_histogram(spark.createDataFrame([(v,) for v in values], "k double"), 11).collect()
+    got = [r["records"] for r in sorted(rows, key=lambda r: r["klasse_nr"])]
+    assert sum(got) == len(values) and got == [5, 3, 2, 0, 1, 1]
