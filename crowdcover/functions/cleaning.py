@@ -122,15 +122,25 @@ def padded_id(s: Column, length: int = 16) -> Column:
 
 # --- times --------------------------------------------------------------------------------------
 
+# Other ways in which a time without a zone is written.
+TIME_FORMATS = ("yyyyMMddHHmm", "yyyyMMdd", "dd-MM-yyyy HH:mm", "dd-MM-yyyy")
+ZONED = r"(?i)\d:\d\d(:\d\d)?(\.\d+)?\s*(z|utc|gmt|[+-]\d|[a-z]+/[a-z])"
+
+
+def utc_time(value: Column) -> Column:
+    """A time written in one of several ways. Without a zone it counts as UTC, whatever the zone of
+    the session is; a column that holds instants stays as it is."""
+    t = _trim(value.cast("string"))
+    plain = F.concat(t.try_cast("timestamp_ntz").cast("string"), F.lit("Z")).try_cast("timestamp")
+    others = [F.try_to_timestamp(F.concat(t, F.lit("Z")), F.lit(f + "X")) for f in TIME_FORMATS]
+    read = F.when(t.rlike(ZONED), t.try_cast("timestamp")).otherwise(F.coalesce(plain, *others))
+    return F.when(F.typeof(value) == "timestamp", value.try_cast("timestamp")).otherwise(read)
+
+
 def utc_hour(value: Column) -> Column:
-    """A time written in one of several ways, as the start of its hour in UTC. A value without
-    a zone counts as UTC; a session in UTC reads zones correctly by itself."""
-    t = value.cast("string")
-    parsed = F.coalesce(
-        t.try_cast("timestamp"), F.try_to_timestamp(t, F.lit("yyyyMMddHHmm")),
-        F.try_to_timestamp(t, F.lit("yyyyMMdd")), F.try_to_timestamp(t, F.lit("dd-MM-yyyy HH:mm")),
-        F.try_to_timestamp(t, F.lit("dd-MM-yyyy")))
-    return F.date_trunc("hour", parsed)
+    """The start of the hour in UTC of :func:`utc_time`."""
+    seconds = F.unix_seconds(utc_time(value))
+    return F.timestamp_seconds(seconds - F.pmod(seconds, F.lit(3600)))
 
 
 def date_of(value: Column) -> Column:
