@@ -124,7 +124,8 @@ def compare_scenarios(df: DataFrame, scenarios: Mapping[str, tuple[Sequence[Qid]
 
 def zone_counts(df: DataFrame, qids: Sequence[Qid], population: Population, zone: str, *,
                 record: str = "record_id") -> DataFrame:
-    """Per record and zone of the population (a region, station, cell): how many rows match."""
+    """Per record and zone of the population (a region, station, cell): how many rows match. A
+    record that matches nowhere has one row, without a zone and with n = 0."""
     register = [q for q in qids if q.counted]
     slots, _ = slots_of(register)
     names = [s.name for s in slots]
@@ -134,7 +135,8 @@ def zone_counts(df: DataFrame, qids: Sequence[Qid], population: Population, zone
     rows = population.rows().where(F.col(zone).isNotNull())
     counts = kmap.count(classes, rows, slots, key="_key", by=[zone])
     return (df.withColumn("_text", text_key(register)).join(texts.select("_text", "_key"), "_text")
-            .join(counts, "_key").drop("_key", "_text"))
+            .join(counts, "_key", "left").drop("_key", "_text")
+            .withColumn("n", F.coalesce("n", F.lit(0))))
 
 
 def candidate_areas(df: DataFrame, qids: Sequence[Qid], population: Population, zone: str, *,
@@ -144,7 +146,7 @@ def candidate_areas(df: DataFrame, qids: Sequence[Qid], population: Population,
     block, with its ``size``."""
     counts = zone_counts(df, qids, population, zone, record=record)
     return counts.groupBy(*group, size).agg(
-        F.count(F.lit(1)).alias("zones"),
+        F.count(zone).alias("zones"),
         F.count_if(F.col("n") >= F.col(size)).alias("zones_groot_genoeg"),
         F.count_if(F.col("n") >= F.col(size) / 2).alias("zones_halve_grootte"),
         F.sum("n").alias("rijen"))
@@ -152,9 +154,10 @@ def candidate_areas(df: DataFrame, qids: Sequence[Qid], population: Population,
 
 def chance_too_small(counts: DataFrame, k: int, *, record: str, n: str = "n") -> DataFrame:
     """Expected risk when the zone of a record is unknown: the chance that a matching row lies in
-    a zone with fewer than ``k`` matches, sum of n where n < k over sum of n."""
-    return counts.groupBy(record).agg(
-        (F.sum(F.when(F.col(n) < k, F.col(n)).otherwise(0)) / F.sum(n)).alias("kans"))
+    a zone with fewer than ``k`` matches, sum of n where n < k over sum of n. Without any match it
+    is NULL."""
+    few = F.sum(F.when(F.col(n) < k, F.col(n)).otherwise(0))
+    return counts.groupBy(record).agg(F.try_divide(few, F.sum(n)).alias("kans"))
 
 
 def shortest_lists(lists: DataFrame, record: str = "record", scenario: str = "scenario"

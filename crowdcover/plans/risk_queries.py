@@ -353,9 +353,9 @@ def candidate_areas(spark, d):
 CANDIDATE_AREAS = f"""WITH {POP}, b AS (SELECT cust || ':' || yr AS record_id, yr, seg, count(*) AS grootte
    FROM pop GROUP BY cust, yr, seg),
  n AS (SELECT yr, seg, nat, count(*) AS n FROM pop GROUP BY ALL)
-SELECT record_id, grootte, count(*) AS zones, count(*) FILTER (n >= grootte) AS zones_groot_genoeg,
-  count(*) FILTER (n >= grootte / 2) AS zones_halve_grootte, sum(n)::BIGINT AS rijen
-FROM b JOIN n USING (yr, seg) GROUP BY record_id, grootte"""
+SELECT record_id, grootte, count(nat) AS zones, count(*) FILTER (n >= grootte) AS zones_groot_genoeg,
+  count(*) FILTER (n >= grootte / 2) AS zones_halve_grootte, coalesce(sum(n), 0)::BIGINT AS rijen
+FROM b LEFT JOIN n USING (yr, seg) GROUP BY record_id, grootte"""
 
 
 def zone_risk(spark, d):
@@ -373,7 +373,7 @@ ZONE_RISK = risk(cons=CONS.replace("CASE WHEN id % 5 < 4 THEN nat END AS nat", "
    AND (c.plo IS NULL OR p.price >= c.plo) AND (c.phi IS NULL OR p.price <= c.phi)
    AND (c.labs IS NULL OR list_contains(c.labs, p.lab)) AND p.seg = c.seg GROUP BY ALL),
  q AS (SELECT klasse, sum(CASE WHEN n < 11 THEN n ELSE 0 END) / sum(n) AS kans FROM z GROUP BY klasse)
-SELECT r.id AS record_id, round(kans, 9) AS kans FROM rec r JOIN q USING (klasse)"""
+SELECT r.id AS record_id, round(kans, 9) AS kans FROM rec r LEFT JOIN q USING (klasse)"""
 
 
 # --- explanation ---------------------------------------------------------------------------------------
