@@ -234,12 +234,11 @@ PROFILE = """WITH w AS (SELECT c_custkey AS rid, 'c' || c_custkey || '@mail.nl'
   CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS segment FROM customer),
  u AS (UNPIVOT w ON contact, waar, wanneer, klasse, soort, gemeente, afgeleid, saldo, segment
        INTO NAME kolom VALUE v),
- f AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY kolom ORDER BY rid) <= 500),
  s AS (SELECT kolom, avg(CASE WHEN kolom = 'contact' THEN 1.0 ELSE 0.0 END) AS email,
    avg(CASE WHEN kolom = 'waar' THEN 1.0 ELSE 0.0 END) AS pc6,
    avg(CASE WHEN v IN ('A', 'B', 'C', 'G') THEN 1.0 ELSE 0.0 END) AS label,
    avg(CASE WHEN kolom = 'soort' THEN 1.0 ELSE 0.0 END) AS type,
-   avg(CASE WHEN regexp_matches(v, '^[0-9]{4}$') THEN 1.0 ELSE 0.0 END) AS pc4 FROM f GROUP BY kolom)
+   avg(CASE WHEN regexp_matches(v, '^[0-9]{4}$') THEN 1.0 ELSE 0.0 END) AS pc4 FROM u GROUP BY kolom)
 SELECT u.kolom, count(*) AS ingevuld, count(TRY_CAST(v AS DOUBLE)) AS getallen, count(DISTINCT v) AS verschillend,
   min(TRY_CAST(v AS DOUBLE)) AS minimum, max(TRY_CAST(v AS DOUBLE)) AS maximum,
   round(median(length(v)), 6) AS lengte_mediaan, round(max(email), 9) AS email, round(max(pc6), 9) AS pc6,

@@ -138,3 +138,38 @@ def test_detected_link_key():
     q, direct = detect.qids_from(list(found.values()), names, {"bouwjaar": "geen", "home_nr": "direct"})
     assert [x.column for x in q] == ["postcode", "adres_Ainf__cm2", "knmi_station"]
     assert "home_nr" in direct
+
+
+def test_times_do_not_depend_on_the_session(spark):
+    from crowdcover.functions import cleaning
+    texts = ["2024-07-01 12:00:00", "2024-07-01T14:10:00+02:00", "2024-07-01T12:59:59Z", "202407011200",
+             "01-07-2024 12:30", "2024-07-01", "20240701", "01-07-2024", "", "later", None]
+    noon, midnight = 1719835200, 1719792000
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "Europe/Amsterdam", "Asia/Kolkata"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            got = dict(df.select("i", F.unix_seconds(cleaning.utc_hour(F.col("t")))).collect())
+            assert [got[i] for i in range(len(texts))] == [noon] * 5 + [midnight] * 3 + [None] * 3, z
+            instant = spark.range(1).select(F.timestamp_seconds(F.lit(noon + 99)).alias("t"))
+            assert instant.select(F.unix_seconds(cleaning.utc_hour(F.col("t")))).first()[0] == noon
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_profile_reads_every_value(spark):
+    rows = [(i, "x" if i < 600 else "1234") for i in range(6000)]
+    p = detect.profile(spark.createDataFrame(rows, "record_id int, a string"), "record_id").first()
+    assert p.share_pc4 == 0.9
+
+
+def test_blocks_without_a_zone_stay(spark):
+    from crowdcover.operators import report
+    pop = Population(spark.createDataFrame([(1970, "a")] * 3 + [(1980, "b")], "bouwjaar__yr int, z string"))
+    d = spark.createDataFrame([(1, "1970", 2), (2, "1999", 1)], "record_id int, bouwjaar string, size int")
+    q = [Qid("bouwjaar", CATALOGUE["bouwjaar"])]
+    areas = report.candidate_areas(d, q, pop, "z", group=["record_id"], size="size")
+    assert sorted(map(tuple, areas.collect())) == [(1, 2, 1, 1, 1, 3), (2, 1, 0, 0, 0, 0)]
+    risk = report.chance_too_small(report.zone_counts(d, q, pop, "z"), 11, record="record_id")
+    assert sorted(map(tuple, risk.collect())) == [(1, 1.0), (2, None)]
