@@ -295,13 +295,21 @@ def _with_leaders(labelled: DataFrame, groups: DataFrame, turn: int, percent: in
 
 
 def _in_full(labelled: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """(x, y): all candidate pairs of different components."""
-    ours = groups.select("h", F.col("c").alias("cx"))
-    theirs = groups.where("indexed > 0").select("h", F.col("c").alias("cy"))
-    meet = ours.join(theirs, "h").where("cx <> cy")
-    return (_side(labelled, "x", F.col("c").alias("cx")).join(meet, ["h", "cx"])
-            .join(_side(labelled.where("indexed"), "y", F.col("c").alias("cy")), ["h", "cy"])
-            .where(_can_link(percent)).select("x", "y"))
+    """(x, y): all candidate pairs of different components.
+
+    A list falls into the entries of its largest component and the rest. The two parts meet, and the
+    rest meets itself: pairs of one component that are compared there are no more than those that the
+    largest component makes with the rest, and the condition of the join leaves them out."""
+    largest = groups.groupBy("h").agg(F.max(F.struct("probes", "c")).alias("g")).select(
+        "h", F.col("g.c").alias("largest"))
+    mixed = written(labelled.join(small(written(largest)), "h")
+                    .withColumn("part", F.col("c") == F.col("largest")).drop("largest"))
+    meets = F.explode(F.when(F.col("part"), F.array(F.lit(False)))
+                      .otherwise(F.array(F.lit(False), F.lit(True)))).alias("part")
+    ours = _side(mixed, "x", F.col("c").alias("cx"), meets)
+    theirs = _side(mixed.where("indexed"), "y", F.col("c").alias("cy"), F.col("part"))
+    return (ours.join(theirs, ["h", "part"]).where((F.col("cx") != F.col("cy")) & _can_link(percent))
+            .select("x", "y"))
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
