@@ -20,8 +20,8 @@ threshold t. Everything below is exact; filters only leave out what cannot link.
 6. *No pairs within a group.* A shingle's list is not paired with itself. First every list meets its
    leader, one set, and what is linked becomes a component. Then only pairs of different components
    in a list are left. While those are many, and each round halves them, lists meet other leaders,
-   each set those few that it shares most lists with; whatever is left then is joined in full. Pairs
-   of one component are never made: they change no class.
+   each set those few that it shares most lists with; whatever is left then is joined in full, each
+   pair in the first list it shares. Pairs of one component are never made: they change no class.
 
 The result is the class, so a pair within a component is left unverified; no link between components
 is lost. Every step ends in a written table.
@@ -55,6 +55,8 @@ PARTS = 512
 #: The pairs per prefix entry that are worth another round of leaders, and the leaders that a set
 #: meets in a round.
 WORTH, EACH = 2, 4
+#: Shingles before its own that an entry brings to the last join, to tell that a pair met earlier.
+EARLIER = 16
 
 _U = np.uint64
 _NONE = -(1 << 63)
@@ -299,16 +301,24 @@ def _in_full(labelled: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
     A list falls into the entries of its largest component and the rest. The two parts meet, and the
     rest meets itself: pairs of one component that are compared there are no more than those that the
-    largest component makes with the rest, and the condition of the join leaves them out."""
+    largest component makes with the rest, and the condition of the join leaves them out.
+
+    A pair that shares a shingle among the EARLIER ones before this has met in that one's list, which
+    both sides belong to as well, so it is left out here: the first list two sets share is the one
+    that counts, and there every filter holds."""
     largest = groups.groupBy("h").agg(F.max(F.struct("probes", "c")).alias("g")).select(
         "h", F.col("g.c").alias("largest"))
+    before = Window.partitionBy("node").orderBy("at").rowsBetween(-EARLIER, -1)
     mixed = written(labelled.join(small(written(largest)), "h")
-                    .withColumn("part", F.col("c") == F.col("largest")).drop("largest"))
+                    .withColumn("part", F.col("c") == F.col("largest")).drop("largest")
+                    .withColumn("earlier", F.collect_list("h").over(before)))
     meets = F.explode(F.when(F.col("part"), F.array(F.lit(False)))
                       .otherwise(F.array(F.lit(False), F.lit(True)))).alias("part")
-    ours = _side(mixed, "x", F.col("c").alias("cx"), meets)
-    theirs = _side(mixed.where("indexed"), "y", F.col("c").alias("cy"), F.col("part"))
-    return (ours.join(theirs, ["h", "part"]).where((F.col("cx") != F.col("cy")) & _can_link(percent))
+    ours = _side(mixed, "x", F.col("c").alias("cx"), F.col("earlier").alias("ex"), meets)
+    theirs = _side(mixed.where("indexed"), "y", F.col("c").alias("cy"), F.col("earlier").alias("ey"),
+                   F.col("part"))
+    return (ours.join(theirs, ["h", "part"])
+            .where((F.col("cx") != F.col("cy")) & _can_link(percent) & ~F.arrays_overlap("ex", "ey"))
             .select("x", "y"))
 
 
