@@ -5,7 +5,8 @@ windows. A window's first occurrence, by document id and line, stays; each later
 its three lines, and covered lines go. A line that goes is still there: in the first occurrence of
 its window, or, if that was covered too, in an even earlier one.
 
-1. Lines are hashed in place; a window is the 128-bit hash of its lines, its document and its place.
+1. Lines are hashed in place, once; a window is the 128-bit hash of its lines, its document and its
+   place. The windows are a written table, read by both steps below.
 2. Windows are counted with a partial aggregate that also keeps the first place. Only windows that
    occur again go on; they meet the windows of all documents by hash, so a passage found in a third of
    all documents is a join key with many rows on one side and one on the other, which adaptive
@@ -52,9 +53,10 @@ def _document(doc_id: str, text: str) -> Column:
 def covered_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, starts): for every document that repeats something, the first lines of its covered
     windows in order. ``doc`` is the struct of :func:`_document`."""
-    windows = (docs.where(F.col(text).contains("\n"))
-               .select(_document(doc_id, text).alias("doc"), F.explode(_windows(F.col(text))).alias("w"))
-               .select("w.a", "w.b", "doc", "w.at"))
+    windows = written(
+        docs.where(F.col(text).contains("\n"))
+        .select(_document(doc_id, text).alias("doc"), F.explode(_windows(F.col(text))).alias("w"))
+        .select("w.a", "w.b", "doc", "w.at"))
     place = F.struct("doc", "at")
     repeated = written(windows.groupBy("a", "b").agg(
         F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
