@@ -32,8 +32,8 @@ def test_cells(spark):
     wide = one.select(F.size(geo.widen_cells(con.one_of(F.array("c")), 10.0)["vals"])).first()[0]
     assert wide == 7
     centres = df.select(geo.cell_centre(geo.cell(F.col("la"), F.col("lo"), 6)).alias("m")).select("m.*")
-    assert detect.centre_level(centres, "lat", "lon") == 6
-    assert detect.centre_level(df, "la", "lo") is None
+    assert detect.centre_levels(centres, [("lat", "lon")]) == {("lat", "lon"): 6}
+    assert detect.centre_levels(df, [("la", "lo")]) == {}
 
 
 def rect(pand, x1, y1, x2, y2):
@@ -185,14 +185,24 @@ def test_clock_time_and_station_switch(spark, month):
     assert [(r.id, r.stations) for r in changes] == [("wissel", ["A", "D"])]
 
 
-def test_rbf_weights_reproduce_stations_and_planes():
-    s = np.array([(geo.KM_LON * lo, geo.KM_LAT * la) for _, la, lo in STATIONS])
+def test_rbf_reproduces_stations_and_planes(spark):
+    """At a station a surface has its value; a plane through the values is a plane everywhere. Hours
+    with other stations are solved apart, and hours with three stations have no surface."""
+    st = spark.createDataFrame(STATIONS, "station string, lat double, lon double")
+    h = [dt.datetime(2024, 1, 1, 0), dt.datetime(2024, 1, 1, 1), dt.datetime(2024, 1, 2, 0)]
+    rnd = random.Random(3)
+    planted = {(t, n): 2 + la + 3 * lo if t == h[0] else rnd.random() for t in h for n, la, lo in STATIONS
+               if t != h[2] or n in [s[0] for s in STATIONS[:3]]}
+    ref = spark.createDataFrame([(t, n, v) for (t, n), v in planted.items()],
+                                "time timestamp, station string, T double")
+    at_stations = st.select(F.col("station").alias("cand"), "lat", "lon")
+    away = spark.createDataFrame([("p", 52.3, 5.1)], "cand string, lat double, lon double")
     for kind in ("linear", "thin_plate", "multiquadric"):
-        assert trace.rbf_weights(s, s, kind) == pytest.approx(np.eye(len(s)), abs=1e-6)
-    p = np.array([[340.0, 5760.0]])
+        x = {(r.time, r.cand): r.x for r in trace.interpolate_rbf(ref, st, at_stations, kind).collect()}
+        assert x == pytest.approx({k: v for k, v in planted.items() if k[0] != h[2]}, abs=1e-6)
     for kind in ("linear", "thin_plate"):
-        w = trace.rbf_weights(s, p, kind)
-        assert w.sum() == pytest.approx(1) and (w @ s) == pytest.approx(p)
+        x = {r.time: r.x for r in trace.interpolate_rbf(ref, st, away, kind).collect()}
+        assert x[h[0]] == pytest.approx(2 + 52.3 + 3 * 5.1)
 
 
 def test_grid_is_found(spark, month):

@@ -121,10 +121,11 @@ def test_assessment_is_written_apart(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o/samenvatting")).first().ok == 1
 
 
-def test_detected_link_key():
+def test_detected_link_key(spark):
     names = ["home_nr", "home_nr_add_on", "postcode", "bouwjaar", "BAG_id", "T_out__degC",
              "adres_Ainf__cm2", "knmi_station", "e_consumed"]
-    found = {n: detect.decide(n, None) for n in names}
+    empty = spark.createDataFrame([], ", ".join(f"`{n}` string" for n in ["record_id", *names]))
+    found = {d.column: d for d in detect.detect(empty, "record_id")}
     assert [found[n].role for n in names] == ["direct", "direct", "qid", "qid", "direct",
                                               "implicit_location", "qid", "implicit_location", "direct"]
     assert link_key("auto", names, list(found.values())) == {"vbo_id": "BAG_id"}
