@@ -1,11 +1,14 @@
 """Toxic passages: the segments of a text whose words speak most for the toxic class.
 
-1. *Log-odds.* Words are reduced to stems (their first letters, lower case, without punctuation), as
-   one insult comes with many endings. For every stem the words in the documents of each class are
-   counted, word by word, each text once however often it is copied. A Dirichlet prior that follows
-   the stem's share of the whole corpus, plus a constant, shrinks the log-odds; a stem whose log-odds are many standard
-   deviations from 0 is a scoring stem. Stems are hashed to STEM_BUCKETS numbers, so a model is a
-   table of bounded size, whatever the corpus.
+1. *Log-odds.* A word's stems are the whole word (lower case, without punctuation) and its beginnings
+   of STEMS letters, as one insult comes with many endings. For every word the documents of each class
+   that have it are counted, each text once however often it is copied. A Dirichlet prior that follows
+   the stem's share of the whole corpus, plus a constant, shrinks the log-odds; a stem whose log-odds
+   are many standard deviations from 0 is a scoring stem. A whole word that scores, or that KNOWN
+   training documents have, speaks for itself; the others are counted together by their longer
+   beginning, and what is still rare by the shorter one, so that a frequent word hides no rare one with
+   the same beginning. The model holds the scoring stems, and the known ones that a shorter scoring
+   stem would speak for otherwise.
 2. *Segments.* The first word with a scoring stem scores its log-odds; any other word, and one whose
    stem the text had before, scores a small negative number, the log-odds of seeing no scoring stem. One linear scan gives all maximal segments: those that no
    extension and no cut within makes better.
@@ -32,6 +35,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +45,10 @@ from pyspark.sql.types import (ArrayType, DoubleType, LongType, StructField, Str
 
 from crowdcover.llm.common import as_bytes, batches, small, written
 
-#: Numbers that stems are hashed to; the model has at most so many.
-STEM_BUCKETS = 1 << 22
-STEM = 5
+#: Letters of the beginnings that stand for rare words, longest first.
+STEMS = (8, 5)
+#: Training documents with a stem from which on no shorter one speaks for it.
+KNOWN = 10
 #: The prior counts as so many words, spread like the words of the corpus, and so many per stem; the
 #: classes share them by their sizes, so it favours neither.
 PRIOR_WORDS, PRIOR_EACH = 1000.0, 0.5
@@ -58,21 +63,25 @@ THRESHOLD = 0.3
 _EDGES = b".,;:!?\"'()[]{}<>-_*#$%&|/\\"
 
 
-def stem_numbers(words: list[bytes]) -> list[int]:
-    """The number of every word's stem."""
+_LEVELS = ["stem", *[f"stem{k}" for k in STEMS]]
+
+
+def stem_numbers(words: list[bytes]) -> list[tuple[int, ...]]:
+    """The numbers of every word's stems, longest first."""
     import xxhash
 
     out = []
     for word in words:
-        letters = word.strip(_EDGES).decode(errors="replace").lower()[:STEM]
-        out.append(xxhash.xxh32_intdigest(letters.encode()) % STEM_BUCKETS)
+        letters = word.strip(_EDGES).decode(errors="replace").lower()
+        out.append(tuple(xxhash.xxh64_intdigest(letters[:k].encode(), seed) >> 1
+                         for seed, k in enumerate((None, *STEMS))))
     return out
 
 
 @dataclass(frozen=True)
 class Model:
-    stems: np.ndarray  # numbers of scoring stems, ascending
-    scores: np.ndarray
+    stems: np.ndarray  # numbers of scoring stems, and of known ones with a shorter that scores
+    scores: np.ndarray  # 0: known, scores nothing
     other: float
     scale: float  # lambda
     k: float = 1.0
@@ -94,21 +103,22 @@ def training_rows(docs: DataFrame, labels: DataFrame, train, doc_id: str, text:
 
 
 def stem_counts(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(stem, n, toxic, clean): different words of a document with the stem, over all documents and
-    over the training rows of either class."""
+    """(stem, one column per beginning, n, toxic, clean): different words of a document that are equal
+    but for punctuation, over all documents and over the training rows of either class."""
     def work(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter(), Counter(), Counter()]  # all, toxic, clean
 
         def out() -> pa.RecordBatch:
             seen = list(counts[0])
-            numbers = np.array(stem_numbers(seen), dtype=np.int64)
-            stems, at = np.unique(numbers, return_inverse=True)
-            columns = [np.bincount(at, [c[w] for w in seen], len(stems)).astype(np.int64)
+            numbers = np.array(stem_numbers(seen), dtype=np.int64).reshape(-1, len(_LEVELS))
+            _, first, at = np.unique(numbers[:, 0], return_index=True, return_inverse=True)
+            columns = [np.bincount(at, [c[w] for w in seen], len(first)).astype(np.int64)
                        for c in counts]
             for c in counts:
                 c.clear()
-            return pa.RecordBatch.from_arrays([pa.array(stems)] + [pa.array(c) for c in columns],
-                                              ["stem", "n", "toxic", "clean"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in numbers[first].T] + [pa.array(c) for c in columns],
+                [*_LEVELS, "n", "toxic", "clean"])
 
         for batch in batches_:
             for doc, y in zip(as_bytes(batch[0]), batch[1].to_pylist()):
@@ -122,12 +132,13 @@ def stem_counts(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> Dat
 
     marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(
         small(rows), "doc_id", "left").select("text", "y")
-    return batches(marked, work, "stem long, n long, toxic long, clean long").groupBy("stem").agg(
-        *[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
+    return batches(marked, work, ", ".join(f"{c} long" for c in [*_LEVELS, "n", "toxic", "clean"])
+                   ).groupBy(_LEVELS).agg(*[F.sum(c).alias(c) for c in ("n", "toxic", "clean")])
 
 
 def learn(counts: DataFrame) -> Model:
-    """Log-odds and lambda. Only scoring stems, at most STEM_BUCKETS, come to the driver."""
+    """Log-odds and lambda. Only stems that score, or that lie under one that does, come to the
+    driver."""
     counts = written(counts)
     n, toxic, clean = counts.agg(F.sum("n"), F.sum("toxic"), F.sum("clean")).first()
     if not toxic or not clean:
@@ -135,17 +146,36 @@ def learn(counts: DataFrame) -> Model:
     share = toxic / (toxic + clean)
     prior = F.lit(PRIOR_EACH) + F.lit(PRIOR_WORDS / n) * F.col("n")
     t, c = F.col("toxic") + prior * share, F.col("clean") + prior * (1 - share)
-    rows = (counts.where("toxic > 0")
-            .withColumn("odds", F.log(t / share) - F.log(c / (1 - share)))
-            .withColumn("z", F.col("odds") / F.sqrt(1 / t + 1 / c))
-            .where((F.col("odds") >= MIN_LOG_ODDS) & (F.col("z") >= MIN_DEVIATIONS))
-            .select("stem", F.least("odds", F.lit(MAX_LOG_ODDS)).alias("odds"),
-                    "toxic", "clean").toPandas().sort_values("stem"))
-    scores = rows["odds"].to_numpy(float)
-    share_clean = (rows["clean"].to_numpy(float) + PRIOR_EACH / 10) / clean
-    share_toxic = rows["toxic"].sum() / toxic
+    left, decided = counts, []
+    for k, level in enumerate(_LEVELS):
+        shorter = _LEVELS[k + 1:]
+        judged = (left.groupBy(level, *shorter).agg(*[F.sum(x).alias(x) for x in ("n", "toxic", "clean")])
+                  .where("toxic + clean > 0")
+                  .withColumn("odds", F.log(t / share) - F.log(c / (1 - share)))
+                  .withColumn("z", F.col("odds") / F.sqrt(1 / t + 1 / c))
+                  .withColumn("scores", (F.col("toxic") > 0) & (F.col("odds") >= MIN_LOG_ODDS)
+                              & (F.col("z") >= MIN_DEVIATIONS))
+                  .where(F.col("scores") | (F.col("toxic") + F.col("clean") >= KNOWN)))
+        decided.append(written(judged.select(
+            F.col(level).alias("at"), *shorter, "scores", "toxic", "clean",
+            F.least("odds", F.lit(MAX_LOG_ODDS)).alias("odds"))))
+        if shorter:
+            left = written(left.join(small(decided[-1].select(F.col("at").alias(level))), level,
+                                     "left_anti"))
+    parts = []
+    for k, found in enumerate(decided):
+        parts.append(found.where("scores").select("at", "odds", "toxic", "clean"))
+        for level, under in zip(_LEVELS[k + 1:], decided[k + 1:]):
+            parts.append(found.where("NOT scores").join(
+                under.where("scores").select(F.col("at").alias(level)), level, "left_semi").select(
+                    "at", F.lit(0.0).alias("odds"), F.lit(0).alias("toxic"), F.lit(0).alias("clean")))
+    rows = reduce(DataFrame.union, parts).distinct().toPandas().sort_values("at")
+    scoring = rows[rows["odds"] > 0]
+    scores = scoring["odds"].to_numpy(float)
+    share_clean = (scoring["clean"].to_numpy(float) + PRIOR_EACH / 10) / clean
+    share_toxic = scoring["toxic"].sum() / toxic
     other = float(np.log(max(1e-3, 1 - share_toxic) / max(1e-3, 1 - share_clean.sum())))
-    return Model(rows["stem"].to_numpy(np.int64), scores, min(other, -0.005),
+    return Model(rows["at"].to_numpy(np.int64), rows["odds"].to_numpy(float), min(other, -0.005),
                  _scale(scores, share_clean, min(other, -0.005)))
 
 
@@ -190,6 +220,12 @@ def maximal_segments(at: np.ndarray, scores: np.ndarray, other: float) -> list[t
     return [(s, e, behind - before) for s, e, before, behind, _ in done]
 
 
+def stem_of(numbers: tuple[int, ...], table: dict[int, float]) -> int:
+    """The scoring stem that speaks for a word, or -1."""
+    at = next((i for i in numbers if i in table), -1)
+    return at if table.get(at) else -1
+
+
 def find_passages(docs: DataFrame, model: Model, text: str) -> DataFrame:
     """``docs`` with n_tokens and segments (array<struct<start, end, score>>, in words)."""
     docs = docs.drop("n_tokens", "segments")
@@ -212,7 +248,7 @@ def find_passages(docs: DataFrame, model: Model, text: str) -> DataFrame:
                 got = list(map(known.get, words))
                 if None in got:
                     new = list({w for w, i in zip(words, got) if i is None})
-                    fresh = {w: i if i in table else -1 for w, i in zip(new, stem_numbers(new))}
+                    fresh = {w: stem_of(i, table) for w, i in zip(new, stem_numbers(new))}
                     got = [fresh[w] if i is None else i for w, i in zip(words, got)]
                     if len(known) < HELD:
                         known.update((w, i) for w, i in fresh.items() if len(w) <= 40)

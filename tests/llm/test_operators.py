@@ -430,6 +430,22 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_toxic_words_that_begin_like_clean_ones(spark):
+    rng, rows, labels = random.Random(8), [], []
+    for i in range(600):
+        words, bad = prose(rng, rng.randrange(60, 200)).split(), rng.random() < 0.15
+        at = rng.randrange(len(words) - 20)
+        for k in range(at, at + 20, 4):  # 8 and 5 letters are shared with a common clean word
+            words[k] = rng.choice(["fachlichpfui", "fachkeiter"] if bad else ["fachlich", "fachkraft"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), F.expr(TRAIN))
+    out = {r["doc_id"]: r for r in toxicity.score(frame, model).collect()}
+    held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum(y for _, y in held) > 10 and all(out[i]["predicted"] == y for i, y in held)
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(docs, none, F.expr(TRAIN))
