@@ -9,9 +9,11 @@
    beginning, and what is still rare by the shorter one, so that a frequent word hides no rare one with
    the same beginning. The model holds the scoring stems, and the known ones that a shorter scoring
    stem would speak for otherwise.
-2. *Segments.* The first word with a scoring stem scores its log-odds; any other word, and one whose
-   stem the text had before, scores a small negative number, the log-odds of seeing no scoring stem. One linear scan gives all maximal segments: those that no
-   extension and no cut within makes better.
+2. *Segments.* A word with a scoring stem scores its log-odds; any other word scores a small negative
+   number, the log-odds of seeing no scoring stem. A stem that recurs within a few words scores in
+   between, the less the nearer its last occurrence is (REPEAT); farther on it scores in full again,
+   so that a passage is judged by itself, whatever the text said before. One linear scan gives all
+   maximal segments: those that no extension and no cut within makes better.
 3. *Extreme values.* The best segment of n random words is about ln(K n) / lambda, with Gumbel tails.
    lambda solves sum p(s) exp(lambda s) = 1 over the scores of clean words; K fits the clean documents
    of the training rows. A segment is significant if chance would give fewer than MAX_EXPECTED such
@@ -56,6 +58,8 @@ PRIOR_WORDS, PRIOR_EACH = 1000.0, 0.5
 MIN_DEVIATIONS, MIN_LOG_ODDS = 3.0, 3.0
 MAX_LOG_ODDS = 8.0
 MAX_EXPECTED = 0.05
+#: Words since a stem's last occurrence over which a repeat regains 63 % of its score.
+REPEAT = 50.0
 #: Stems a task counts before it hands them on.
 HELD = 300_000
 THRESHOLD = 0.3
@@ -226,6 +230,18 @@ def stem_of(numbers: tuple[int, ...], table: dict[int, float]) -> int:
     return at if table.get(at) else -1
 
 
+def damped(numbers: np.ndarray, at: np.ndarray, scores: np.ndarray,
+           other: float) -> tuple[np.ndarray, np.ndarray]:
+    """``at`` and ``scores`` (> ``other``) after repeats are damped by the distance to the last
+    occurrence of their number; places that score nothing above 0 any more are plain words."""
+    order = np.argsort(numbers, kind="stable")
+    again = numbers[order][1:] == numbers[order][:-1]
+    gaps = np.full(len(at), np.inf)
+    gaps[order[1:][again]] = np.diff(at[order])[again]
+    out = other + (scores - other) * -np.expm1(-gaps / REPEAT)
+    return at[out > 0], out[out > 0]
+
+
 def find_passages(docs: DataFrame, model: Model, text: str) -> DataFrame:
     """``docs`` with n_tokens and segments (array<struct<start, end, score>>, in words)."""
     docs = docs.drop("n_tokens", "segments")
@@ -254,10 +270,11 @@ def find_passages(docs: DataFrame, model: Model, text: str) -> DataFrame:
                         known.update((w, i) for w, i in fresh.items() if len(w) <= 40)
                 numbers = np.array(got, dtype=np.int64)
                 at = np.flatnonzero(numbers >= 0)
-                at = np.sort(at[np.unique(numbers[at], return_index=True)[1]])  # first of each stem
+                at, gains = damped(numbers[at], at, np.array(
+                    [table[i] for i in numbers[at].tolist()], dtype=float), other)
                 sizes.append(len(words))
-                found.append([{"start": s, "end": e, "score": x} for s, e, x in maximal_segments(
-                    at, np.array([table[i] for i in numbers[at].tolist()]), other)])
+                found.append([{"start": s, "end": e, "score": x}
+                              for s, e, x in maximal_segments(at, gains, other)])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(sizes, pa.int64()), pa.array(found, kind)],
                 [*batch.schema.names, "n_tokens", "segments"])

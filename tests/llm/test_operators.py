@@ -430,6 +430,39 @@ def test_toxicity_on_held_out_rows(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0
 
 
+def test_every_toxic_passage_is_found(spark):
+    rows, labels = toxic_corpus(random.Random(4), 600)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(frame, spark.createDataFrame(labels, "doc_id long, toxic int"), F.expr(TRAIN))
+    rng, bad = random.Random(5), ["vileword", "meanthing", "slurry"]
+
+    def clean(n):
+        out = []
+        while len(out) < n:
+            out += prose(rng, 60).split()
+        return out[:n]
+
+    passage = [w for k in range(5) for w in (bad[k % 3], *clean(3))][:17]
+    texts = {"twice": clean(100) + passage + clean(1000) + passage + clean(100),
+             "late": [w for b in bad for w in (b, *clean(1000))] + passage + clean(100)}
+    asked = spark.createDataFrame([(k, " ".join(v)) for k, v in texts.items()], "id string, text string")
+    found = {r["id"]: [(p["start"], p["end"]) for p in r["passages"]]
+             for r in toxicity.score(asked, model).collect()}
+    late = len(texts["late"]) - 117
+    assert found["twice"] == [(100, 117), (1117, 1134)]
+    assert (late, late + 17) in found["late"]  # single words on the way may be passages, too
+
+
+def test_repeats_are_damped_by_distance():
+    at = np.array([0, 1, 2, 500, 501, 10**6])
+    numbers = np.array([7, 9, 7, 7, 7, 9])
+    places, scores = toxicity.damped(numbers, at, np.full(6, 4.0), -0.01)
+    got = dict(zip(places.tolist(), scores.tolist()))
+    assert got[0] == got[1] == 4.0 and math.isclose(got[10**6], 4.0)
+    assert 0 < got[2] < 0.5 and 0 < got[501] < 0.5 and got[500] > 3.9
+    assert not len(toxicity.damped(numbers[:0], at[:0], np.empty(0), -0.01)[0])
+
+
 def test_toxic_words_that_begin_like_clean_ones(spark):
     rng, rows, labels = random.Random(8), [], []
     for i in range(600):
