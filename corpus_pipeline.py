@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdcover.llm import jaccard_join, line_dedup, packing, quality_rules, toxicity
-from crowdcover.llm.common import small, written
+from crowdcover.llm.common import small, unused, written
 from crowdcover.llm.queries import TRAIN, WORD_TOKENIZER
 from crowdcover.session import checkpoint_dir
 
@@ -36,16 +36,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that are linked, the one with the smallest id stays. An id stands for all its
-    rows: it stays if one of them does, once."""
-    found = jaccard_join.classes_of(docs).groupBy("doc_id").agg(
-        F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"), F.count("*").alias("n"))
-    ids = written(found.where("NOT stays OR n > 1"))
-    gone = written(ids.where("NOT stays").select("doc_id"))
-    out = docs.join(small(gone), "doc_id", "left_anti")
-    if not ids.where("stays").isEmpty():  # only where an id has several rows
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(docs.columns)
+    """Of rows that are linked, the one with the smallest id stays; a null id is smaller than any
+    other. Rows are told apart by a number of their own, as ids may be null or have several rows."""
+    row, component, first = unused(docs, "row", "component", "first")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = jaccard_join.classes_of(numbered, doc_id=row).select(
+        F.col("doc_id").alias(row), F.col("component_id").alias(component))
+    rows = written(found.join(numbered.select(row, F.col("doc_id").cast("long").alias("id")), row))
+    groups = written(rows.groupBy(component).agg(
+        F.min(F.struct("id", row))[row].alias(first), F.count("*").alias("n"))
+        .where("n > 1").drop("n"))
+    gone = written(rows.join(small(groups), component).where(F.col(row) != F.col(first)).select(row))
+    return numbered.join(small(gone), row, "left_anti").select(docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Registered queries of the operators, and the pipeline stage by stage."""
 
+import random
+from collections import Counter
+
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from crowdcover.llm import jaccard_join, line_dedup, quality_rules
 from oracle import compare, connect
-from test_operators import check_packing, plain_components, plain_line_dedup, plain_measures
+from test_operators import check_packing, plain_components, plain_line_dedup, plain_measures, prose
 
 FOLDER = "/root/testdata/sf0.001"
 NAMES = [n for n in entry.queries() if n.startswith("op")]
@@ -67,5 +70,17 @@ def test_pipeline_on_odd_documents(spark, tmp_path):
                                "offset"]
 
 
+def test_near_copies_decide_per_row(spark):
+    rng = random.Random(11)
+    a, b, c, d, e = (prose(rng, 80) for _ in range(5))
+    rows = [(None, a), (None, b), (None, a), (None, None), (None, ""), (4, c), (4, d), (5, c), (3, d),
+            (6, e), (6, e), (7, b + " end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = corpus_pipeline.near_copies(spark, docs, FOLDER)
+    assert out.columns == ["doc_id", "text"]
+    assert Counter(map(tuple, out.collect())) == Counter(
+        [(None, a), (None, b), (None, None), (None, ""), (4, c), (3, d), (6, e)])
+
+
 def test_operators_are_the_ones_the_stages_call():
     assert jaccard_join.WORDS == 5 and line_dedup.WINDOW == 3 and quality_rules.MIN_WORDS == 50
