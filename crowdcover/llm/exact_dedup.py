@@ -4,7 +4,7 @@ The corpus so far is *history*: its distinct digests, each with a winner (the la
 History is kept as an index of buckets. A bucket holds a few thousand digests that agree in their
 first bytes: the bits of a minimal perfect hash, and per slot the full digest, the winner's locator
 and the count. New documents are reduced to one row per digest and task, sent to the bucket of their
-digest, and looked up there; the slot's 32 bytes are compared, as a hash of an unknown digest may
+digest, and looked up there; there are as many buckets as the larger of the two sides needs; the slot's 32 bytes are compared, as a hash of an unknown digest may
 also point to a slot. Members update their slot; the others are grouped among themselves.
 
 Digests are spread evenly over buckets, and a text that a third of all documents share costs each
@@ -134,9 +134,10 @@ def dedup(docs: DataFrame, is_history: Column, doc_id: str = "doc_id",
     marked = rest.withColumns({digest: digest_of(F.col(text)),
                                old: F.coalesce(is_history, F.lit(False))})
     history = written(reduced(marked.where(old), doc_id, digest))
-    buckets = max(1, -(-history.count() // BUCKET))
+    new = written(reduced(marked.where(~F.col(old)), doc_id, digest))
+    buckets = max(1, -(-max(history.count(), new.count()) // BUCKET))
     index = written(build_index(history, buckets))
-    looked = written(look_up(index, reduced(marked.where(~F.col(old)), doc_id, digest), buckets))
+    looked = written(look_up(index, new, buckets))
     members = looked.where("member").select("digest", "top", "n", F.lit(True).alias("known"))
     others = looked.where("NOT member").groupBy("digest").agg(
         F.max("top").alias("top"), F.sum("n").alias("n")).withColumn("known", F.lit(False))

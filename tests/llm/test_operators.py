@@ -625,6 +625,18 @@ def test_exact_dedup(spark, docs, empty, monkeypatch, history):
     assert exact_dedup.dedup(empty, F.expr(history)).count() == 0
 
 
+@pytest.mark.parametrize("old", [0, 3])
+def test_buckets_follow_new_digests_too(spark, monkeypatch, old):
+    monkeypatch.setattr(exact_dedup, "BUCKET", 16)
+    made, plain = [], exact_dedup.look_up
+    monkeypatch.setattr(exact_dedup, "look_up", lambda index, new, buckets: (
+        made.append(buckets), plain(index, new, buckets))[1])
+    frame = spark.createDataFrame([(i, f"t{i // 2}") for i in range(400)], "doc_id long, text string")
+    out = exact_dedup.dedup(frame.repartition(2), F.col("doc_id") < old).collect()
+    assert 200 / 16 <= made[0] <= 400 / 16 + 1
+    assert all((r["keep_id"], r["group_size"]) == (r["doc_id"] | 1, 2) for r in out) and len(out) == 400
+
+
 # 10 chat
 
 SAYINGS = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>assistant\nhi", "\\-\\n\\\\", "", "<", "<|im_",
