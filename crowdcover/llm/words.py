@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 #: Chunks that one worker remembers, about 150 bytes each. Those beyond are encoded every time.
 REMEMBERED = 400_000
+#: Letters of the longest chunk that is remembered; longer ones are encoded every time, too.
+LONGEST = 40
 
 #: A comma or full stop that does not simply end a word: no letter before it, or something else
 #: than a letter, a space, a line end or the text's end behind it.
@@ -22,7 +24,7 @@ class Remembered(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         value = self.make(chunk)
-        if len(self) < self.room:
+        if len(self) < self.room and len(chunk) <= LONGEST:
             self[chunk] = value
         return value
 

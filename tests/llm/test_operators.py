@@ -21,7 +21,7 @@ from crowdcover.llm import (bpe, chat, common, exact_dedup, jaccard_join, line_d
                             quality_rules, toxicity, training_order, url_filter)
 from crowdcover.llm.perfect_hash import PerfectHash, keys_of
 from crowdcover.llm.queries import BYTE_RANKS, TRAIN, WORD_TOKENIZER
-from crowdcover.llm.words import word_encoder
+from crowdcover.llm.words import WordEncoder, word_encoder
 
 WORDS = "the of and a to in is it that was for on are with as at be this have from".split()
 
@@ -592,6 +592,15 @@ def test_bpe_columns(spark, docs, empty):
     assert bpe.encode(empty, "text", BYTE_RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_long_chunks_are_not_remembered():
+    encoder = WordEncoder(WORD_TOKENIZER)
+    long = [base64.b64encode(bytes(range(k, k + 90))).decode() for k in range(9)] + ["語" * 500, "x" * 41]
+    for text in [*long, " ".join(long) + " short", "y" * 40]:
+        for _ in range(2):
+            assert np.frombuffer(encoder.encode(text), "<u4").tolist() == word_ids(text)
+    assert max(map(len, encoder.known)) == 40
+
+
 def test_no_remembering_is_the_same(monkeypatch):
     monkeypatch.setattr(bpe, "REMEMBERED", 3)
     codec = bpe.Codec(BYTE_RANKS, public_tokenizers.PATTERN)
