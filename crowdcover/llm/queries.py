@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdcover.llm import (bpe, chat, exact_dedup, jaccard_join, line_dedup, packing, quality_rules,
-                            toxicity, training_order, url_filter)
+from crowdcover.llm import (align, bpe, chat, exact_dedup, filter_audit, jaccard_join, line_dedup,
+                            packing, quality_rules, toxicity, training_order, url_filter, warc)
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 #: The rules of op1: host, path, verdict.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
@@ -251,6 +253,89 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """
 
+
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit_documents(docs, _read(spark, folder, "labels"), F.col("lang"))
+
+
+OP11 = r"""
+WITH texts AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+           list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w
+    FROM documents),
+flagged AS (
+    SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+           100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c,
+           regexp_matches(text, '[#$%&*|]') AS d,
+           coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM texts),
+known AS (
+    SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+cells AS (
+    SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (good) AS good,
+           count(*) FILTER (toxic) AS toxic
+    FROM flagged LEFT JOIN known USING (doc_id) GROUP BY ALL),
+letters(l) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+    SELECT v.l || w.l || x.l || y.l || z.l AS filter_order
+    FROM letters v, letters w, letters x, letters y, letters z
+    WHERE len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5),
+ranked AS (
+    SELECT cells.*, filter_order, least(
+        CASE WHEN a THEN strpos(filter_order, 'A') ELSE 9 END,
+        CASE WHEN b THEN strpos(filter_order, 'B') ELSE 9 END,
+        CASE WHEN c THEN strpos(filter_order, 'C') ELSE 9 END,
+        CASE WHEN d THEN strpos(filter_order, 'D') ELSE 9 END,
+        CASE WHEN e THEN strpos(filter_order, 'E') ELSE 9 END) AS first
+    FROM cells, orders),
+steps AS (
+    SELECT *, substr(filter_order, step, 1) AS letter,
+           CASE letter WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c WHEN 'D' THEN d ELSE e END AS fails,
+           a::int + b::int + c::int + d::int + e::int AS k
+    FROM ranked, (SELECT unnest(range(1, 6))::int AS step)),
+counted AS (
+    SELECT part, filter_order, step, letter,
+           coalesce(sum(n) FILTER (first > step), 0)::bigint AS kept,
+           coalesce(sum(n) FILTER (first = step), 0)::bigint AS removed,
+           coalesce(sum(n) FILTER (fails AND first < step), 0)::bigint AS redundant,
+           coalesce(sum(n) FILTER (fails AND k = 1), 0)::bigint AS unique_fails,
+           coalesce(sum(good) FILTER (first = step), 0)::bigint AS good_lost,
+           coalesce(sum(toxic) FILTER (first = step), 0)::bigint AS toxic_lost
+    FROM steps GROUP BY ALL)
+SELECT * EXCLUDE (letter),
+       (sum(removed) OVER (PARTITION BY part, letter))::bigint AS shapley FROM counted
+"""
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents").select("doc_id", "text")
+    return align.aligned_documents(docs, BYTE_TOKENIZER, PIECE_MODEL).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page is written to an archive, all archives are read back, and revisits find the payload
+    that they refer to."""
+    pages = _read(spark, folder, "pages").select("page_id", "url", "html")
+    archives = warc.write_archives(pages)
+    records, _ = warc.read_archives(archives, payloads=False)
+    return warc.resolved(records).select(
+        F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to_key").cast("long").alias("refers_to"))
+
+
+OP13 = """
+WITH sized AS (
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest,
+           min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id IS DISTINCT FROM first AND first IS NOT NULL
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN record_type = 'revisit' THEN first END AS refers_to
+FROM sized
+"""
+
 QUERIES = {
     "op1_url_filter": (op1_url_filter, OP1),
     "op2_training_order": (op2_training_order, None),
@@ -262,4 +347,7 @@ QUERIES = {
     "op8_exact_dedup": (op8_exact_dedup, OP8),
     "op9_byte_bpe": (op9_byte_bpe, None),
     "op10_chat": (op10_chat, OP10),
+    "op11_filter_audit": (op11_filter_audit, OP11),
+    "op12_token_alignment": (op12_token_alignment, None),
+    "op13_warc": (op13_warc, OP13),
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-#: Chunks that one worker remembers, about 150 bytes each. Those beyond are encoded every time.
-REMEMBERED = 400_000
-#: Letters of the longest chunk that is remembered; longer ones are encoded every time, too.
+#: Chunks of one generation that a worker remembers, about 150 bytes each; there are two. Beyond that
+#: it forgets those not met for longest.
+REMEMBERED = 200_000
+#: Letters of the longest chunk that is remembered; longer ones are encoded every time.
 LONGEST = 40
 
 #: A comma or full stop that does not simply end a word: no letter before it, or something else
@@ -16,19 +17,53 @@ _ODD_STOP = re.compile(r"[,.](?:(?<![A-Za-z0-9À-ÖØ-öø-ÿ][,.])|(?![A-Za-z0-
 
 
 class Remembered(dict):
-    """chunk -> encoded chunk, made when first met."""
+    """chunk -> encoded chunk, made when first met. When a generation is full it becomes the older one,
+    and what is met again moves into the next; the rest goes."""
 
     def __init__(self, make: Callable[[str], bytes], room: int = REMEMBERED):
         super().__init__()
-        self.make, self.room = make, room
+        self.make, self.room, self.older = make, room, {}
 
     def __missing__(self, chunk: str) -> bytes:
-        value = self.make(chunk)
-        if len(self) < self.room and len(chunk) <= LONGEST:
-            self[chunk] = value
+        value = self.older.get(chunk)
+        if value is None:
+            value = self.make(chunk)
+            if len(chunk) > LONGEST:
+                return value
+        if len(self) >= self.room:
+            self.older = dict(self)
+            self.clear()
+        self[chunk] = value
         return value
 
 
+class Recent:
+    """The same for chunks that are made many at a time: ``missing`` tells which to make, ``of`` gives
+    the values of a text's chunks, ``add`` remembers what was made."""
+
+    def __init__(self, room: int = REMEMBERED):
+        self.room, self.now, self.older = room, {}, {}
+
+    def missing(self, texts: list[list[str]]) -> list[str]:
+        out = []
+        for chunk in set().union(*texts):
+            if chunk not in self.now:
+                if chunk in self.older:
+                    self.now[chunk] = self.older[chunk]
+                else:
+                    out.append(chunk)
+        return out
+
+    def of(self, chunks: list[str], made: dict) -> list:
+        found = list(map(self.now.get, chunks))
+        return [made[c] if v is None else v for c, v in zip(chunks, found)] if None in found else found
+
+    def add(self, made: dict) -> None:
+        self.now.update((c, v) for c, v in made.items() if v is not None)
+        if len(self.now) > self.room:
+            self.older, self.now = self.now, {}
+
+
 def stops_end_words(text: str) -> bool:
     return not _ODD_STOP.search(text)
 

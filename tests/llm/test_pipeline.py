@@ -17,7 +17,7 @@ NAMES = [n for n in entry.queries() if n.startswith("op")]
 
 def test_all_are_registered():
     found = {n.split("_")[0] for n in NAMES}
-    assert found == {f"op{k}" for k in range(1, 11)} and "pipeline" in entry.queries()
+    assert found == {f"op{k}" for k in range(1, 14)} and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", NAMES)
