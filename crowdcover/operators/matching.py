@@ -5,15 +5,17 @@ Two series that lie far apart already do so in their daily means, so those decid
 1. per entity and candidate, means of days with all hours give a lower bound of the distance;
 2. the few candidates with the lowest bounds are compared hour by hour; the best of those gives a
    distance that any other candidate would have to beat;
-3. only candidates whose bound lies below it are compared hour by hour as well.
+3. candidates whose bound lies below it get a closer one from parts of days;
+4. only those whose bound still lies below are compared hour by hour as well.
 
 The distance is the root mean square of the hours without the largest 2% of the differences. A
-left-out hour can make the bound of one day worthless, no more: with every day's square capped at
+left-out hour can make the bound of one block worthless, no more: with every block's square capped at
 c, leaving out m hours takes at most m * c away, whatever c is. So the bound is the best over a few
 caps of (sum of capped squares - m * c), which is one aggregate of sums.
 
 The trimmed distance itself takes two passes and no sort of the differences: a histogram of them
-tells in which bucket the limit falls, then only that bucket's values are counted.
+tells in which bucket the limit falls, and with it the distance within a fraction of a percent; only
+for pairs that can still win the values of that one bucket are counted.
 """
 
 from __future__ import annotations
@@ -28,12 +30,17 @@ from ..session import cut
 # When hours are close, and the share of the largest differences that is left out.
 CLOSE, TRIM = 0.06, 0.02
 #: Differences of daily means, in degrees, at which squares are capped for the bound.
-CAPS = (0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 4.0, 8.0)
+CAPS = (0.02, 0.05, 0.1, 0.2, 0.4, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0, 5.6, 8.0, 16.0)
 #: Candidates per series that are compared first.
 PROBES = 4
+#: Buckets of a histogram per doubling of the difference.
+FINE = 6
 #: What rounding may do to a bound.
 SLACK = 1e-7
 
+#: Hours of a block of which means are compared: first all pairs by the day, then what is left by parts.
+BLOCKS = (24, 6)
+
 _DAY = 86_400
 
 
@@ -46,30 +53,29 @@ def kept_hours(hours: Column, trim: float) -> Column:
     return F.greatest(F.floor(hours * (1 - trim)), F.lit(1))
 
 
-def daily(rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """``(*keys, dag, name)``: the mean of a day with all 24 hours, else null."""
-    return rows.groupBy(*keys, day_of(F.col("time")).alias("dag")).agg(
-        F.when(F.count(F.lit(1)) == 24, F.avg(value)).alias(name))
+def block_means(rows: DataFrame, keys: Sequence[str], value: str, name: str, hours: int) -> DataFrame:
+    """``(*keys, blok, name)``: the mean of a block with all its hours, else null."""
+    return rows.groupBy(*keys, F.floor(F.unix_seconds("time") / (hours * 3600)).alias("blok")).agg(
+        F.when(F.count(F.lit(1)) == hours, F.avg(value)).alias(name))
 
 
 def lower_bounds(entities: DataFrame, candidates: DataFrame, of: Sequence[str], among: Sequence[str],
-                 trim: float, pairs: DataFrame | None = None) -> DataFrame:
-    """``(*of, *among, laag)`` for every entity and candidate with a day in common: a distance
-    that theirs is not below. ``pairs``: only these."""
-    mine = daily(entities, [*of, "uren"], "v", "_v")
-    theirs = daily(candidates, among, "x", "_x")
+                 trim: float, pairs: DataFrame | None = None, hours: int = BLOCKS[0]) -> DataFrame:
+    """``(*of, *among, laag)`` for every entity and candidate with a block of ``hours`` in common: a
+    distance that theirs is not below. ``pairs``: only these."""
+    mine = block_means(entities, [*of, "uren"], "v", "_v", hours)
+    theirs = block_means(candidates, among, "x", "_x", hours)
     if pairs is None:
-        met = mine.join(theirs, "dag")
+        met = mine.join(theirs, "blok")
     else:
-        shared = [c for c in pairs.columns if c in of]
-        met = mine.join(pairs, shared).join(theirs, ["dag", *among])
-    square = F.coalesce(24 * F.pow(F.col("_v") - F.col("_x"), F.lit(2.0)), F.lit(0.0))
-    sums = [F.sum(F.least(square, F.lit(24 * c * c))).alias(f"_c{i}") for i, c in enumerate(CAPS)]
+        met = mine.join(pairs, [c for c in pairs.columns if c in of]).join(theirs, ["blok", *among])
+    square = F.coalesce(hours * F.pow(F.col("_v") - F.col("_x"), F.lit(2.0)), F.lit(0.0))
+    sums = [F.sum(F.least(square, F.lit(hours * c * c))).alias(f"_c{i}") for i, c in enumerate(CAPS)]
     met = met.groupBy(*of, *among).agg(*sums, F.sum(square).alias("_all"), F.max("uren").alias("uren"))
     kept = kept_hours(F.col("uren"), trim)
     left_out = F.col("uren") - kept
     best = F.greatest(F.lit(0.0), F.when(left_out == 0, F.col("_all")), *[
-        F.col(f"_c{i}") - left_out * (24 * c * c) for i, c in enumerate(CAPS)])
+        F.col(f"_c{i}") - left_out * (hours * c * c) for i, c in enumerate(CAPS)])
     return met.select(*of, *among, F.sqrt(best / kept).alias("laag"))
 
 
@@ -81,61 +87,89 @@ def differences(pairs: DataFrame, entities: DataFrame, candidates: DataFrame, of
             .select(*of, *among, F.abs(F.col("v") - F.col("x")).alias("d"), "uren"))
 
 
-def distances(diffs: DataFrame, keys: Sequence[str], trim: float = TRIM) -> DataFrame:
-    """``(*keys, aandeel, rms, gedeeld)``: the share of close hours, the root mean square without the
-    largest differences (of ``uren`` hours, a share of ``trim``), and the hours shared."""
-    keys = list(keys)
-    square = F.col("d") * F.col("d")
-    close = F.avg((F.col("d") <= CLOSE).cast("double")).alias("aandeel")
-    if not trim:
-        return diffs.groupBy(*keys).agg(close, F.sqrt(F.avg(square)).alias("rms"),
-                                        F.count(F.lit(1)).alias("gedeeld"))
-    diffs = cut(diffs.withColumn("_vak", F.floor(F.log2(F.col("d") + 2.0 ** -12) * 6)))
-    vak = diffs.groupBy(*keys, "_vak").agg(
+def histograms(diffs: DataFrame, keys: Sequence[str], trim: float = TRIM) -> DataFrame:
+    """``(*keys, aandeel, gedeeld, laag, hoog, ...)``: the share of close hours, the hours shared, and
+    between which bounds the distance lies. The rest tells how many values of which bucket count
+    besides the smaller ones."""
+    keys, square = list(keys), F.col("d") * F.col("d")
+    vak = diffs.groupBy(*keys, _bucket(F.col("d")).alias("_vak")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(square).alias("_s"), F.max("uren").alias("_u"),
         F.count_if(F.col("d") <= CLOSE).alias("_c"))
     order = Window.partitionBy(*keys).orderBy("_vak")      # a row per bucket: some hundred at most
-    vak = vak.withColumn("_voor", F.sum("_n").over(order) - F.col("_n")).withColumn(
-        "_mag", kept_hours(F.col("_u"), TRIM if trim is None else trim))
-    vak = cut(vak)
-    edge = vak.where((F.col("_voor") < F.col("_mag")) & (F.col("_voor") + F.col("_n") > F.col("_mag")))
-    values = diffs.join(edge.select(*keys, "_vak", (F.col("_mag") - F.col("_voor")).alias("_rest")),
-                        [*keys, "_vak"]).groupBy(*keys, "d").agg(
-                            F.count(F.lit(1)).alias("_n"), F.max("_rest").alias("_rest"))
-    by_value = Window.partitionBy(*keys).orderBy("d")      # values of one bucket of one pair
-    taken = F.greatest(F.least(F.col("_n"), F.col("_rest") - (F.sum("_n").over(by_value) - F.col("_n"))),
-                       F.lit(0))
+    vak = vak.withColumn("_tot", F.sum("_n").over(order)).withColumn("_mag", kept_hours(F.col("_u"), trim))
+    before = F.col("_tot") - F.col("_n")
+    edge = F.when((before < F.col("_mag")) & (F.col("_tot") > F.col("_mag")),
+                  F.struct("_vak", (F.col("_mag") - before).alias("_rest")))
+    out = vak.groupBy(*keys).agg(
+        (F.sum("_c") / F.sum("_n")).alias("aandeel"), F.sum("_n").alias("gedeeld"),
+        F.sum(F.when(F.col("_tot") <= F.col("_mag"), F.col("_s")).otherwise(0.0)).alias("_s"),
+        F.max("_mag").alias("_mag"), F.max(edge).alias("_e"))
+    out = out.select(*keys, "aandeel", "gedeeld", "_s", F.least("gedeeld", "_mag").alias("_k"),
+                     "_e._vak", F.coalesce("_e._rest", F.lit(0)).alias("_rest"))
+
+    def bound(bucket):
+        value = F.pow(F.lit(2.0), bucket / FINE) - 2.0 ** -12
+        return F.sqrt((F.col("_s") + F.col("_rest") * F.coalesce(value * value, F.lit(0.0))) / F.col("_k"))
+
+    return out.withColumns({"laag": bound(F.col("_vak")), "hoog": bound(F.col("_vak") + 1)})
+
+
+def _bucket(d: Column) -> Column:
+    return F.floor(F.log2(d + 2.0 ** -12) * FINE).cast("int")
+
+
+def settled(found: DataFrame, diffs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(*keys, aandeel, rms, gedeeld)`` exactly, from :func:`histograms` of some pairs and the
+    differences of these: the values of the one bucket that counts in part are counted."""
+    keys, square = list(keys), F.col("d") * F.col("d")
+    values = (diffs.join(found.where("_rest > 0").select(*keys, "_vak", "_rest"), keys)
+              .where(_bucket(F.col("d")) == F.col("_vak"))
+              .groupBy(*keys, "d").agg(F.count(F.lit(1)).alias("_n"), F.max("_rest").alias("_rest")))
+    order = Window.partitionBy(*keys).orderBy("d")         # values of one bucket of one pair
+    before = F.sum("_n").over(order) - F.col("_n")
+    taken = F.greatest(F.least(F.col("_n"), F.col("_rest") - before), F.lit(0))
     part = values.withColumn("_t", taken).groupBy(*keys).agg(F.sum(F.col("_t") * square).alias("_deel"))
-    whole = vak.groupBy(*keys).agg(
-        F.sum(F.when(F.col("_voor") + F.col("_n") <= F.col("_mag"), F.col("_s")).otherwise(0.0)).alias("_s"),
-        F.sum("_n").alias("gedeeld"), F.sum("_c").alias("_c"), F.max("_mag").alias("_mag"))
     total = F.col("_s") + F.coalesce(F.col("_deel"), F.lit(0.0))
-    return whole.join(part, keys, "left").select(
-        *keys, (F.col("_c") / F.col("gedeeld")).alias("aandeel"),
-        F.sqrt(total / F.least(F.col("gedeeld"), F.col("_mag"))).alias("rms"), "gedeeld")
+    return found.join(part, keys, "left").select(*keys, "aandeel", F.sqrt(total / F.col("_k")).alias("rms"),
+                                                 "gedeeld")
+
+
+def _possible(rows: DataFrame, within: Sequence[str], keys: Sequence[str], best: int,
+              bars: DataFrame) -> DataFrame:
+    """``rows`` whose lower bound does not lie above the ``best``-th smallest upper bound of ``bars``."""
+    order = Window.partitionBy(*within).orderBy("hoog", *keys)
+    bar = bars.withColumn("_nr", F.row_number().over(order)).where(F.col("_nr") == best).select(
+        *within, F.col("hoog").alias("_grens"))
+    return rows.join(bar, list(within), "left").where(
+        F.col("_grens").isNull() | (F.col("laag") <= F.col("_grens") + SLACK)).drop("_grens")
 
 
 def nearest(entities: DataFrame, candidates: DataFrame, *, of: Sequence[str], among: Sequence[str],
             within: Sequence[str], best: int = 2, trim: float = TRIM,
             pairs: DataFrame | None = None) -> DataFrame:
-    """:func:`distances` of all pairs that can be among the ``best`` of their ``within`` (columns of
-    an entity or of its candidates); the others are farther.
+    """``(*of, *among, aandeel, rms, gedeeld)`` of all pairs that can be among the ``best`` of their
+    ``within`` (columns of an entity or of its candidates); the others are farther.
 
     ``entities``: ``(*of, time, v, uren)`` with one row per hour, ``uren`` the hours of the entity;
     ``candidates``: ``(*among, time, x)``. Both are read more than once: pass tables that are written."""
     of, among, within = list(of), list(among), list(within)
+    keys = [*of, *among]
+
+    def compared(chosen):
+        return histograms(differences(chosen, entities, candidates, of, among), keys, trim)
+
     low = cut(lower_bounds(entities, candidates, of, among, trim, pairs))
-    order = Window.partitionBy(*within).orderBy("laag", *of, *among)
+    order = Window.partitionBy(*within).orderBy("laag", *keys)
     first = cut(low.withColumn("_nr", F.row_number().over(order)).where(
-        F.col("_nr") <= max(PROBES, best)).drop("_nr"))
-    probed = cut(distances(differences(first, entities, candidates, of, among), [*of, *among], trim))
-    to_beat = probed.groupBy(*within).agg(F.array_sort(F.collect_list("rms")).alias("_r")).select(
-        *within, F.get("_r", F.lit(best - 1)).alias("_grens"))
-    rest = low.join(to_beat, within, "left").where(
-        F.col("_grens").isNull() | (F.col("laag") <= F.col("_grens") + SLACK)).join(
-            first.select(*of, *among), [*of, *among], "left_anti")
-    more = distances(differences(rest, entities, candidates, of, among), [*of, *among], trim)
-    return probed.unionByName(more)
+        F.col("_nr") <= max(PROBES, best)).select(*keys))
+    probed = cut(compared(first))
+    rest = cut(_possible(low, within, keys, best, probed).join(first, keys, "left_anti").select(*keys))
+    for hours in BLOCKS[1:]:
+        closer = lower_bounds(entities, candidates, of, among, trim, rest, hours)
+        rest = cut(_possible(closer, within, keys, best, probed).select(*keys))
+    every = cut(probed.unionByName(compared(rest)))
+    left = cut(_possible(every, within, keys, best, every))
+    return settled(left, differences(left, entities, candidates, of, among), keys)
 
 
 def close_shares(entities: DataFrame, candidates: DataFrame, of: Sequence[str],

@@ -464,17 +464,6 @@ TRACED_SERIES = """SELECT DISTINCT user_id AS id, (2 - user_id % 5)::INTEGER AS
   (user_id % 25 + 200)::VARCHAR AS locatie, 0.0::DOUBLE AS rms, TRUE AS exact, 0.0::DOUBLE AS onzekerheid_km FROM events"""
 
 
-def investigated(spark, d):
-    """All series together: which way of deriving the weather explains the dataset?"""
-    f = trace.investigate(planted(spark, d), weather(spark, d), weather_stations(spark, d),
-                          _cells(spark, d, (4,)), methods=("idw2", "rbf_lineair"))
-    return f.per_entity.select("id", "regime", "locatie", "exact", F.lit(f.choice).alias("uitkomst"))
-
-
-INVESTIGATED = """SELECT DISTINCT user_id AS id, 'station' AS regime, (user_id % 25 + 200)::VARCHAR AS locatie, TRUE AS exact,
-  'station' AS uitkomst FROM events"""
-
-
 def checked_stations(spark, d):
     """The station of a record against the stations of its region."""
     from ..operators.enrich import nearest
@@ -586,6 +575,5 @@ QUERIES = {
     "traced_stations": (traced_stations, TRACED_STATIONS),
     "traced_months": (traced_months, TRACED_MONTHS),
     "traced_series": (traced_series, TRACED_SERIES),
-    "investigated_series": (investigated, INVESTIGATED),
     "checked_stations": (checked_stations, CHECKED),
 }
