@@ -11,6 +11,11 @@ role or text is broken up by ``\\-`` after its first character, and a backslash
 no turn can open or close a turn, and every text can be read back exactly. The loss mask is a list of
 spans of the formatted text, in code points: the texts of the turns by the assistant.
 
+Spark's JSON functions give up on strings of 20 million characters. A record beyond ``LONG`` is read from
+the same text without them: its strings are what stands between quotes, its fingerprint is that of the
+record with all string values emptied, and an error is raised where its messages do not all have a
+role and a text.
+
 Defined cases: a record that isn't JSON, or whose fingerprint no mapping has, gets null turns, and
 null in everything derived; a null text or role is empty; a conversation without turns is the empty
 string. Turns with equal numbers are ordered by role and text; repeated rows are turns of their own.
@@ -23,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crowdcover.llm.common import let
+from crowdcover.llm.common import let, unused
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -68,9 +73,22 @@ MAPPINGS = [
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+#: Characters of a record beyond which no JSON function reads its texts.
+LONG = 4_000_000
+
+
+def without_texts(record: Column) -> Column:
+    """A JSON text with all string values emptied; escapes in field names become question marks."""
+    plain = F.regexp_replace(record, r"\\.", "?")
+    # outside, inside, outside, ...: a colon behind the quotes tells a name
+    return let(F.split(plain, '"'), lambda parts: F.array_join(F.transform(parts, lambda x, i: F.when(
+        (i % 2 == 1) & ~F.coalesce(F.get(parts, i + 1), F.lit("")).rlike(r"^\s*:"), F.lit("")).otherwise(x)), '"'))
+
+
 def paths_of(record: Column) -> Column:
     """The nested field paths of a JSON text: its schema with the kinds of the values taken out."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
+    shape = F.schema_of_variant(F.try_parse_json(
+        F.when(F.length(record) > LONG, without_texts(record)).otherwise(record)))
     return F.regexp_replace(shape, r": (?:STRING|VOID|BIGINT|BOOLEAN|DOUBLE|DECIMAL\([0-9,]*\)|VARIANT)"
                                    r"(?=[,>])", "")
 
@@ -95,6 +113,62 @@ def _schema(path: str, leaf: str) -> str:
     return leaf
 
 
+# escapes of JSON that hide a quote or an escape, while a record is cut at its quotes
+_SIGN, _QUOTE, _SLASH = "\ue000e", "\ue000q", "\ue000s"
+
+
+def unescaped_json(text: Column) -> Column:
+    """The text that stands between the quotes of a JSON string, whose escaped backslashes and quotes are
+    ``_SLASH`` and ``_QUOTE``, and the sign these begin with ``_SIGN``."""
+    run = r"(?:\\u[0-9a-fA-F]{4})+"
+    read = F.transform(F.regexp_extract_all(text, F.lit(f"({run})")), lambda e: F.from_json(
+        F.concat(F.lit('["'), e, F.lit('"]')), "array<string>")[0])
+    between = F.transform(F.split(text, run), lambda b: F.regexp_replace(F.regexp_replace(F.regexp_replace(
+        F.regexp_replace(F.regexp_replace(F.regexp_replace(b, r"\\n", "\n"), r"\\t", "\t"), r"\\r", "\r"),
+        r"\\b", "\b"), r"\\f", "\f"), r"\\/", "/"))
+    joined = F.array_join(F.transform(between, lambda b, i: F.concat(b, F.coalesce(F.get(read, i), F.lit("")))), "")
+    out = F.replace(F.replace(joined, F.lit(_QUOTE), F.lit('"')), F.lit(_SLASH), F.lit("\\"))
+    return F.replace(out, F.lit(_SIGN), F.lit(_SIGN[0]))
+
+
+def fields_of(record: Column) -> Column:
+    """array<struct<name, text>>: all fields of a JSON text in order, whatever they are nested in; the
+    text is null where the value isn't a string."""
+    safe = F.replace(record, F.lit(_SIGN[0]), F.lit(_SIGN))
+    safe = F.replace(F.replace(safe, F.lit("\\\\"), F.lit(_SLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+    def read(parts: Column) -> Column:  # outside, inside, outside, ...: names and texts have odd places
+        places = F.filter(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: (i % 2 == 1) & F.get(
+            parts, i + 1).rlike(r"^\s*:"))
+        return F.transform(places, lambda i: F.struct(
+            F.get(parts, i).alias("name"),
+            F.when(F.get(parts, i + 1).rlike(r"^\s*:\s*$"), unescaped_json(F.get(parts, i + 2))).alias("text")))
+
+    return F.when(F.contains(record, F.lit('"')), let(F.split(safe, '"'), read))
+
+
+def _long_turns(mapping: Mapping, record: Column) -> Column:
+    """:func:`_turns` of a record of any length."""
+    def texts(fields: Column, path: str) -> Column:
+        name = path.rpartition(".")[2]
+        return F.transform(F.filter(fields, lambda f: f["name"] == name), lambda f: F.coalesce(f["text"], F.lit("")))
+
+    def read(fields: Column) -> Column:
+        if not mapping.messages:
+            return F.filter(F.array(*[F.struct(
+                F.lit(role).alias("role"), F.coalesce(F.get(texts(fields, path), F.lit(0)), F.lit("")).alias("text"),
+                (F.lit(not optional) | (F.coalesce(F.get(texts(fields, path), F.lit(0)), F.lit("")) != "")).alias("there"))
+                for role, path, optional in mapping.turns]), lambda t: t["there"])
+        canonical = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
+        both = F.struct(texts(fields, mapping.role).alias("r"), texts(fields, mapping.text).alias("t"))
+        return let(both, lambda b: F.when(
+            F.size(b["r"]) != F.size(b["t"]), F.raise_error(F.lit("a message without a role or a text")))
+            .otherwise(F.transform(F.arrays_zip(b["r"].alias("r"), b["t"].alias("t")), lambda z: F.struct(
+                F.coalesce(canonical[z["r"]], z["r"]).alias("role"), z["t"].alias("text")))))
+
+    return F.transform(let(fields_of(record), read), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+
+
 def _turns(mapping: Mapping, record: Column) -> Column:
     """array<struct<role, text>> of a record that has the mapping's layout."""
     def one(role: Column, text: Column) -> Column:
@@ -136,7 +210,8 @@ def canonical_turns(records: DataFrame, record: str = "record",
     for m in mappings:
         plain = F.transform(_turns(m, F.col(record)), lambda t: F.struct(
             t["role"].alias("role"), t["text"].alias("text")))
-        turns = F.when(F.col("layout") == m.name, plain).otherwise(turns)
+        mine = F.when(F.length(record) > LONG, _long_turns(m, F.col(record))).otherwise(plain)
+        turns = F.when(F.col("layout") == m.name, mine).otherwise(turns)
     return out.withColumn("turns", turns)
 
 
@@ -193,9 +268,11 @@ def formatted(turns: DataFrame, column: str = "turns", trained: str = "assistant
     both = let(F.transform(F.col(column), piece), lambda ps: F.struct(
         F.array_join(F.transform(ps, lambda p: p["all"]), "").alias("formatted"),
         F.aggregate(ps, empty, step)["spans"].alias("loss_spans")))
-    return turns.withColumn("chat", both).select(
-        *[c for c in turns.columns if c not in ("formatted", "loss_spans")],
-        "chat.formatted", "chat.loss_spans")
+    rest = turns.select(*[c for c in turns.columns if c.lower() not in ("formatted", "loss_spans")])
+    chat, = unused(rest, "chat")
+    return turns.withColumn(chat, both).select(
+        *rest.columns, F.col(f"{chat}.formatted").alias("formatted"),
+        F.col(f"{chat}.loss_spans").alias("loss_spans"))
 
 
 def read_turns(text: Column) -> Column:

@@ -86,12 +86,12 @@ def least(n, percent: int):
 
 
 def signatures(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, d1, d2, head): size and digest of every document's set, and its beginning in the
-    order of the hashes."""
+    """(doc_id, th, n, d1, d2, head): a hash of the text as it is, size and digest of every document's
+    set, and its beginning in the order of the hashes."""
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             sizes, digests, heads = [], [], []
-            for doc in as_bytes(batch[1]):
+            for doc in as_bytes(batch[2]):
                 found = shingles(doc)
                 n = len(found)
                 sizes.append(n)
@@ -99,12 +99,18 @@ def signatures(docs: DataFrame, percent: int, doc_id: str, text: str) -> DataFra
                 heads.append(found[:n - least(n, percent) + 1 + n * EXTRA // 100].tobytes())
             halves = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch[0], pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()),
+                [batch[0], batch[1], pa.array(sizes, pa.int64()), pa.array(halves[:, 0].copy()),
                  pa.array(halves[:, 1].copy()), pa.array(heads, pa.binary())],
-                ["doc_id", "n", "d1", "d2", "head"])
+                ["doc_id", "th", "n", "d1", "d2", "head"])
 
-    return batches(docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)), F.col(text)),
-                   work, "doc_id long, n long, d1 long, d2 long, head binary")
+    return batches(docs.select(*_row(doc_id, text), F.col(text)), work,
+                   "doc_id long, th long, n long, d1 long, d2 long, head binary")
+
+
+def _row(doc_id: str, text: str) -> list:
+    """The id, and a hash of the text: null ids and repeated ids have rows of different texts."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("rep"),
+            F.coalesce(F.xxhash64(F.col(text)), F.lit(0)).alias("th")]
 
 
 def exploded(table: DataFrame, key: str, packed: str) -> DataFrame:
@@ -123,15 +129,16 @@ def exploded(table: DataFrame, key: str, packed: str) -> DataFrame:
 
 
 def with_partners(found: DataFrame, percent: int) -> DataFrame:
-    """(d1, d2, n, rep, node): the classes that may link with another, numbered."""
+    """(d1, d2, n, rep, th, node): the classes that may link with another, numbered."""
     entries = exploded(found.where("n > 0"), "doc_id", "head")
     twice = entries.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     shared = entries.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.count("*").alias("shared"))
     # linked sets share 1 + EXTRA % of the smaller, which has least(n) shingles or more
     smaller = F.expr(f"ceil(n * {percent} / 100)")
     enough = F.col("shared") >= 1 + F.floor(smaller * EXTRA / 100)
-    alive = written(found.select("doc_id", "n", "d1", "d2").join(shared, "doc_id").where(enough)
-                    .groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep")))
+    alive = written(found.select("doc_id", "th", "n", "d1", "d2").join(shared, "doc_id").where(enough)
+                    .groupBy("d1", "d2", "n").agg(F.min(F.struct("doc_id", "th")).alias("r"))
+                    .select("d1", "d2", "n", F.col("r.doc_id").alias("rep"), "r.th"))
     return written(alive.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -150,9 +157,9 @@ def sets_of(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(sets, pa.binary())],
                                              ["node", "shingles"])
 
-    reps = small(classes.select("rep", "d1", "d2", "node"))
-    chosen = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_NONE)).alias("rep"),
-                         F.col(text).alias("text")).join(reps, "rep").select("node", "d1", "d2", "text")
+    reps = small(classes.select("rep", "th", "d1", "d2", "node"))
+    chosen = docs.select(*_row(doc_id, text), F.col(text).alias("text")).join(
+        reps, ["rep", "th"]).select("node", "d1", "d2", "text")
     return batches(chosen, work, "node long, shingles binary").dropDuplicates(["node"])
 
 

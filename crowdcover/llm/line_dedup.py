@@ -1,11 +1,11 @@
 """Passages of three or more lines that occurred before are removed.
 
 Every three consecutive lines make a window; windows overlap, so a passage of any length is a run of
-windows. A window's first occurrence, by document id and line, stays; each later occurrence covers
+windows. A window's first occurrence, by document id, row and line, stays; each later occurrence covers
 its three lines, and covered lines go. A line that goes is still there: in the first occurrence of
 its window, or, if that was covered too, in an even earlier one.
 
-1. Lines are hashed in place, once; a window is the 128-bit hash of its lines, its document and its
+1. Rows are numbered in a written table, as ids may be null or repeat. Lines are hashed in place, once; a window is the 128-bit hash of its lines, its document and its
    place. The windows are a written table, read by both steps below.
 2. Windows are counted with a partial aggregate that also keeps the first place. Only windows that
    occur again go on; they meet the windows of all documents by hash, so a passage found in a third of
@@ -14,8 +14,8 @@ its window, or, if that was covered too, in an even earlier one.
 3. Each document gets the starts of its covered windows, merges them into lines, and drops those.
 
 Defined cases: a null text or one of fewer than three lines has no window and stays as it is; rows
-that agree in id and text are one document given several times, and each is cut the same way; equal
-ids with different texts order by text hash; null ids come first. Empty lines are lines. A text all
+are documents of their own, also when they agree in id and text: one of them is the first, and what the
+others repeat goes. Null ids come first. Empty lines are lines. Empty tables work. A text all
 of whose lines are covered becomes empty. Other columns pass through.
 """
 
@@ -44,25 +44,21 @@ def _windows(text: Column) -> Column:
                                          lambda i: of(i, h)))))
 
 
-def _document(doc_id: str, text: str) -> Column:
-    """What tells documents apart, and orders them."""
-    return F.struct(F.col(doc_id).cast("long").alias("id"),
-                    F.xxhash64(F.col(text)).alias("h"), F.length(text).alias("n"))
-
-
-def covered_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, starts): for every document that repeats something, the first lines of its covered
-    windows in order. ``doc`` is the struct of :func:`_document`."""
+def covered_windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                    row: str = "row") -> DataFrame:
+    """(row, starts): for every row that repeats something, the first lines of its covered windows in
+    order. ``row`` numbers the rows; documents are in order of their id, then of that."""
     windows = written(
         docs.where(F.col(text).contains("\n"))
-        .select(_document(doc_id, text).alias("doc"), F.explode(_windows(F.col(text))).alias("w"))
-        .select("w.a", "w.b", "doc", "w.at"))
-    place = F.struct("doc", "at")
+        .select(F.col(doc_id).cast("long").alias("id"), F.col(row).alias("row"),
+                F.explode(_windows(F.col(text))).alias("w"))
+        .select("w.a", "w.b", "id", "row", "w.at"))
+    place = F.struct("id", "row", "at")
     repeated = written(windows.groupBy("a", "b").agg(
         F.min(place).alias("first"), F.max(place).alias("last")).where("first < last")
         .select("a", "b", "first"))
     later = windows.join(small(repeated), ["a", "b"]).where(place > F.col("first"))
-    return later.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    return later.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
 
 
 def without(text: Column, starts: Column) -> Column:
@@ -93,11 +89,12 @@ def n_covered(starts: Column) -> Column:
 def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated lines gone from ``text``, and n_removed: how many they were."""
     docs = docs.drop("n_removed")
-    key, starts = unused(docs, "line_doc", "line_starts")
-    gone = written(covered_windows(docs, doc_id, text)).withColumnsRenamed(
-        {"doc": key, "starts": starts})
+    row, starts = unused(docs, "line_row", "line_starts")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    gone = written(covered_windows(numbered, doc_id, text, row)).withColumnsRenamed(
+        {"row": row, "starts": starts})
     # the same plan at every size: texts are shuffled once, however few documents lose lines
-    joined = docs.withColumn(key, _document(doc_id, text)).join(gone.hint("merge"), key, "left")
+    joined = numbered.join(gone.hint("merge"), row, "left")
     return joined.withColumns({
         text: F.when(F.col(starts).isNull(), F.col(text)).otherwise(
             without(F.col(text), F.col(starts))),

@@ -94,19 +94,19 @@ def measures(text: Column) -> Column:
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
 
 
-def measured(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` with MEASURES, base_failed, and failed: the document fails any rule."""
+def measured(docs: DataFrame, text: str, failed: str = "failed") -> DataFrame:
+    """``docs`` with MEASURES, base_failed, and ``failed``: the document fails any rule."""
     m, = unused(docs, "measures")
-    rest = docs.drop(*MEASURES, "base_failed", "failed").withColumn(m, measures(F.col(text)))
+    rest = docs.drop(*MEASURES, "base_failed", failed).withColumn(m, measures(F.col(text)))
     out = rest.select(
         *[c for c in rest.columns if c != m], F.col(f"{m}.w.n_words").alias("n_words"),
         F.col(f"{m}.word_chars").alias("word_chars"), F.col(f"{m}.n_symbols").alias("n_symbols"),
         F.col(f"{m}.l.n_dup_lines").alias("n_dup_lines"),
         F.col(f"{m}.w.n_repeat_words").alias("n_repeat_words"),
-        (100 * F.col(f"{m}.l.n_dup_lines") > MAX_DUP_LINES * F.col(f"{m}.l.n_lines")).alias("failed"))
+        (100 * F.col(f"{m}.l.n_dup_lines") > MAX_DUP_LINES * F.col(f"{m}.l.n_lines")).alias(failed))
     return (out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                            | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
-            .withColumn("failed", F.col("failed") | F.col("base_failed")
+            .withColumn(failed, F.col(failed) | F.col("base_failed")
                         | (100 * F.col("n_symbols") > MAX_SYMBOLS * F.col("word_chars"))))
 
 
@@ -147,14 +147,16 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source",
           carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of ``docs`` (default all) with the measures, base_failed, host_rate
     (shrunk, null without a host) and kept. They are written once, with the measures beside them."""
-    out = measured(docs.drop("host_rate", "kept"), text)
-    own = [*MEASURES, "base_failed", "failed"]
+    docs = docs.drop("host_rate", "kept")
+    failed, rejected = unused(docs, "failed", "rejected")
+    out = measured(docs, text, failed)
+    own = [*MEASURES, "base_failed", failed]
     table = written(out.select(*[c for c in out.columns if c in own or carry is None
                                  or c in carry or c == host]))
-    rates = host_rates(table.select(host, "failed"), host)
+    rates = host_rates(table.select(host, F.col(failed).alias("failed")), host)
     key, = unused(table, "host_key")
     joined = table.join(
         small(rates.select(F.col("host").alias(key), F.col("shrunk").alias("host_rate"),
-                           "rejected")), F.col(host) == F.col(key), "left").drop(key)
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))
-                             ).drop("rejected", "failed")
+                           F.col("rejected").alias(rejected))), F.col(host) == F.col(key), "left").drop(key)
+    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))
+                             ).drop(rejected, failed)

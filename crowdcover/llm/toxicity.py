@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, DoubleType, LongType, StructField, StructType)
 
-from crowdcover.llm.common import as_bytes, batches, small, written
+from crowdcover.llm.common import as_bytes, batches, small, unused, written
 
 #: Letters of the beginnings that stand for rare words, longest first.
 STEMS = (8, 5)
@@ -242,13 +242,13 @@ def damped(numbers: np.ndarray, at: np.ndarray, scores: np.ndarray,
     return at[out > 0], out[out > 0]
 
 
-def find_passages(docs: DataFrame, model: Model, text: str) -> DataFrame:
-    """``docs`` with n_tokens and segments (array<struct<start, end, score>>, in words)."""
-    docs = docs.drop("n_tokens", "segments")
+def find_passages(docs: DataFrame, model: Model, text: str, out: str = "segments") -> DataFrame:
+    """``docs`` with n_tokens and ``out`` (array<struct<start, end, score>>, in words)."""
+    docs = docs.drop("n_tokens", out)
     segment = StructType([StructField("start", LongType()), StructField("end", LongType()),
                           StructField("score", DoubleType())])
     schema = StructType([*docs.schema.fields, StructField("n_tokens", LongType()),
-                         StructField("segments", ArrayType(segment))])
+                         StructField(out, ArrayType(segment))])
     shared = docs.sparkSession.sparkContext.broadcast((model.stems, model.scores, model.other))
 
     def work(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,19 +277,19 @@ def find_passages(docs: DataFrame, model: Model, text: str) -> DataFrame:
                               for s, e, x in maximal_segments(at, gains, other)])
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(sizes, pa.int64()), pa.array(found, kind)],
-                [*batch.schema.names, "n_tokens", "segments"])
+                [*batch.schema.names, "n_tokens", out])
 
     return batches(docs, work, schema)
 
 
-def evidence_of(model: Model):
+def evidence_of(model: Model, segments: str = "segments"):
     """The passages that are significant, and the evidence, as columns."""
     def bits(s):
         return s["score"] * model.scale - F.log(F.greatest(F.col("n_tokens"), F.lit(1)) * model.k)
 
     # chance gives K n exp(-lambda S) segments as good as this
-    passages = F.filter("segments", lambda s: F.exp(-bits(s)) < MAX_EXPECTED)
-    best = F.coalesce(F.array_max(F.transform("segments", bits)),
+    passages = F.filter(segments, lambda s: F.exp(-bits(s)) < MAX_EXPECTED)
+    best = F.coalesce(F.array_max(F.transform(segments, bits)),
                       -F.log(F.greatest(F.col("n_tokens"), F.lit(1)) * model.k))
     total = F.aggregate(F.transform(passages, bits), F.lit(0.0), lambda a, b: a + b)
     return passages, F.when(F.size(passages) > 0, total).otherwise(best)
@@ -356,9 +356,11 @@ def _bounded(evidence):
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with n_tokens, passages (array<struct<start, end, score>> in words), evidence, score
     and predicted. Nothing is shuffled."""
-    found = find_passages(docs.drop("passages", "evidence", "score", "predicted"), model, text)
-    passages, evidence = evidence_of(model)
-    out = found.withColumns({"passages": passages, "evidence": evidence}).drop("segments")
+    docs = docs.drop("n_tokens", "passages", "evidence", "score", "predicted")
+    segments, = unused(docs, "segments")
+    found = find_passages(docs, model, text, segments)
+    passages, evidence = evidence_of(model, segments)
+    out = found.withColumns({"passages": passages, "evidence": evidence}).drop(segments)
     chance = 1 / (1 + F.exp(-(_bounded(F.col("evidence")) * model.slope + model.intercept)))
     return out.withColumn("score", chance).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int"))

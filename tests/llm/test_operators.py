@@ -368,7 +368,11 @@ def test_line_dedup_repeated_rows(spark):
     text = "a\nb\nc\nd"
     out = line_dedup.dedup(spark.createDataFrame([(1, text), (1, text), (2, "x\n" + text)],
                                                  "doc_id long, text string"))
-    assert sorted(map(tuple, out.collect())) == [(1, text, 0), (1, text, 0), (2, "x", 4)]
+    assert sorted(map(tuple, out.collect())) == [(1, "", 4), (1, text, 0), (2, "x", 4)]
+    out = line_dedup.dedup(spark.createDataFrame([(None, text)] * 3 + [(0, text + "\ne")], "doc_id long, text string")
+                           .repartition(4))
+    assert sorted((r[1], r[2]) for r in out.collect()) == [("", 4), ("", 4), ("a\nb\nc\nd", 0), ("d\ne"[2:], 4)] or \
+        sorted((r[1], r[2]) for r in out.collect()) == [("", 4), ("", 4), ("a\nb\nc\nd", 0), ("c\nd\ne", 2)]
 
 
 # 6 toxicity
@@ -691,3 +695,66 @@ def test_layouts(spark):
         assert r["layout"] == layout, r["record"]
         assert r["turns"] is None if turns is None else [tuple(t) for t in r["turns"]] == turns
     assert chat.canonical_turns(frame.limit(0)).count() == 0
+
+
+LONG_TEXT = "a\\ \"b\n\tü😀\u0001\ue000q/" + "word " * 5_000_000
+
+
+def test_long_conversations_are_whole(spark):
+    """Beyond what JSON functions read: 25 million characters, in every kind of layout."""
+    records = spark.range(3).select("id", F.lit(LONG_TEXT[:30]).alias("head"), F.lit("word ").alias("w"))
+    text = F.concat("head", F.repeat("w", 5_000_000))
+    records = records.select("id", F.when(F.col("id") == 0, F.to_json(F.struct(
+        F.lit(1).alias("id"), F.lit("q").alias("prompt"), text.alias("response")))).when(
+        F.col("id") == 1, F.to_json(F.struct(F.lit(1).alias("id"), F.array(
+            F.struct(F.lit("user").alias("role"), text.alias("content")),
+            F.struct(F.lit("assistant").alias("role"), F.lit("yes").alias("content"))).alias("messages"))))
+        .otherwise(F.to_json(F.struct(F.lit(1).alias("id"), F.struct(F.array(
+            F.struct(F.struct(F.lit("user").alias("role")).alias("speaker"), text.alias("text"))).alias("turns"))
+            .alias("dialog")))).alias("record"))
+    out = chat.canonical_turns(records).select("id", "layout", F.transform("turns", lambda t: F.struct(
+        t["role"].alias("role"), F.length(t["text"]).alias("n"), F.sha2(t["text"], 256).alias("sha"))).alias("t"))
+    long = LONG_TEXT[:30] + "word " * 5_000_000
+    sha = hashlib.sha256(long.encode()).hexdigest()
+    got = {r.id: (r.layout, [(t.role, t.n, t.sha) for t in r.t]) for r in out.collect()}
+    short = {x: hashlib.sha256(x.encode()).hexdigest() for x in ("q", "yes")}
+    assert got == {0: ("prompt", [("user", 1, short["q"]), ("assistant", len(long), sha)]),
+                   1: ("messages", [("user", len(long), sha), ("assistant", 3, short["yes"])]),
+                   2: ("nested", [("user", len(long), sha)])}
+
+
+def test_long_and_short_records_read_alike(spark, monkeypatch):
+    texts = ["", "plain", 'q"uo\\te', "\\", "\\\\n", "\n\t\r\b\f/", "\ue000", "\ue000q \ue000\ue000s", "ü😀\u0001\u001f",
+             ': "x":', "a" * 50]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "i int, t string")
+    records = frame.select("i", F.to_json(F.struct(F.lit(1).alias("id"), F.array(
+        F.struct(F.lit("human").alias("from"), F.col("t").alias("value")),
+        F.struct(F.lit("gpt").alias("from"), F.concat("t", F.lit("!")).alias("value"))).alias("conversations"))).alias("record"))
+    plain = {r.i: [tuple(t) for t in r.turns] for r in chat.canonical_turns(records).collect()}
+    monkeypatch.setattr(chat, "LONG", 5)
+    again = {r.i: [tuple(t) for t in r.turns] for r in chat.canonical_turns(records).collect()}
+    assert again == plain == {i: [("user", t), ("assistant", t + "!")] for i, t in rows}
+
+
+def test_own_columns_keep_their_names(spark):
+    frame = spark.createDataFrame([(1, "a b c " * 30, "h", "mine", "mine", 7.0)],
+                                  "doc_id long, text string, source string, rejected string, failed string, segments double")
+    one = quality_rules.judge(frame).first()
+    assert (one.rejected, one.failed, one.segments) == ("mine", "mine", 7.0)
+    turns = spark.createDataFrame([("mine", [("user", "t")])], "chat string, turns array<struct<role:string,text:string>>")
+    assert chat.formatted(turns).first().chat == "mine"
+
+
+def test_null_ids_are_rows_of_their_own(spark):
+    """No join multiplies rows without an id."""
+    rng = random.Random(12)
+    texts = [prose(rng, 40) for _ in range(60)]
+    rows = [(None, t) for t in texts] + [(None, t + " end") for t in texts]
+    out = jaccard_join.classes_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(out) == 120 and {r.component_id for r in out} == {None}
+    found = jaccard_join.written(jaccard_join.signatures(
+        spark.createDataFrame(rows, "doc_id long, text string"), 80, "doc_id", "text"))
+    classes = jaccard_join.with_partners(found, 80)
+    assert jaccard_join.sets_of(spark.createDataFrame(rows, "doc_id long, text string"), classes, "doc_id",
+                                "text").count() == classes.count() == 120

@@ -84,3 +84,16 @@ def test_near_copies_decide_per_row(spark):
 
 def test_operators_are_the_ones_the_stages_call():
     assert jaccard_join.WORDS == 5 and line_dedup.WINDOW == 3 and quality_rules.MIN_WORDS == 50
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    """Own columns with the names of the operators' results come back as they were."""
+    names = ["n_words", "kept", "score", "passages", "n_removed", "failed", "row", "segments"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").selectExpr("*", *[f"concat('{n}', doc_id) AS {n}" for n in names])
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, FOLDER).write.parquet(str(tmp_path / str(k)))
+        out = spark.read.parquet(str(tmp_path / str(k)))
+        assert out.columns == docs.columns and out.count()
+        for n in names:
+            assert out.where(f"{n} <> concat('{n}', doc_id)").isEmpty()
+        docs = out
