@@ -7,6 +7,7 @@ the columns it was given; the last returns the pieces of the sequences.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,22 +18,37 @@ from crowdcover.llm.queries import TRAIN, WORD_TOKENIZER
 from crowdcover.session import checkpoint_dir
 
 
+def apart(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with a name for every column but ``needed`` that no operator gives its own, and what gives
+    the columns their names back, and drops all others."""
+    names = {c: c if c in needed else f"own_{i}_" for i, c in enumerate(docs.columns)}
+    return (docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]),
+            lambda out: out.select(*[F.col(n).alias(c) for c, n in names.items()]))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules or their host's verdict reject go."""
-    return quality_rules.judge(docs).where("kept").select(docs.columns)
+    """Documents that the rules or their host's verdict reject go: also null and empty texts, which have
+    too few words. A null host has no verdict; repeated rows count and go one by one; nothing is tied."""
+    mine, back = apart(docs, "text", "source")
+    return back(quality_rules.judge(mine).where("kept"))
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are predicted toxic go."""
-    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.expr(TRAIN))
-    return toxicity.score(docs, model).where("predicted = 0").select(docs.columns)
+    """Documents that are predicted toxic go. Null and empty texts are scored as texts without words; null
+    ids have no label; repeated rows are scored alike; a score at the threshold is toxic."""
+    mine, back = apart(docs, "doc_id", "text")
+    model = toxicity.fit(mine, spark.read.parquet(f"{sf_dir}/labels.parquet"), F.expr(TRAIN))
+    return back(toxicity.score(mine, model).where("predicted = 0"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; a document of which no word is left goes as a whole."""
-    out = line_dedup.dedup(docs).where(r"n_removed = 0 OR text RLIKE '[^ \t-\r]'")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)
-                          ).select(docs.columns)
+    """Repeated passages go; a document of which no word is left goes as a whole. Null texts and texts
+    of fewer than three lines stay; of repeated rows one keeps its passages; null ids come first."""
+    mine, back = apart(docs, "doc_id", "text")
+    out = back(line_dedup.dedup(mine).where(r"n_removed = 0 OR text RLIKE '[^ \t-\r]'"))
+    if "n_chars" not in docs.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +67,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of packed sequences. Null and empty texts are a single end token; every row is a document of
+    its own, also where ids are null or repeat; equal lengths pack in any order."""
     return packing.pack(docs, WORD_TOKENIZER).drop("class")
 
 
