@@ -134,7 +134,10 @@ def utc_time(value: Column) -> Column:
     plain = F.concat(t.try_cast("timestamp_ntz").cast("string"), F.lit("Z")).try_cast("timestamp")
     others = [F.try_to_timestamp(F.concat(t, F.lit("Z")), F.lit(f + "X")) for f in TIME_FORMATS]
     read = F.when(t.rlike(ZONED), t.try_cast("timestamp")).otherwise(F.coalesce(plain, *others))
-    return F.when(F.typeof(value) == "timestamp", value.try_cast("timestamp")).otherwise(read)
+    # known when the plan is made: a column of times needs no reading
+    kind, plain_day = F.typeof(value), F.current_timezone().isin("UTC", "Etc/UTC", "Z")
+    as_it_is = (kind == "timestamp") | (kind.isin("timestamp_ntz", "date") & plain_day)
+    return F.when(as_it_is, value.try_cast("timestamp")).otherwise(read)
 
 
 def utc_hour(value: Column) -> Column:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import cut
 
 # Statuses of a dwelling that exists.
 LIVE_STATUSES = ("Verblijfsobject in gebruik", "Verblijfsobject in gebruik (niet ingemeten)",
@@ -109,59 +108,63 @@ def with_mean_per_postcode(rows: DataFrame, table: DataFrame, *, postcode: str =
     return rows.withColumn("_key", squeezed(F.col(postcode))).join(means, "_key", "left").drop("_key")
 
 
+#: Sides of the nested square cells in degrees, from coarse to fine.
+SIDES = (16.0, 4.0, 1.0, 0.25, 0.0625, 0.015625)
+#: Stations are dealt over so many parts where coarse cells meet all of them.
+PARTS = 16
+
+
 def nearest(points: DataFrame, stations: DataFrame, *, lat: str = "lat__degN",
-            lon: str = "lon__degE", station: str = "knmi_station", limit: int = 200,
-            flat: bool = False) -> DataFrame:
-    """The nearest station of every point (equal distances: the lower name). The stations travel
-    as one constant, after their number is checked; every point scans them inside its own task,
-    without a join. More stations than ``limit`` go through :func:`nearest_by_cell`."""
-    found = stations.select(F.col(station).cast("string"), "lat", "lon").limit(limit + 1).collect()
-    if len(found) > limit:
-        return nearest_by_cell(points, stations, lat=lat, lon=lon, station=station)
-    found = sorted((r[0], float(r["lat"]), float(r["lon"])) for r in found)
-    names, lats, lons = (F.lit(np.array(c)) if i else F.lit(list(c))
-                         for i, c in enumerate(zip(*found)))
-    distance = geo.flat_km if flat else geo.haversine_km
-    best = F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(found) - 1)), lambda i: F.struct(
-        distance(F.col(lat), F.col(lon), F.get(lats, i), F.get(lons, i)).alias("km"), i.alias("i"))))
-    known = F.col(lat).isNotNull() & F.col(lon).isNotNull()
-    return points.withColumn("_best", F.when(known, best)).withColumns({
-        "knmi_station__cat": F.get(names, F.col("_best.i")),
-        "afstand__km": F.col("_best.km")}).drop("_best")
-
-
-def nearest_by_cell(points: DataFrame, stations: DataFrame, *, lat: str = "lat__degN",
-                    lon: str = "lon__degE", station: str = "knmi_station",
-                    level: int = 5) -> DataFrame:
-    """The nearest station when there are many: points and stations meet in grid cells. A round
-    looks at the ring of cells around a point; a station found is certain when it is nearer than
-    any cell outside the ring can be. What is not certain goes on with a ring twice as wide."""
-    places = points.select(F.col(lat).alias("_la"), F.col(lon).alias("_lo")).where(
-        "_la is not null and _lo is not null").distinct()
-    side = stations.select(F.col(station).cast("string").alias("_s"), F.col("lat").alias("_sla"),
-                           F.col("lon").alias("_slo"))
-    done, todo, radius, lv = None, places, 1, level
-    while True:
-        own = side.withColumn("_cell", geo.cell(F.col("_sla"), F.col("_slo"), lv))
-        ring = todo.withColumn("_cell", F.explode(geo.disk(
-            geo.cell(F.col("_la"), F.col("_lo"), lv), radius)))
-        km = geo.haversine_km(F.col("_la"), F.col("_lo"), F.col("_sla"), F.col("_slo"))
-        best = cut(ring.join(own, "_cell").groupBy("_la", "_lo").agg(
-            F.min(F.struct(km.alias("km"), F.col("_s").alias("s"))).alias("_b")))
-        # outside a disk of k rings nothing is nearer than k - 1/2 times the cell's inner width;
-        # the plane is stretched at most a few per cent, so three quarters of that is safe
-        sure = 0.75 * (radius - 0.5) * 3 ** 0.5 * geo.edge_km(lv)
-        good = best.where(F.col("_b.km") <= sure)
-        done = good if done is None else done.unionByName(good)
-        todo = cut(todo.join(good.select("_la", "_lo"), ["_la", "_lo"], "left_anti"))
-        if todo.isEmpty():
-            break
-        lv -= 1                  # the next round looks at cells 2.6 times as wide
-        if geo.edge_km(lv) > 40_000:
-            break
-    j = points.join(done, (points[lat] == F.col("_la")) & (points[lon] == F.col("_lo")), "left")
-    return j.withColumns({"knmi_station__cat": F.col("_b.s"), "afstand__km": F.col("_b.km")}).drop(
-        "_la", "_lo", "_b")
+            lon: str = "lon__degE", station: str = "knmi_station", flat: bool = False) -> DataFrame:
+    """The nearest station of every point (equal distances: the lower name); null for a point without
+    a position, and where there are no stations.
+
+    Stations are narrowed down over nested cells, from coarse to fine, for cells that hold points: from
+    the middle of a cell the nearest station lies at some distance, and a station that is farther
+    than that by more than the cell is wide cannot be the nearest of any of its points. A cell hands what
+    is left to the cells inside it. So the work follows cells and the few stations near them, whatever
+    the numbers of points and stations, in one plan."""
+    measure = geo.flat_km if flat else geo.haversine_km
+
+    def cell(side):
+        return [F.floor(F.col(lat) / side).cast("bigint"), F.floor(F.col(lon) / side).cast("bigint")]
+
+    def reach(side):
+        """No point of a cell lies farther from its middle."""
+        up = math.radians(side / 2) * geo.EARTH_KM
+        if flat:
+            return F.lit(side / 2 * (geo.KM_LAT + geo.KM_LON))
+        edge = F.least(F.abs(F.col("_a") * side), F.abs((F.col("_a") + 1) * side))
+        widest = F.when(F.col("_a") * (F.col("_a") + 1) <= 0, F.lit(1.0)).otherwise(F.cos(F.radians(edge)))
+        return up * (1 + widest)
+
+    places = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    fine = places.select(*[c.alias(n) for n, c in zip(("_a", "_b"), cell(SIDES[-1]))]).distinct()
+    names = stations.select(F.col(station).cast("string").alias("_s"), F.col("lat").cast("double").alias("_sla"),
+                            F.col("lon").cast("double").alias("_slo")).where("_s IS NOT NULL AND _sla IS NOT NULL AND _slo IS NOT NULL")
+    left = None
+    for i, side in enumerate(SIDES):
+        ratio = int(side / SIDES[-1])
+        cells = fine.select(F.floor(F.col("_a") / ratio).alias("_a"), F.floor(F.col("_b") / ratio).alias("_b")).distinct()
+        if left is None:        # every coarse cell next to every station
+            here = cells.withColumn("_deel", F.explode(F.lit(list(range(PARTS))))).join(
+                names.withColumn("_deel", F.pmod(F.xxhash64("_s"), F.lit(PARTS)).cast("int")), "_deel").drop("_deel")
+        else:
+            step = int(SIDES[i - 1] / side)
+            above = cells.withColumns({"_pa": F.floor(F.col("_a") / step), "_pb": F.floor(F.col("_b") / step)})
+            here = above.join(left.withColumnsRenamed({"_a": "_pa", "_b": "_pb"}), ["_pa", "_pb"]).drop("_pa", "_pb")
+        away = measure((F.col("_a") + 0.5) * side, (F.col("_b") + 0.5) * side, F.col("_sla"), F.col("_slo"))
+        here = here.withColumn("_km", away)
+        of_cell = Window.partitionBy("_a", "_b")            # the stations that one cell has left
+        left = here.withColumn("_min", F.min("_km").over(of_cell)).where(
+            F.col("_km") <= (F.col("_min") + 2 * reach(side)) * (1 + 1e-9) + 1e-6).select("_a", "_b", "_s", "_sla", "_slo")
+    per_cell = left.groupBy("_a", "_b").agg(F.collect_list(F.struct("_s", "_sla", "_slo")).alias("_st"))
+    marked = points.withColumns(dict(zip(("_a", "_b"), cell(SIDES[-1]))))
+    best = F.array_min(F.transform("_st", lambda s: F.struct(
+        measure(F.col(lat), F.col(lon), s["_sla"], s["_slo"]).alias("km"), s["_s"].alias("s"))))
+    return (marked.join(per_cell, ["_a", "_b"], "left").withColumn("_best", best)
+            .select(*points.columns, F.col("_best.s").alias("knmi_station__cat"),
+                    F.col("_best.km").alias("afstand__km")))
 
 
 def overlay(base: DataFrame, supplement: DataFrame, key: str, flag: str = "aangevuld__bool"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,15 +48,22 @@ def link(df: DataFrame, population: Population, *, record: str = "record_id",
     else:
         raise ValueError("give vbo_id, or postcode and huisnummer")
     keys = [f"_k{i}" for i in range(len(left))]
-    wanted = df.select(*[c.alias(k) for k, c in zip(keys, left)]).distinct()
+    keyed = df.withColumns(dict(zip(keys, left)))
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    asking = keyed.where(whole)       # records without a whole key meet nobody, and no join
+    wanted = asking.select(*keys).distinct()
     unique = (rows.select(*[c.alias(k) for k, c in zip(keys, right)],
                           *[F.col(c).alias(prefix + c) for c in have])
               .join(wanted, keys, "left_semi")      # only the keys the records ask for
               .groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(
                   *[prefix + c for c in have])).alias("_row"))
               .where("_n = 1"))
-    joined = df.withColumns(dict(zip(keys, left))).join(unique, keys, "left")
-    return joined.select(*df.columns, "_row.*", F.col("_n").isNotNull().alias(prefix + LINKED))
+    columns = [*df.columns, *[F.col(f"_row.{prefix + c}").alias(prefix + c) for c in have],
+               F.col("_n").isNotNull().alias(prefix + LINKED)]
+    joined = asking.join(unique, keys, "left")
+    unknown = [F.lit(None).cast(rows.schema[c].dataType).alias(prefix + c) for c in have]
+    alone = keyed.where(~whole).select(*df.columns, *unknown, F.lit(False).alias(prefix + LINKED))
+    return joined.select(columns).unionByName(alone)
 
 
 # Which detection reason means which part of the link key.

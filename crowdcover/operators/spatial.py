@@ -50,24 +50,71 @@ def ring_edges(rings: DataFrame, keys: Sequence[str], seq: str = "seq", x: str =
                                                 F.col("_n")[y].alias("y2")).drop("_n")
 
 
+def _cells_of_edges(edges: DataFrame, side: float) -> DataFrame:
+    """``(x1, y1, x2, y2, rij, kolom)``: every edge in every square cell that it meets, or nearly meets."""
+    tiny = 1e-9
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    rows = edges.select("x1", "y1", "x2", "y2", F.explode(F.sequence(
+        F.floor(low / side - tiny), F.floor(high / side + tiny))).alias("rij"))
+    # the part of the edge inside the row, and the columns that this part spans
+    slope = F.when(F.col("y1") != F.col("y2"), (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+
+    def at(y):
+        return F.col("x1") + (y - F.col("y1")) * slope
+
+    bottom, top = F.greatest(F.col("rij") * side, low), F.least((F.col("rij") + 1) * side, high)
+    ends = [F.coalesce(at(bottom), F.col("x1")), F.coalesce(at(top), F.col("x2"))]
+    return rows.withColumn("kolom", F.explode(F.sequence(
+        F.floor(F.least(*ends) / side - tiny), F.floor(F.greatest(*ends) / side + tiny))))
+
+
+def _corners(cells: DataFrame, edges: DataFrame, side: float) -> DataFrame:
+    """``(rij, kolom, hoek)``: how many edges a ray to the right from the lower left corner of each cell
+    crosses. Crossings are counted per cell first, then run along a row of cells."""
+    e = edges.where(F.col("y1") != F.col("y2"))
+    e = e.withColumn("rij", F.explode(F.sequence(F.floor(F.least("y1", "y2") / side),
+                                                 F.floor(F.greatest("y1", "y2") / side) + 1)))
+    line = F.col("rij") * side
+    at = F.col("x1") + (line - F.col("y1")) * ((F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1")))
+    # a crossing exactly at a corner does not lie to its right
+    crossed = e.where((F.col("y1") > line) != (F.col("y2") > line)).select(
+        "rij", (F.ceil(at / side) - 1).alias("kolom")).groupBy("rij", "kolom").agg(F.count(F.lit(1)).alias("n"))
+    every = cells.select("rij", "kolom", F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("nodig")).unionByName(
+        crossed.withColumn("nodig", F.lit(False))).groupBy("rij", "kolom").agg(
+            F.sum("n").alias("n"), F.max("nodig").alias("nodig"))
+    to_the_right = Window.partitionBy("rij").orderBy(F.desc("kolom"))      # a row per cell of the grid
+    return every.withColumn("hoek", F.sum("n").over(to_the_right)).where("nodig").select("rij", "kolom", "hoek")
+
+
 def inside(points: DataFrame, edges: DataFrame, point: str, *, x: str = "x", y: str = "y",
-           band: float = 0.05) -> DataFrame:
-    """Which points lie inside the rings, by the even-odd rule over all rings together. Points
-    and edges meet in bands of y, so a point only meets edges at its own height."""
-    span = F.sequence(F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band))
-    banded = edges.where(F.col("y1") != F.col("y2")).select(
-        "x1", "y1", "x2", "y2", F.explode(span).alias("_band"))
+           side: float = 0.05) -> DataFrame:
+    """Which points lie inside the rings, by the even-odd rule over all rings together.
+
+    Space is cut into square cells. For the corner of a cell it is known whether it lies inside; from
+    there a path goes up and then to the right, inside the cell, and every edge on the way changes
+    the answer. So points meet the edges of their own cell only, and where a cell has no edge, none."""
+    at_hand = points.select(F.col(point).alias("_pt"), F.col(x).alias("_px"), F.col(y).alias("_py"),
+                            F.floor(F.col(y) / side).alias("rij"), F.floor(F.col(x) / side).alias("kolom"))
+    corners = _corners(at_hand.where("rij IS NOT NULL AND kolom IS NOT NULL").select("rij", "kolom").distinct(),
+                       edges, side)
     px, py = F.col("_px"), F.col("_py")
-    crosses = (F.col("y1") > py) != (F.col("y2") > py)
-    at = F.col("x1") + (py - F.col("y1")) * ((F.col("x2") - F.col("x1"))
-                                             / (F.col("y2") - F.col("y1")))
-    p = points.select(F.col(point).alias("_pt"), F.col(x).alias("_px"), F.col(y).alias("_py"),
-                      F.floor(F.col(y) / band).alias("_band"))
-    hits = (p.join(banded, "_band").where(crosses).where(px < at).groupBy("_pt")
-            .agg(F.count(F.lit(1)).alias("_c")))
-    return (points.join(hits, F.col(point) == F.col("_pt"), "left")
-            .withColumn("binnen", F.coalesce(F.col("_c") % 2 == 1, F.lit(False)))
-            .drop("_pt", "_c"))
+    x0, y0 = F.col("kolom") * side, F.col("rij") * side
+    over = F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    across = F.col("x1") + (py - F.col("y1")) * over
+    rise = F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    height = F.col("y1") + (x0 - F.col("x1")) * rise
+    # a way just right of the corner, from just above it: that settles edges that begin there
+    above = (height > y0) | ((height == y0) & (rise > 0))
+    below = (height < py) | ((height == py) & (rise <= 0))
+    up = ((F.col("x1") > x0) != (F.col("x2") > x0)) & above & below
+    right = ((F.col("y1") > py) != (F.col("y2") > py)) & (across > x0) & (across <= px)
+    changes = (at_hand.join(_cells_of_edges(edges, side), ["rij", "kolom"]).groupBy("_pt").agg(
+        F.sum(F.when(up, 1).otherwise(0) + F.when(right, 1).otherwise(0)).alias("_c")))
+    known = at_hand.select("_pt", "rij", "kolom").join(corners, ["rij", "kolom"], "left").join(
+        changes, "_pt", "left")
+    odd = (F.coalesce("hoek", F.lit(0)) + F.coalesce("_c", F.lit(0))) % 2 == 1
+    return (points.join(known.select("_pt", odd.alias("_b")), F.col(point) == F.col("_pt"), "left")
+            .withColumn("binnen", F.coalesce("_b", F.lit(False))).drop("_pt", "_b"))
 
 
 def finer_cells(cells: DataFrame, cell: str, step: int = 2) -> DataFrame:

@@ -228,3 +228,68 @@ def test_blocks_of_a_chain_longer_than_any_bound(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
     got = dict(map(tuple, blocks(nodes, edges).collect()))
     assert got == {**{i: 0 for i in range(n)}, n: n, n + 1: n + 1}
+
+
+def test_nearest_is_exact_at_every_size(spark):
+    from crowdcover.operators.enrich import nearest
+    rnd = random.Random(31)
+
+    def km(a, b):
+        p = math.radians
+        h = (math.sin(p(b[0] - a[0]) / 2) ** 2 + math.cos(p(a[0])) * math.cos(p(b[0])) * math.sin(p(b[1] - a[1]) / 2) ** 2)
+        return 2 * geo.EARTH_KM * math.asin(math.sqrt(h))
+
+    points = [(i, rnd.uniform(50, 54), rnd.uniform(3, 8)) for i in range(150)] + [
+        (200, -33.0, 151.0), (201, 0.0, 0.0), (202, -0.01, 179.99), (203, 70.0, -179.9), (204, None, 5.0), (205, 52.0, 5.0)]
+    for n in (1, 3, 400):
+        places = [(f"s{k:03}", rnd.uniform(50, 54), rnd.uniform(3, 8)) for k in range(n)] + [
+            ("far", -35.0, 149.0), ("line", 0.5, -179.5)][:n]
+        got = nearest(spark.createDataFrame(points, "id int, lat__degN double, lon__degE double"), spark.createDataFrame(
+            places + places[:1], "knmi_station string, lat double, lon double"))
+        assert got.count() == len(points)
+        for r in got.collect():
+            if r.lat__degN is None:
+                assert r.knmi_station__cat is None and r.afstand__km is None
+                continue
+            want = min((km((r.lat__degN, r.lon__degE), (la, lo)), s) for s, la, lo in places)
+            assert r.afstand__km == pytest.approx(want[0]) and r.knmi_station__cat == want[1]
+    none = nearest(spark.createDataFrame(points, "id int, lat__degN double, lon__degE double"),
+                   spark.createDataFrame([], "knmi_station string, lat double, lon double"))
+    assert none.count() == len(points) and none.where("afstand__km is not null").isEmpty()
+
+
+def test_points_meet_edges_at_borders_only(spark):
+    from crowdcover.operators import spatial
+    rnd = random.Random(7)
+
+    def star(cx, cy, n, size):
+        return [(cx + size * rnd.uniform(0.4, 1) * math.cos(2 * math.pi * i / n),
+                 cy + size * rnd.uniform(0.4, 1) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+
+    rings = [star(5, 52, 40, 1), star(5.2, 52.1, 9, 0.3), [(3, 50), (3.5, 50), (3.5, 50.5), (3, 50.5)],
+             [(4, 50), (4.1, 50.0), (4.05, 50.1)], [(-0.2, -0.2), (0.2, -0.2), (0.2, 0.2), (-0.2, 0.2)]]
+    edges = [tuple(map(float, (*a, *b))) for ring in rings for a, b in zip(ring, ring[1:] + ring[:1])]
+    points = [(i, rnd.uniform(3.8, 6.2), rnd.uniform(50.8, 53.2)) for i in range(1500)]
+    points += [(2000 + i, 3 + 0.05 * (i % 11) + 0.013, 50 + 0.05 * (i // 11) + 0.017) for i in range(121)]
+    points += [(3000, 0.0, 0.0), (3001, -0.1, 0.05), (3002, 0.25, 0.0), (3003, None, 1.0), (3004, 4.05, 50.05)]
+
+    def plain(x, y):
+        return sum((y1 > y) != (y2 > y) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1) for x1, y1, x2, y2 in edges) % 2 == 1
+
+    p = spark.createDataFrame(points, "id int, x double, y double")
+    e = spark.createDataFrame(edges, "x1 double, y1 double, x2 double, y2 double")
+    for side in (0.05, 0.5, 7.0):
+        got = {r.id: r.binnen for r in spatial.inside(p, e, "id", side=side).collect()}
+        assert got == {i: x is not None and plain(x, y) for i, x, y in points}
+    met = p.selectExpr("floor(y / 0.05) AS rij", "floor(x / 0.05) AS kolom").join(spatial._cells_of_edges(e, 0.05), ["rij", "kolom"])
+    assert met.count() < 0.05 * len(points) * len(edges)
+
+
+def test_records_without_a_whole_key_are_not_linked(spark):
+    from crowdcover.operators.link import link
+    from crowdcover.operators.population import Population
+    pop = Population(spark.createDataFrame([("0000000000000001", 1950), ("0000000000000002", 1960), (None, 1970)],
+                                           "vbo_id__str string, bouwjaar__yr int"))
+    df = spark.createDataFrame([(1, "1"), (2, None), (3, "7"), (4, None)], "record_id int, bag string")
+    got = {r.record_id: (r.register_bouwjaar__yr, r.register_gekoppeld__bool) for r in link(df, pop, vbo_id="bag").collect()}
+    assert got == {1: (1950, True), 2: (None, False), 3: (None, False), 4: (None, False)}

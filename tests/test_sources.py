@@ -174,3 +174,19 @@ def test_blocks_without_a_zone_stay(spark):
     assert sorted(map(tuple, areas.collect())) == [(1, 2, 1, 1, 1, 3), (2, 1, 0, 0, 0, 0)]
     risk = report.chance_too_small(report.zone_counts(d, q, pop, "z"), 11, record="record_id")
     assert sorted(map(tuple, risk.collect())) == [(1, 1.0), (2, None)]
+
+
+def test_series_files_with_other_columns(spark, tmp_path):
+    """Every file is read by its own first line; notes beside the data are left out."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "home_1.csv").write_text("time;T_out;x\n2024-01-01 00:00;1.5;9\n2024-01-01 01:00;2.5;9\n")
+    (tmp_path / "a" / "home_2.csv").write_text('x,"outdoor_temp",more,moment\n9,3.5,"a,b",2024-01-01 00:00\n\n9,,c,2024-01-01 01:00\n')
+    (tmp_path / "a" / "metadata.csv").write_text("name,unit\nT_out,C\n")
+    (tmp_path / "a" / "empty.csv").write_text("")
+    out = series.read_series(spark, str(tmp_path), id_from="bestand").collect()
+    assert sorted(map(tuple, out)) == [("1", "2024-01-01 00:00", 1.5), ("1", "2024-01-01 01:00", 2.5),
+                                       ("2", "2024-01-01 00:00", 3.5)]
+    named = series.read_series(spark, str(tmp_path), id_from="bestand", time_col="time", value_col="x").collect()
+    assert sorted(map(tuple, named)) == [("1", "2024-01-01 00:00", 9.0), ("1", "2024-01-01 01:00", 9.0)]
+    with pytest.raises(ValueError):
+        series.read_series(spark, str(tmp_path), id_from="bestand", time_col="nowhere")
