@@ -86,9 +86,10 @@ def text_key(qids: Sequence[Qid]) -> Column:
     return F.md5(F.to_json(F.struct(*texts))) if texts else F.md5(F.lit("{}"))
 
 
-def reduced(df: DataFrame, qids: Sequence[Qid], record: str) -> DataFrame:
+def reduced(df: DataFrame, qids: Sequence[Qid], record: str, weight: str | None = None) -> DataFrame:
     """One row per distinct combination of published texts: ``_text``, the number of records
-    ``_w``, the lowest record id under its own name, and the texts.
+    ``_w``, the lowest record id under its own name, and the texts. ``weight``: the records that a
+    row stands for already.
 
     Reading texts is the costly part per record, and datasets repeat them; so they are read once
     per combination. The aggregation combines before it shuffles: a combination that holds most
@@ -98,7 +99,7 @@ def reduced(df: DataFrame, qids: Sequence[Qid], record: str) -> DataFrame:
         if c not in df.columns:
             raise KeyError(f"column {c!r} not in dataset")
     return df.groupBy(text_key(qids).alias("_text")).agg(
-        F.count(F.lit(1)).alias("_w"), F.min(record).alias(record),
+        (F.sum(weight) if weight else F.count(F.lit(1))).alias("_w"), F.min(record).alias(record),
         *[F.any_value(F.col(c)).alias(c) for c in columns])
 
 
@@ -210,18 +211,19 @@ def assess(df: DataFrame, qids: Sequence[Qid], population: Population,
 def score_variants(variants: Sequence[tuple[str, DataFrame, Sequence[Qid]]],
                    population: Population, threshold: Threshold = Threshold(),
                    scenario: Knowledge = Knowledge.INSIDER, *, record: str = "record_id",
-                   variant: str = "variant", unknown_matches: bool = False) -> DataFrame:
+                   variant: str = "variant", unknown_matches: bool = False,
+                   weight: str | None = None) -> DataFrame:
     """Several datasets (variants of one, or one under several attackers) as one job, so that the
     population is read and reduced once. An attribute that a variant does not use is a wildcard
     in it; one that means another population column in a variant is an attribute of its own.
 
     One row per variant and distinct combination of texts, which stands for ``records`` records
-    (``record`` is the lowest id among them)."""
+    (``record`` is the lowest id among them). ``weight``: a row of a variant stands for that many."""
     slots: dict[tuple, kmap.Slot] = {}
     out = None
     for name, df, qids in variants:
         known, _ = resolve(df, active(qids, scenario), population, record)
-        frame = constraints(reduced(df, known, record), known, record)
+        frame = constraints(reduced(df, known, record, weight), known, record)
         cols = [F.lit(name).alias(variant), F.col(record), F.col("_w").alias("records")]
         used: set[tuple] = set()
         for i, q in enumerate(known):

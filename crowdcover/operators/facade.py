@@ -186,6 +186,7 @@ def blocks(nodes: DataFrame, edges_: DataFrame) -> DataFrame:
 
 def neighbours(buildings: DataFrame, links_: DataFrame) -> DataFrame:
     """Per building: neighbours and the size of its block, itself included."""
+    links_ = cut(links_)        # finding them is the dear part, and three branches need them
     ids = buildings.select(F.col(buildings.columns[0]).alias("node"))
     everyone = ids.union(links_.select("a")).distinct()
     block = blocks(everyone, links_)

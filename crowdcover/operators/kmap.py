@@ -60,10 +60,13 @@ class _Marks:
 
 def count(classes: DataFrame, population: DataFrame, slots: Sequence[Slot], *, key: str,
           by: Sequence[str] = (), unknown_matches: bool = False,
-          strategy: str | None = None) -> DataFrame:
+          strategy: str | None = None, rows: bool = False) -> DataFrame:
     """Rows ``(key, *by, n)``: the number of rows of ``population`` that satisfy all constraints
     of the class. Classes that match nothing have no row. ``by`` splits the counts by population
-    columns. ``unknown_matches``: an unknown population value satisfies any constraint."""
+    columns. ``unknown_matches``: an unknown population value satisfies any constraint.
+
+    ``rows``: every matching row by itself, with ``n`` 1, and nothing is aggregated: for few classes
+    that match few rows, which the scan leaves out where it can."""
     slots, by = list(slots), list(by)
     classes = classes.select(key, *[s.name for s in slots]).withColumn(
         "_pattern", sum((F.col(s.name).isNotNull().cast("int") * F.lit(1 << i)
@@ -74,9 +77,9 @@ def count(classes: DataFrame, population: DataFrame, slots: Sequence[Slot], *, k
         return classes.limit(0).select(key).join(empty, F.lit(False)).withColumn(
             "n", F.lit(0).cast("bigint"))
     marks, values = _lists(classes, slots, facts)
-    cube = _cube(population, slots, by, facts, marks, values, unknown_matches)
+    cube = _cube(population, slots, by, facts, marks, values, unknown_matches, rows)
     rules, cube = _codes(classes, cube, slots, by, marks, facts)
-    rolled = _rolled(cube, slots, by, facts["patterns"])
+    rolled = _rolled(cube, slots, by, facts["patterns"], rows)
     wanted = _wanted(rules, slots, key, unknown_matches)
 
     numeric = [i for i, s in enumerate(slots) if s.numeric]
@@ -85,9 +88,9 @@ def count(classes: DataFrame, population: DataFrame, slots: Sequence[Slot], *, k
         small = facts["exploded"] <= BROADCAST_ROWS
         strategy = "direct" if not numeric or (small and per_key <= PER_KEY) else "blocks"
     if strategy == "blocks" and numeric:
-        cut = numeric[:BLOCK_DIMS]
+        cut = numeric[:1 if rows else BLOCK_DIMS]
         levels = {i: _top(facts, i).bit_length() for i in cut}
-        rolled = _with_blocks(rolled, cut, slots, by, levels)
+        rolled = _with_blocks(rolled, cut, slots, by, levels, rows)
         wanted = _in_blocks(wanted, cut, unknown_matches, levels)
     else:
         cut = []
@@ -102,8 +105,10 @@ def count(classes: DataFrame, population: DataFrame, slots: Sequence[Slot], *, k
         else:
             within = F.col(f"p.k{i}").between(F.col(f"w.from{i}"), F.col(f"w.to{i}"))
             on &= (within | (F.col(f"p.k{i}") == UNKNOWN_CODE)) if unknown_matches else within
-    return (rolled.alias("p").join(wanted.alias("w"), on)
-            .groupBy(f"w.{key}", *[f"p.{c}" for c in by])
+    met = rolled.alias("p").join(wanted.alias("w"), on)
+    if rows:
+        return met.select(f"w.{key}", *[f"p.{c}" for c in by], F.col("p.n").cast("bigint").alias("n"))
+    return (met.groupBy(f"w.{key}", *[f"p.{c}" for c in by])
             .agg(F.sum("p.n").cast("bigint").alias("n")))
 
 
@@ -154,8 +159,9 @@ def _lists(classes: DataFrame, slots, facts) -> tuple[dict, dict]:
     return marks, values
 
 
-def _cube(population, slots, by, facts, marks, values, unknown_matches) -> DataFrame:
-    """Row counts per combination of codes, categories and attributes that can match at all."""
+def _cube(population, slots, by, facts, marks, values, unknown_matches, rows=False) -> DataFrame:
+    """Row counts per combination of codes, categories and attributes that can match at all; with
+    ``rows`` the rows themselves."""
     always = facts["patterns"][0]
     for p in facts["patterns"]:
         always &= p
@@ -181,6 +187,9 @@ def _cube(population, slots, by, facts, marks, values, unknown_matches) -> DataF
             scan &= hit
         possible = possible + F.when(hit, F.lit(1 << i)).otherwise(0)
         keys.append(F.when(hit, q).alias(f"q{i}"))
+    if rows:
+        return population.where(scan).select(*by, *keys, possible.alias("_possible"),
+                                             F.lit(1).cast("bigint").alias("n"))
     return (population.where(scan)
             .groupBy(*[F.col(c) for c in by], *keys, possible.alias("_possible"))
             .agg(F.count(F.lit(1)).alias("n")))
@@ -229,7 +238,7 @@ def _rank_codes(classes, cube, slot, q) -> DataFrame:
     return cum.select("_x", (F.col("_l") + F.col("_h") - F.col("_highs")).alias("_code"))
 
 
-def _rolled(cube, slots, by, patterns) -> DataFrame:
+def _rolled(cube, slots, by, patterns, single=False) -> DataFrame:
     """The cube once per pattern, with the attributes outside the pattern taken together."""
     if len(patterns) == 1:
         p = patterns[0]
@@ -246,6 +255,8 @@ def _rolled(cube, slots, by, patterns) -> DataFrame:
         q = F.col(f"q{i}").cast("int") if s.numeric else F.col(f"q{i}")
         keys.append(F.when(used, F.coalesce(q, F.lit(unknown))).otherwise(F.lit(any_))
                     .alias(f"k{i}"))
+    if single:
+        return rows.select("_pattern", *keys, *by, "n")
     return rows.groupBy("_pattern", *keys, *by).agg(F.sum("n").alias("n"))
 
 
@@ -268,7 +279,7 @@ def _wanted(rules, slots, key, unknown_matches) -> DataFrame:
 _LEVEL = 1 << 40           # a block is level * 2^40 + number; negative codes stand for themselves
 
 
-def _with_blocks(rolled, cut, slots, by, levels) -> DataFrame:
+def _with_blocks(rolled, cut, slots, by, levels, single=False) -> DataFrame:
     out = rolled
     for i in cut:
         k = F.col(f"k{i}").cast("bigint")
@@ -277,6 +288,8 @@ def _with_blocks(rolled, cut, slots, by, levels) -> DataFrame:
             F.when(k < 0, F.array(k)).otherwise(blocks))).drop(f"k{i}")
     keys = ["_pattern", *by, *[f"b{i}" for i in cut],
             *[f"k{i}" for i in range(len(slots)) if i not in cut]]
+    if single:
+        return out.select(*keys, "n")
     return out.groupBy(*keys).agg(F.sum("n").alias("n"))
 
 

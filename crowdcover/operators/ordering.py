@@ -27,23 +27,26 @@ def cuts(df: DataFrame, order: str) -> list[float]:
 
 
 def running_totals(df: DataFrame, order: str, sums: Mapping[str, Column], *,
-                   by: Sequence[str] = (), at: Sequence[float] | None = None) -> DataFrame:
+                   by: Sequence[str] = (), at: Sequence[float] | None = None,
+                   following: str | None = None) -> DataFrame:
     """``df`` with, per name in ``sums``, the total of that expression up to and including the
     row, in the order of a numeric column whose values are unique within ``by``.
 
     ``df`` is read three times: pass a table that is written or cheap to make. ``at``: where to
-    cut, when that is known beforehand."""
+    cut, when that is known beforehand. ``following``: a column for the next value of the order
+    within ``by``, null for the last."""
     marked = df.withColumns({"_at": F.col(order).cast("double"),
                              **{f"_w_{name}": expr for name, expr in sums.items()}})
     marked = marked.withColumn("_part", count_le(
         cuts(marked, "_at") if at is None else at, F.col("_at")))
     by = list(by)
     parts = marked.groupBy(*by, "_part").agg(
-        *[F.sum(f"_w_{name}").alias(f"_t_{name}") for name in sums])
+        F.min("_at").alias("_begin"), *[F.sum(f"_w_{name}").alias(f"_t_{name}") for name in sums])
     # at most one row per shuffle partition (and group): a small window
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(
         Window.unboundedPreceding, -1)
-    offsets = parts.select(*by, "_part", *[
+    offsets = parts.select(*by, "_part", F.lead("_begin").over(
+        Window.partitionBy(*by).orderBy("_part")).alias("_begin"), *[
         F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}")
         for name in sums])
     inside = Window.partitionBy(*by, "_part").orderBy("_at").rowsBetween(
@@ -51,7 +54,10 @@ def running_totals(df: DataFrame, order: str, sums: Mapping[str, Column], *,
     out = marked.join(offsets, [*by, "_part"])
     for name in sums:
         out = out.withColumn(name, F.col(f"_o_{name}") + F.sum(f"_w_{name}").over(inside))
-    helpers = ["_at", "_part"] + [f"{p}_{n}" for n in sums for p in ("_w", "_o")]
+    if following:
+        in_part = Window.partitionBy(*by, "_part").orderBy("_at")
+        out = out.withColumn(following, F.coalesce(F.lead("_at").over(in_part), "_begin"))
+    helpers = ["_at", "_part", "_begin"] + [f"{p}_{n}" for n in sums for p in ("_w", "_o")]
     return out.drop(*helpers)
 
 

@@ -15,16 +15,18 @@ from .assess import (AT_RISK, NO_MATCH, OK, RESULT, Threshold, active, class_key
                      reduced, score_variants, slots_of, text_key)
 from .ordering import median
 from .population import Population
+from .resolve import resolve
 
 K_EDGES = ((0, 10), (11, 30), (31, 100), (101, 300), (301, 1000), (1001, math.inf))
 
 
 def candidates(assessed: DataFrame, qids: Sequence[Qid], population: Population, *,
-               shown: Sequence[str], record: str = "record_id", max_per_record: int = 100,
+               shown: Sequence[str], record: str = "record_id", max_per_record: int | None = None,
                only_at_risk: bool = True, unknown_matches: bool = False) -> DataFrame:
     """The population rows a failing record could be: one row per record and candidate, numbered
     in the order of the ``shown`` columns. Only register attributes select. A record with no
-    match, or more than ``max_per_record``, gets one row without a candidate.
+    match gets one row without a candidate; so does one with more than ``max_per_record``, where that
+    is given: its ``k_populatie`` tells how many there are.
 
     The result points at addresses: for the data holder only, never to be published."""
     register = [q for q in qids if q.counted]
@@ -34,15 +36,17 @@ def candidates(assessed: DataFrame, qids: Sequence[Qid], population: Population,
     rows = cut(rows.select(F.col(record).alias("record"), "status", "k_populatie", "k", "delta",
                            text_key(register).alias("_text"),
                            *dict.fromkeys(q.column for q in register)))
-    listed = rows.where((F.col("k_populatie") > 0) & (F.col("k_populatie") <= max_per_record))
+    listed = rows.where(F.col("k_populatie") > 0)
+    if max_per_record is not None:
+        listed = listed.where(F.col("k_populatie") <= max_per_record)
     texts = constraints(reduced(listed, register, "record"), register, "record")
     texts = cut(texts.withColumn("_key", class_key(names)).select("_text", "_key", *names))
     few = texts.select("_key", *names).dropDuplicates(["_key"])
     shown = list(dict.fromkeys([*shown, *[q.spec.population_column for q in register]]))
     found = kmap.count(few, population.rows(), slots, key="_key", by=shown,
-                       unknown_matches=unknown_matches)
+                       unknown_matches=unknown_matches, rows=True)
     found = found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))))
-    # at most max_per_record rows per class: these windows stay small
+    # a failing class has few matches, or it would not fail: these windows stay small
     order = Window.partitionBy("_key").orderBy(*[F.col(c).asc_nulls_last() for c in shown], "_copy")
     found = found.withColumn("kandidaat_nr", F.row_number().over(order)).drop("n", "_copy")
     base = rows.select("record", "status", "k_populatie", "k", "delta", "_text")
@@ -117,9 +121,14 @@ def compare_scenarios(df: DataFrame, scenarios: Mapping[str, tuple[Sequence[Qid]
     """The same dataset under several attackers or variants, as one job: the risk per ``scenario``
     and distinct combination of texts, with the ``records`` it stands for. What a scenario does
     not use is a wildcard in it."""
-    variants = [(name, df, active(qids, level)) for name, (qids, level) in scenarios.items()]
+    used = {name: resolve(df, active(qids, level), population, record)[0]
+            for name, (qids, level) in scenarios.items()}
+    # the dataset is read once: what the scenarios distinguish between them is what is left of it
+    columns = list(dict.fromkeys(q.column for qids in used.values() for q in qids if q.column in df.columns))
+    few = cut(df.groupBy(*columns).agg(F.min(record).alias(record), F.count(F.lit(1)).alias("_rows")))
+    variants = [(name, few, qids) for name, qids in used.items()]
     return score_variants(variants, population, threshold, record=record, variant="scenario",
-                          unknown_matches=unknown_matches)
+                          unknown_matches=unknown_matches, weight="_rows")
 
 
 def zone_counts(df: DataFrame, qids: Sequence[Qid], population: Population, zone: str, *,

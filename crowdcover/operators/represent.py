@@ -303,6 +303,19 @@ def population_numbers(population: Population, columns: Sequence[str], n: int =
     return moments, quantiles(cells, "x", _grid(n), by=["kenmerk"])
 
 
+def wasserstein(one: DataFrame, other: DataFrame) -> DataFrame:
+    """``(kenmerk, w)``: the exact distance between two sets of numbers ``(kenmerk, x)``: the area between
+    their distribution functions, from one running count over the values of both."""
+    values = one.select("kenmerk", "x", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
+        other.select("kenmerk", "x", F.lit(0).alias("a"), F.lit(1).alias("b"))).where("x is not null")
+    counts = cut(values.groupBy("kenmerk", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    totals = counts.groupBy("kenmerk").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
+    run = running_totals(counts, "x", {"ca": F.col("a"), "cb": F.col("b")}, by=["kenmerk"], following="volgende")
+    gap = F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb")) * (F.col("volgende") - F.col("x"))
+    return run.join(totals.where("ta > 0 AND tb > 0"), "kenmerk").groupBy("kenmerk").agg(
+        F.coalesce(F.sum(gap), F.lit(0.0)).alias("w"))
+
+
 def _grid(n: int) -> list[float]:
     return [(i + 0.5) / n for i in range(n)]
 
@@ -325,9 +338,7 @@ def compare_numbers(df: DataFrame, population: Population, features: Sequence[Fe
     moments, pop_q = cut(moments), cut(pop_q)
     cells = keep(_number_cells(df, [(f.column, f.source or f.column) for f in features], record))
     mine = cells.groupBy("kenmerk").agg(F.count("x").alias("dn"), F.avg("x").alias("dmu"))
-    ds_q = quantiles(cells, "x", _grid(n_quantiles), by=["kenmerk"])
-    wass = pop_q.alias("a").join(ds_q.alias("b"), ["kenmerk", "p"]).groupBy("kenmerk").agg(
-        F.avg(F.abs(F.col("a.q") - F.col("b.q"))).alias("w"))
+    wass = wasserstein(_number_cells(population.rows(), [(c, c) for c in cols]), cells.select("kenmerk", "x"))
     row = moments.join(mine, "kenmerk").join(wass, "kenmerk", "left")
     usable = (F.col("dn") > 0) & (F.col("sd") > 0)
     row = row.withColumn("smd", F.when(usable, (F.col("dmu") - F.col("mu")) / F.col("sd")))

@@ -321,7 +321,9 @@ def _number_sql():
    ELSE a.qp + (b.qp - a.qp) * (pos - floor(pos)) END) AS mean FROM pk LEFT JOIN q a ON a.i = floor(pos)
    LEFT JOIN q b ON b.i = floor(pos) + 1 GROUP BY draw)
 SELECT '{c}' AS kenmerk, n, 'SMD' AS maat, round(smd, 3) AS waarde,
-  round((SELECT avg(abs(qp - qd)) FROM q) / sd, 3) AS wasserstein,
+  round((SELECT sum(abs(ca / (SELECT count(*) FROM pop) - cb / (SELECT count(*) FROM f)) * (nx - x)) FROM (
+    SELECT x, sum(a) OVER (ORDER BY x) AS ca, sum(b) OVER (ORDER BY x) AS cb, lead(x) OVER (ORDER BY x) AS nx FROM (
+      SELECT {c}::DOUBLE AS x, count(*) AS a, count(*) FILTER (st = 'F') AS b FROM pop GROUP BY 1))) / sd, 3) AS wasserstein,
   CASE WHEN abs(smd) < 0.1 THEN 'verwaarloosbaar' WHEN abs(smd) < 0.2 THEN 'klein' ELSE 'merkbaar' END AS oordeel,
   round((SELECT avg(CASE WHEN abs((mean - mu) / sd) >= abs(smd) - 1e-12 THEN 1.0 ELSE 0.0 END) FROM m), 3)::DOUBLE AS toeval
  FROM o, w)"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -449,6 +451,61 @@ def interpolated_rbf(spark, d):
     return x.groupBy("cand").agg(F.count(F.lit(1)).alias("uren"), F.round(F.avg("x"), 6).alias("gemiddeld"))
 
 
+def _four(spark, d):
+    """All stations in four groups: the middle of a group, and its mean value per hour."""
+    g = (F.col("station").cast("int") % 4).cast("string").alias("station")
+    st = weather_stations(spark, d).groupBy(g).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+    return weather(spark, d).groupBy(g, "time").agg(F.avg("T").alias("T")), st
+
+
+def interpolated_plate(spark, d):
+    """A thin plate through four places, at the centres of the coarse cells that hold customers."""
+    ref, st = _four(spark, d)
+    x = trace.interpolate_rbf(ref, st, _cells(spark, d, (4,)), "thin_plate")
+    return x.groupBy("cand").agg(F.count(F.lit(1)).alias("uren"), F.round(F.avg("x"), 3).alias("gemiddeld"),
+                                 F.round(F.max("x"), 3).alias("hoogste"))
+
+
+def _plate_sql():
+    """Through four points a plate has one degree of freedom beside its plane: the combination of the
+    points that no plane touches, whose weights are signed areas of triangles."""
+    import math
+
+    from .place_queries import KX, KY, cell_sql
+    e = 9.85 * 7.0 ** 0.5
+
+    def area(i, j, k):
+        return f"((x{j} - x{i}) * (y{k} - y{i}) - (x{k} - x{i}) * (y{j} - y{i}))"
+
+    def phi(a, b):
+        r = f"(pow({a[0]} - {b[0]}, 2) + pow({a[1]} - {b[1]}, 2))"
+        return f"({r} * ln({r} + 1e-300) / 2)"
+
+    at = [(f"x{i}", f"y{i}") for i in range(4)]
+    bend = " + ".join(f"m{i} * m{j} * {phi(at[i], at[j])}" for i in range(4) for j in range(4))
+    over = [" + ".join(f"m{j} * {phi(at[i], at[j])}" for j in range(4)) for i in range(3)]
+    rows = ", ".join(f"max(CASE WHEN g = {i} THEN x END) AS x{i}, max(CASE WHEN g = {i} THEN y END) AS y{i}" for i in range(4))
+    values = ", ".join(f"max(CASE WHEN g = {i} THEN v END) AS v{i}" for i in range(4))
+    here = " + ".join(f"m{i} * {phi(('px', 'py'), at[i])}" for i in range(4))
+    part = [f"(({at[j][0]} - px) * ({at[k][1]} - py) - ({at[k][0]} - px) * ({at[j][1]} - py)) / {area(0, 1, 2)}"
+            for j, k in ((1, 2), (2, 0), (0, 1))]   # of each of three points in the plane at p
+    return f"""WITH {PTS}, cl AS (SELECT DISTINCT {cell_sql('la', 'lo', 4)} AS cand FROM pts),
+ p AS (SELECT cand, {e!r}::DOUBLE * split_part(cand, ':', 3)::BIGINT * 1.5 AS py, {e!r}::DOUBLE * (split_part(cand, ':', 2)::BIGINT
+   * {math.sqrt(3.0)!r}::DOUBLE + split_part(cand, ':', 3)::BIGINT * {math.sqrt(3.0) / 2!r}::DOUBLE) AS px FROM cl),
+ st AS (SELECT (n_nationkey + 200) % 4 AS g, avg({_u('wlo', 'n_nationkey')} * 3 + 4) * {KX!r} AS x, avg({_u('wla', 'n_nationkey')} * 2 + 51) * {KY!r} AS y FROM nation GROUP BY 1),
+ s4 AS (SELECT {rows} FROM st),
+ m AS (SELECT *, {area(1, 2, 3)} AS m0, -{area(0, 2, 3)} AS m1, {area(0, 1, 3)} AS m2, -{area(0, 1, 2)} AS m3 FROM s4),
+ b AS (SELECT *, {bend} AS bend FROM m),
+ hh AS (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS t FROM events),
+ w AS (SELECT (n_nationkey + 200) % 4 AS g, h, avg(round(8 + 5 * sin(h * 0.2618) + (('0x' || substr(md5('w|' || n_nationkey || '|' || h), 1, 8))::BIGINT
+   / 4294967296.0::DOUBLE) * 12, 1)) AS v FROM nation, (SELECT (epoch(t) / 3600)::BIGINT AS h FROM hh) GROUP BY ALL),
+ v AS (SELECT h, {values} FROM w GROUP BY h),
+ f AS (SELECT h, b.*, v0, v1, v2, (m0 * v0 + m1 * v1 + m2 * v2 + m3 * v3) / bend AS a FROM v, b),
+ r AS (SELECT *, v0 - a * ({over[0]}) AS u0, v1 - a * ({over[1]}) AS u1, v2 - a * ({over[2]}) AS u2 FROM f),
+ x AS (SELECT cand, h, a * ({here}) + u0 * {part[0]} + u1 * {part[1]} + u2 * {part[2]} AS x FROM r, p)
+SELECT cand, count(*) AS uren, round(avg(x), 3) AS gemiddeld, round(max(x), 3) AS hoogste FROM x GROUP BY cand"""
+
+
 def border_cells(spark, d):
     return trace.border_cells(_cells(spark, d, (5,)), weather_stations(spark, d))
 
@@ -513,6 +570,29 @@ SAMPLED = """SELECT event_id, user_id, value FROM events WHERE user_id IN (SELEC
   ORDER BY md5('3|' || user_id), user_id LIMIT 40)"""
 
 
+def series_folder(spark, d):
+    """The events as folders of files in two layouts, read back by name."""
+    from ..session import checkpoint_dir
+    from ..sources.series import read_series
+
+    e = table(spark, d, "events")
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    when = F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("tijdstip")
+    e.where("user_id % 2 = 0").select("user_id", when, F.col("value").alias("T_out")).withColumnRenamed(
+        "user_id", "home_id").write.option("header", True).csv(f"{folder}/a")
+    e.where("user_id % 2 = 1").select(F.col("value").alias("outdoor_temp"), F.lit("a;b").alias("note"),
+                                      F.col("user_id").alias("home_id"), when).write.option(
+        "header", True).option("sep", ";").csv(f"{folder}/b")
+    e.select(F.col("event_id").alias("number")).write.option("header", True).csv(f"{folder}/notes")
+    s = read_series(spark, folder)
+    return s.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("waarde"), 4).alias("som"),
+                               F.min("tijd").alias("eerste"))
+
+
+SERIES_FOLDER = """SELECT user_id::VARCHAR AS id, count(*) AS n, round(sum(value), 4) AS som,
+  strftime(date_trunc('second', min(ts)), '%Y-%m-%d %H:%M:%S') AS eerste FROM events WHERE value IS NOT NULL GROUP BY 1"""
+
+
 def clock_periods(spark, d):
     """The days of all orders as hours of a reference: clock periods of the country they are in."""
     o = table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("time"))
@@ -566,7 +646,9 @@ QUERIES = {
     "wind_constants": (wind_constants, WIND),
     "interpolated_cells": (interpolated, _interpolated_sql()),
     "interpolated_rbf": (interpolated_rbf, None),
+    "interpolated_plate": (interpolated_plate, _plate_sql()),
     "border_cells": (border_cells, _border_sql()),
+    "series_folder": (series_folder, SERIES_FOLDER),
     "clock_periods": (clock_periods, CLOCK),
     "time_kinds": (time_kinds, TIME_KINDS),
     "sampled_users": (sampled_users, SAMPLED),
