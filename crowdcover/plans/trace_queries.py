@@ -18,14 +18,19 @@ from .place_queries import HAVERSINE, KX, KY, PTS, _u, cell_sql, customers
 from .signal_queries import _cells, weather_stations
 from .views import table
 
-#: Methods that are tried, and how far own points are sought.
-METHODS, SEARCH_KM = ("idw1", "idw2"), 3.0
+#: How far own points are sought.
+SEARCH_KM = 3.0
 STEPS = math.ceil(SEARCH_KM / (1.5 * geo.edge_km(8)))
 #: Days that are added to the test month where a change of station is planted.
 MORE_DAYS = 29
 _H = "interval 1 hour"
 
 
+def _methods(kind):
+    """Methods that are tried, each with all stations and with those of the second quantity."""
+    return ("idw1", "idw2") if kind == "grid" else ("idw2",)
+
+
 def _weather(spark, d, days=0):
     a, b = table(spark, d, "events").agg(F.date_trunc("hour", F.min("ts")), F.date_trunc("hour", F.max("ts"))).first()
     hours = F.sequence(F.lit(a), F.lit(b) + F.expr(f"interval {days} days"), F.expr(_H))
@@ -76,7 +81,7 @@ def _planted(spark, d, kind, ref):
 def _found(spark, d, kind):
     ref = _weather(spark, d, MORE_DAYS if kind == "border" else 0)
     return trace.investigate(_planted(spark, d, kind, ref), ref, weather_stations(spark, d), _cells(spark, d, (4,)),
-                             methods=METHODS, search_km=SEARCH_KM)
+                             methods=_methods(kind), search_km=SEARCH_KM)
 
 
 def investigated(spark, d, kind):
@@ -136,7 +141,7 @@ def _home(kind):
 def _dataset_sql(kind):
     """Series, their alignment, and the nearest candidate under every hypothesis."""
     days = MORE_DAYS if kind == "border" else 0
-    cells = " UNION ALL ".join(_at("p", m + s, m[-1], s) for m in METHODS for s in ("", "+Q"))
+    cells = " UNION ALL ".join(_at("p", m + s, m[-1], s) for m in _methods(kind) for s in ("", "+Q"))
     homes = "SELECT id, cand FROM u JOIN nr ON id % (SELECT count(*) FROM nr) = k"
     if kind == "point":
         fine = cell_sql("la", "lo", 8)
@@ -179,13 +184,13 @@ SELECT {_ORDER}, hypothese, methode, niveau, verklaard, getoetst, round(rms_medi
 def _points_sql(kind):
     """With the fine points around the cells of the nearest method tried as well."""
     c8, k = cell_sql("la", "lo", 8), STEPS
+    points = " UNION ALL ".join(_at("fp", m + s, m[-1], s) for m in _methods(kind) for s in ("", "+Q"))
     return f"""{_dataset_sql(kind)},
  m AS (SELECT arg_min(methode, rms_mediaan) AS methode FROM hyp0 WHERE hypothese = 'cel'),
  c8 AS (SELECT cand AS start, split_part(f, ':', 2)::BIGINT AS q, split_part(f, ':', 3)::BIGINT AS r FROM (SELECT cand, {c8} AS f FROM p)),
  near AS (SELECT start, '8:' || (q + a) || ':' || (r + b) AS cand FROM c8, range({-k}, {k + 1}) x(a), range({-k}, {k + 1}) y(b) WHERE abs(a + b) <= {k}),
  fp AS (SELECT DISTINCT cand, {_centre(_E8)} FROM near),
- px AS MATERIALIZED (SELECT * FROM ({_at('fp', 'idw1', 1, False)} UNION ALL {_at('fp', 'idw1+Q', 1, True)} UNION ALL {_at('fp', 'idw2', 2, False)}
-   UNION ALL {_at('fp', 'idw2+Q', 2, True)}) WHERE methode = (SELECT methode FROM m)),
+ px AS MATERIALIZED (SELECT * FROM ({points}) WHERE methode = (SELECT methode FROM m)),
  own AS MATERIALIZED ({_best("(SELECT id, near.cand, abs(al.v - px.x) AS d, uren FROM (SELECT id, cand AS start FROM fit JOIN m USING (methode)) f JOIN near USING (start) JOIN al USING (id) JOIN px ON px.h = al.h AND px.cand = near.cand)", "id")})"""
 
 
