@@ -209,6 +209,32 @@ FACADE = """SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN round(p_size / 4.
   CASE WHEN p_partkey % 3 = 0 THEN (p_partkey % 5) * 2.8::DOUBLE END, 5.6), 6) END AS gevel_n__m2 FROM part"""
 
 
+def dwelling_register(spark, d):
+    """Orders in the role of a register of dwellings: those that exist, implausible numbers as unknown."""
+    i = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "Verblijfsobject in gebruik").when(
+        F.col("o_orderstatus") == "P", "Verbouwing verblijfsobject").otherwise("Verblijfsobject ingetrokken")
+    reg = table(spark, d, "orders").select(
+        i.cast("string").alias("identificatie"), F.col("o_custkey").cast("string").alias("pand_identificatie"),
+        F.concat((i % 500 + 1000).cast("string"), F.lit(" ab")).alias("postcode"), (i % 20 + 1).alias("huisnummer"),
+        F.when(i % 3 == 0, "a").alias("huisletter"), F.lit(None).cast("string").alias("toevoeging"),
+        F.concat(F.lit("G"), (i % 7).cast("string")).alias("bronhouder_identificatie"),
+        F.when(i % 9 == 0, 9999).otherwise(i % 120 + 1900).cast("int").alias("bouwjaar"),
+        (i % 300).cast("int").alias("oppervlakte"), status.alias("status"), F.col("o_totalprice").alias("rd_x"),
+        (F.col("o_totalprice") * 2).alias("rd_y"))
+    return enrich.dwellings(reg)
+
+
+DWELLING_REGISTER = """SELECT o_orderkey::VARCHAR AS vbo_id__str, o_custkey::VARCHAR AS pand_id__str,
+  (o_orderkey % 500 + 1000) || 'AB' AS postcode6__str, (o_orderkey % 500 + 1000)::VARCHAR AS postcode4__str,
+  (o_orderkey % 20 + 1)::VARCHAR AS huisnummer__str, CASE WHEN o_orderkey % 3 = 0 THEN 'a' END AS huisletter__str,
+  NULL::VARCHAR AS toevoeging__str, 'G' || o_orderkey % 7 AS gemeente_code__str,
+  CASE WHEN o_orderkey % 9 <> 0 THEN (o_orderkey % 120 + 1900)::INTEGER END AS bouwjaar__yr,
+  CASE WHEN o_orderkey % 300 > 0 THEN (o_orderkey % 300)::INTEGER END AS oppervlakte__m2,
+  CASE o_orderstatus WHEN 'F' THEN 'Verblijfsobject in gebruik' ELSE 'Verbouwing verblijfsobject' END AS status__cat,
+  o_totalprice AS rd_x__m, o_totalprice * 2 AS rd_y__m FROM orders WHERE o_orderstatus IN ('F', 'P')"""
+
+
 # --- representativeness -----------------------------------------------------------------------------
 
 DRAWS = 20
@@ -399,6 +425,7 @@ QUERIES = {
     "population_extract": (population_extract, EXTRACT),
     "building_shape": (building_shape, SHAPE),
     "facade_areas": (facade_areas, FACADE),
+    "dwelling_register": (dwelling_register, DWELLING_REGISTER),
     "shift_of_columns": (shift, SHIFT),
     "largest_change": (largest_change, LARGEST),
     "category_comparison": (category_comparison, CATEGORY),

@@ -425,10 +425,19 @@ def insider_columns(spark, d):
                     F.col("event_type").alias("heeft_warmtepomp__bool"),
                     (F.col("event_id") % 3).alias("pv_status"),
                     F.get_json_object("props", "$.k").alias("p1_meter"))
-    return explain.insider_sources(wide, wide.columns).select("kolom")
+    return explain.insider_sources(wide, wide.columns)
 
 
-INSIDERS = """SELECT unnest(['gas_flow__m3', 'boiler_temp__degC', 'p1_meter']) AS kolom"""
+def _insider_sql():
+    columns = {"event_id": "event_id", "gas_flow__m3": "value", "boiler_temp__degC": "value", "thermostat_mode": "event_type",
+               "heeft_warmtepomp__bool": "event_type", "pv_status": "event_id % 3",
+               "p1_meter": "json_extract_string(props, '$.k')"}
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS kolom, ({e})::VARCHAR AS v FROM events" for c, e in columns.items())
+    party = "".join(f" WHEN regexp_matches(naam, '{p}') THEN '{who}'" for p, who in explain.HOLDERS)
+    return f"""WITH c AS ({cells}), s AS (SELECT kolom, regexp_replace(lower(kolom), '__.*$', '') AS naam, lower(kolom) AS klein,
+   count(TRY_CAST(v AS DOUBLE)) / count(*) AS deel, count(DISTINCT TRY_CAST(v AS DOUBLE)) AS n FROM c GROUP BY kolom)
+SELECT * FROM (SELECT CASE{party} END AS partij, kolom FROM s WHERE deel >= 0.8 AND n >= 10
+  AND NOT regexp_matches(klein, '{explain.NO_SERIES}')) WHERE partij IS NOT NULL"""
 
 
 # --- rounding --------------------------------------------------------------------------------------------
@@ -584,7 +593,7 @@ QUERIES = {
     "zone_risk": (zone_risk, ZONE_RISK),
     "information_bits": (information_bits, _bits_sql()),
     "remaining_bits": (remaining_bits, REMAINING),
-    "insider_columns": (insider_columns, INSIDERS),
+    "insider_columns": (insider_columns, _insider_sql()),
     "rounding_groups": (group_sizes, _group_sql()),
     "rainbow_table": (rainbow, RAINBOW),
     "rainbow_lookup": (rainbow_lookup, RAINBOW_LOOKUP),
