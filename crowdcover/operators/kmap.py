@@ -11,8 +11,8 @@ The population is reduced before it meets the classes:
 
 Classes then meet the rolled-up cube in one of two ways, both exact:
 
-* few classes per combination of categories: a hash join on pattern and categories with the
-  interval codes as a filter; the classes are broadcast, after their number is checked;
+* few classes in every combination of categories (the fullest is counted): a hash join on pattern and
+  categories with the interval codes as a filter; the classes are broadcast, after their number is checked;
 * otherwise: every range of codes is cut into at most 2 log(n) aligned blocks, and every cube
   row is counted once under each block that holds it; the join is then on equal blocks only,
   and the counted side has one row per key.
@@ -35,7 +35,7 @@ ANY_CODE, UNKNOWN_CODE = -1, -2
 MARKS_LIMIT = 65_536       # class bounds of one attribute that travel as a constant
 VALUES_LIMIT = 2_000       # allowed values of one attribute that become an IN list
 BROADCAST_ROWS = 100_000   # class rows that may be broadcast
-PER_KEY = 1_000            # classes per combination of categories that may be compared one by one
+PER_KEY = 1_000            # classes of any combination of categories that may be compared one by one
 BLOCK_DIMS = 2             # numeric attributes cut into blocks
 
 
@@ -83,10 +83,10 @@ def count(classes: DataFrame, population: DataFrame, slots: Sequence[Slot], *, k
     wanted = _wanted(rules, slots, key, unknown_matches)
 
     numeric = [i for i, s in enumerate(slots) if s.numeric]
-    per_key = facts["exploded"] / max(facts["keys"], 1)
     if strategy is None:
-        small = facts["exploded"] <= BROADCAST_ROWS
-        strategy = "direct" if not numeric or (small and per_key <= PER_KEY) else "blocks"
+        few = facts["exploded"] <= BROADCAST_ROWS and (
+            facts["exploded"] <= PER_KEY or _most_per_key(wanted, slots) <= PER_KEY)
+        strategy = "direct" if not numeric or few else "blocks"
     if strategy == "blocks" and numeric:
         cut = numeric[:1 if rows else BLOCK_DIMS]
         levels = {i: _top(facts, i).bit_length() for i in cut}
@@ -112,6 +112,13 @@ def count(classes: DataFrame, population: DataFrame, slots: Sequence[Slot], *, k
             .agg(F.sum("p.n").cast("bigint").alias("n")))
 
 
+def _most_per_key(wanted: DataFrame, slots) -> int:
+    """How many classes the fullest combination of categories has: one such key is enough to make
+    comparing them one by one too slow. Asked only while the classes are few enough to broadcast."""
+    keys = [f"v{i}" for i, s in enumerate(slots) if not s.numeric]
+    return wanted.groupBy("_pattern", *keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+
+
 def _facts(classes: DataFrame, slots) -> dict:
     """What the classes look like, in one pass: patterns, spans, and sizes to decide on."""
     cats = [s for s in slots if not s.numeric]
@@ -119,9 +126,7 @@ def _facts(classes: DataFrame, slots) -> dict:
     for s in cats:
         exploded = exploded * F.coalesce(F.size(F.col(s.name)["vals"]).cast("double"), F.lit(1.0))
     aggs = [F.collect_set("_pattern").alias("patterns"),
-            F.coalesce(F.sum(exploded), F.lit(0.0)).alias("exploded"),
-            F.approx_count_distinct(F.struct("_pattern", *[
-                F.col(s.name)["vals"].alias(s.name) for s in cats])).alias("keys")]
+            F.coalesce(F.sum(exploded), F.lit(0.0)).alias("exploded")]
     for i, s in enumerate(slots):
         c = F.col(s.name)
         if s.numeric:

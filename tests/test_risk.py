@@ -198,3 +198,29 @@ def test_k_histogram_counts_fractional_k(spark):
     rows = k_histogram(spark.createDataFrame([(v,) for v in values], "k double"), 11).collect()
     got = [r["records"] for r in sorted(rows, key=lambda r: r["klasse_nr"])]
     assert sum(got) == len(values) and got == [5, 3, 2, 0, 1, 1]
+
+
+def test_one_full_key_among_many_goes_by_blocks(spark, monkeypatch):
+    """What one combination of categories holds decides, not the mean over all of them."""
+    from crowdcover.operators import kmap
+    rnd = random.Random(5)
+    rows = [("hot" if i % 3 == 0 else f"c{i % 40}", rnd.randrange(500), rnd.randrange(500)) for i in range(3000)]
+    pop = spark.createDataFrame(rows, "seg string, a int, b int")
+    rules = [(i, "hot", *sorted((rnd.randrange(500), rnd.randrange(500))), rnd.randrange(500)) for i in range(300)]
+    rules += [(1000 + k, f"c{k}", 0, 499, 0) for k in range(40)]
+    classes = spark.createDataFrame(rules, "k int, s string, lo int, hi int, blo int").selectExpr(
+        "k", "named_struct('lo', CAST(NULL AS DOUBLE), 'hi', CAST(NULL AS DOUBLE), 'vals', array(s)) AS c0",
+        "named_struct('lo', CAST(lo AS DOUBLE), 'hi', CAST(hi AS DOUBLE), 'vals', CAST(NULL AS array<string>)) AS c1",
+        "named_struct('lo', CAST(blo AS DOUBLE), 'hi', CAST(NULL AS DOUBLE), 'vals', CAST(NULL AS array<string>)) AS c2")
+    slots = [kmap.Slot("c0", "seg", False), kmap.Slot("c1", "a", True), kmap.Slot("c2", "b", True)]
+    used = []
+    plain = kmap._in_blocks
+    monkeypatch.setattr(kmap, "_in_blocks", lambda *x: used.append(1) or plain(*x))
+    monkeypatch.setattr(kmap, "PER_KEY", 100)      # the mean over the keys is 8
+    want = {k: n for k, s, lo, hi, blo in rules
+            if (n := sum(t == s and lo <= a <= hi and b >= blo for t, a, b in rows))}
+    got = {r.k: r.n for r in kmap.count(classes, pop, slots, key="k").collect()}
+    assert got == want and used
+    # and the rows themselves, each by itself
+    single = kmap.count(classes, pop, slots, key="k", by=["a", "b"], rows=True).collect()
+    assert sum(r.n for r in single) == sum(want.values()) and all(r.n == 1 for r in single)
