@@ -51,6 +51,9 @@ PIECE = 1 << 16
 #: Bytes of a header block beyond which it isn't one.
 MOST_HEADER = 1 << 20
 
+#: Tasks that read archives.
+MOST_TASKS = 10_000
+
 VERSION = "WARC/1.1"
 SIGNATURE = b"\x1f\x8b\x08"
 _VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
@@ -406,8 +409,8 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> tuple[DataFrame
                 if rows:
                     yield table(rows)
 
-    n = archives.count()
-    files = archives.select("path").repartition(max(1, n)) if n > 1 else archives.select("path")
+    # one archive after the other in a task, as many tasks as a cluster may have use for
+    files = archives.select("path").repartition(max(1, min(archives.count(), MOST_TASKS)))
     found = written(batches(files, work, _RECORDS))
     return (found.where("gap IS NULL").drop("gap"),
             found.where("gap IS NOT NULL").select("path", "start", "end", F.col("gap").alias("reason")))
