@@ -67,6 +67,12 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def told_apart(df: DataFrame, column: str) -> bool:
+    """Whether the ids in ``column`` tell the rows of ``df`` apart: none is null, none comes twice."""
+    ids = df.select(F.col(column).cast("long").alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    return ids.where("id IS NULL OR n > 1").isEmpty()
+
+
 def batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
             schema: str) -> DataFrame:
     return df.mapInArrow(work, schema)

@@ -5,7 +5,7 @@ windows. A window's first occurrence, by document id, row and line, stays; each
 its three lines, and covered lines go. A line that goes is still there: in the first occurrence of
 its window, or, if that was covered too, in an even earlier one.
 
-1. Rows are numbered in a written table, as ids may be null or repeat. Lines are hashed in place, once; a window is the 128-bit hash of its lines, its document and its
+1. Where ids are null or repeat, rows are numbered in a written table. Lines are hashed in place, once; a window is the 128-bit hash of its lines, its document and its
    place. The windows are a written table, read by both steps below.
 2. Windows are counted with a partial aggregate that also keeps the first place. Only windows that
    occur again go on; they meet the windows of all documents by hash, so a passage found in a third of
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crowdcover.llm.common import let, small, unused, written
+from crowdcover.llm.common import let, small, told_apart, unused, written
 
 WINDOW = 3
 
@@ -90,7 +90,9 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """``docs`` with the repeated lines gone from ``text``, and n_removed: how many they were."""
     docs = docs.drop("n_removed")
     row, starts = unused(docs, "line_row", "line_starts")
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    # rows need numbers, and a copy that keeps them, only where ids don't tell them apart
+    numbered = (docs.withColumn(row, F.col(doc_id).cast("long")) if told_apart(docs, doc_id)
+                else written(docs.withColumn(row, F.monotonically_increasing_id())))
     gone = written(covered_windows(numbered, doc_id, text, row)).withColumnsRenamed(
         {"row": row, "starts": starts})
     # the same plan at every size: texts are shuffled once, however few documents lose lines
