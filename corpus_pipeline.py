@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crowdcover.llm import jaccard_join, line_dedup, packing, quality_rules, toxicity
-from crowdcover.llm.common import small, unused, written
+from crowdcover.llm.common import small, told_apart, unused, written
 from crowdcover.llm.queries import TRAIN, WORD_TOKENIZER
 from crowdcover.session import checkpoint_dir
 
@@ -53,9 +53,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows that are linked, the one with the smallest id stays; a null id is smaller than any
-    other. Rows are told apart by a number of their own, as ids may be null or have several rows."""
+    other. Rows are told apart by a number of their own where ids are null or have several rows."""
     row, component, first = unused(docs, "row", "component", "first")
-    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    numbered = (docs.withColumn(row, F.col("doc_id").cast("long")) if told_apart(docs, "doc_id")
+                else written(docs.withColumn(row, F.monotonically_increasing_id())))
     found = jaccard_join.classes_of(numbered, doc_id=row).select(
         F.col("doc_id").alias(row), F.col("component_id").alias(component))
     rows = written(found.join(numbered.select(row, F.col("doc_id").cast("long").alias("id")), row))
