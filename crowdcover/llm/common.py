@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from crowdcover.session import checkpoint_dir
 
-#: Rows of two or three numbers that a broadcast may have; beyond it both sides are shuffled.
+#: Rows, and bytes of their texts, that a broadcast may have; beyond it both sides are shuffled.
 BROADCAST_ROWS = 300_000
+BROADCAST_BYTES = 32_000_000
 
 #: White space of the word rules: space and \t to \r.
 BLANKS = r"[ \t-\r]+"
@@ -40,9 +41,14 @@ def free_shuffles(df: DataFrame) -> None:
 
 
 def small(table: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A written ``table``, marked for broadcast if a count shows that it has few rows. Without the
-    mark the join shuffles both sides, and adaptive execution splits what is skewed."""
-    return F.broadcast(table) if table.count() <= limit else table
+    """A written ``table``, marked for broadcast if a count shows that it has few rows and their texts are
+    short. Without the mark the join shuffles both sides, and adaptive execution splits what is skewed."""
+    texts = [f.name for f in table.schema if f.dataType.typeName() in ("string", "binary")]
+    if not texts:
+        return F.broadcast(table) if table.count() <= limit else table
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts), F.lit(0).cast("long"))
+    rows, size = table.agg(F.count("*"), F.sum(size)).first()
+    return F.broadcast(table) if rows <= limit and (size or 0) <= BROADCAST_BYTES else table
 
 
 def few_tasks(rows: int) -> int:

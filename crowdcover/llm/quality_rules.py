@@ -1,9 +1,11 @@
 """Quality rules per document, judged together per host.
 
-Each document is measured against plain rules. A host's share of failing documents says more about
-its next document than the document alone, but a host of three pages has a share that means little:
-shares are shrunk towards what hosts are like in general, by a beta prior fitted to all hosts. A host
-whose shrunk share is above a threshold is rejected with all its documents.
+Each document is measured against plain rules. A host's share of documents that fail a rule says more
+about its next document than the document alone, but a host of three pages has a share that means
+little: per rule, shares are shrunk towards what hosts are like in general, by a beta prior fitted to
+all hosts. A host is rejected with all its documents where for some rule the share it is expected to
+have lies above a limit by more than CERTAIN standard deviations of its posterior. Failures are counted
+rule by rule, because hosts that fail one rule often are lost in a count of documents that fail any.
 
 Everything is column work in the JVM. A document is measured where it is read: its words become
 numbers, windows of three words sort as numbers (window hash above, position below), and equal
@@ -12,8 +14,8 @@ is shuffled; hosts are counted with partial aggregates, so one host may hold any
 
 Defined cases: a null or empty text has no words and fails; a null host is no host, and its documents
 stand for themselves; repeated rows count as documents; with no hosts, or hosts that are all alike,
-the prior is the common share with the weight DEFAULT_WEIGHT. Columns named as the output's are
-replaced; others pass through.
+the prior is the common share with the weight DEFAULT_WEIGHT; a share at the limit does not reject.
+Columns named as the output's are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ from crowdcover.llm.common import BLANKS, let, small, unused, written
 MIN_WORDS = 50
 #: Percent of words in repeated windows; symbols per hundred characters; percent of repeated lines.
 MAX_REPEATED, MAX_SYMBOLS, MAX_DUP_LINES = 50, 10, 30
-#: Shrunk share of failing documents above which a host is rejected.
-MAX_SHARE = 0.5
+#: The rules by name, in the order of their counts.
+RULES = ["short", "repeated", "symbols", "dup_lines"]
+#: Share of documents failing one rule that a host may have.
+MAX_SHARE = 0.3
+#: Standard deviations of the posterior by which a host's share lies above MAX_SHARE if it is rejected.
+CERTAIN = 2.0
 #: Documents the prior counts as where hosts don't differ more than chance would have it.
 DEFAULT_WEIGHT = 1000.0
 
@@ -95,7 +101,7 @@ def measures(text: Column) -> Column:
 
 
 def measured(docs: DataFrame, text: str, failed: str = "failed") -> DataFrame:
-    """``docs`` with MEASURES, base_failed, and ``failed``: the document fails any rule."""
+    """``docs`` with MEASURES, base_failed, and ``failed``: per rule of RULES whether it fails."""
     m, = unused(docs, "measures")
     rest = docs.drop(*MEASURES, "base_failed", failed).withColumn(m, measures(F.col(text)))
     out = rest.select(
@@ -104,24 +110,33 @@ def measured(docs: DataFrame, text: str, failed: str = "failed") -> DataFrame:
         F.col(f"{m}.l.n_dup_lines").alias("n_dup_lines"),
         F.col(f"{m}.w.n_repeat_words").alias("n_repeat_words"),
         (100 * F.col(f"{m}.l.n_dup_lines") > MAX_DUP_LINES * F.col(f"{m}.l.n_lines")).alias(failed))
-    return (out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
-                           | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
-            .withColumn(failed, F.col(failed) | F.col("base_failed")
-                        | (100 * F.col("n_symbols") > MAX_SYMBOLS * F.col("word_chars"))))
+    short = F.col("n_words") < MIN_WORDS
+    repeated = 100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")
+    symbols = 100 * F.col("n_symbols") > MAX_SYMBOLS * F.col("word_chars")
+    return out.withColumns({"base_failed": short | repeated,
+                            failed: F.array(short, repeated, symbols, F.col(failed))})
 
 
 def host_rates(docs: DataFrame, host: str) -> DataFrame:
-    """(host, n, failures, rate, shrunk, rejected): one row per host, from the column ``failed``."""
+    """(host, n, failures, shrunk, rejected): one row per host, from the column ``failed``; the last
+    three are arrays in the order of RULES."""
+    rules = range(len(RULES))
+    counts = [f"f{i}" for i in rules]
     hosts = written(docs.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host")).agg(
-        F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failures")))
-    k, n, failures, squares, sizes = hosts.agg(
-        F.count("*"), F.sum("n"), F.sum("failures"),
-        F.sum(F.col("failures") * F.col("failures") / F.col("n")),
-        F.sum(F.col("n").cast("double") * F.col("n"))).first()
-    share, weight = prior(k, n or 0, failures or 0, squares or 0.0, sizes or 0.0)
-    shrunk = (F.col("failures") + share * weight) / (F.col("n") + weight)
-    return written(hosts.withColumns({"rate": F.col("failures") / F.col("n"), "shrunk": shrunk})
-                   .withColumn("rejected", F.col("shrunk") > MAX_SHARE))
+        F.count("*").alias("n"),
+        *[F.sum(F.col("failed")[i].cast("long")).alias(c) for i, c in enumerate(counts)]))
+    k, n, sizes, *sums = hosts.agg(
+        F.count("*"), F.sum("n"), F.sum(F.col("n").cast("double") * F.col("n")), *[F.sum(c) for c in counts],
+        *[F.sum(F.col(c) * F.col(c) / F.col("n")) for c in counts]).first()
+    shrunk, rejected = [], []
+    for i, c in enumerate(counts):
+        share, weight = prior(k, n or 0, sums[i] or 0, sums[i + len(RULES)] or 0.0, sizes or 0.0)
+        total = F.col("n") + weight
+        mean = (F.col(c) + share * weight) / total
+        shrunk.append(mean)
+        rejected.append(mean - CERTAIN * F.sqrt(mean * (1 - mean) / (total + 1)) > MAX_SHARE)
+    return written(hosts.select("host", "n", F.array(*counts).alias("failures"),
+                                F.array(*shrunk).alias("shrunk"), F.array(*rejected).alias("rejected")))
 
 
 def prior(k: int, n: int, failures: int, squares: float, sizes: float) -> tuple[float, float]:
@@ -145,18 +160,21 @@ def prior(k: int, n: int, failures: int, squares: float, sizes: float) -> tuple[
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source",
           carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` of ``docs`` (default all) with the measures, base_failed, host_rate
-    (shrunk, null without a host) and kept. They are written once, with the measures beside them."""
-    docs = docs.drop("host_rate", "kept")
-    failed, rejected = unused(docs, "failed", "rejected")
+    """The columns ``carry`` of ``docs`` (default all) with the measures, base_failed, host_rate (the
+    largest shrunk share over the rules, null without a host), host_rules (names of the rules by which the
+    host is rejected, null without a host) and kept. They are written once, with the measures beside them."""
+    docs = docs.drop("host_rate", "host_rules", "kept")
+    failed, = unused(docs, "failed")
     out = measured(docs, text, failed)
     own = [*MEASURES, "base_failed", failed]
     table = written(out.select(*[c for c in out.columns if c in own or carry is None
                                  or c in carry or c == host]))
     rates = host_rates(table.select(host, F.col(failed).alias("failed")), host)
     key, = unused(table, "host_key")
-    joined = table.join(
-        small(rates.select(F.col("host").alias(key), F.col("shrunk").alias("host_rate"),
-                           F.col("rejected").alias(rejected))), F.col(host) == F.col(key), "left").drop(key)
-    return joined.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(rejected, F.lit(False))
-                             ).drop(rejected, failed)
+    verdicts = written(rates.select(
+        F.col("host").alias(key), F.array_max("shrunk").alias("host_rate"),
+        F.array_compact(F.array(*[F.when(F.col("rejected")[i], F.lit(r)) for i, r in enumerate(RULES)]))
+        .alias("host_rules")))
+    joined = table.join(small(verdicts), F.col(host) == F.col(key), "left").drop(key, failed)
+    return joined.withColumn(
+        "kept", ~F.col("base_failed") & (F.coalesce(F.size("host_rules"), F.lit(0)) == 0))

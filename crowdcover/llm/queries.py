@@ -99,26 +99,33 @@ measured AS (
 judged AS (
     SELECT *, n_words < {quality_rules.MIN_WORDS}
               OR 100 * n_repeat_words > {quality_rules.MAX_REPEATED} * n_words AS base_failed,
-           base_failed OR 100 * n_symbols > {quality_rules.MAX_SYMBOLS} * word_chars
-              OR 100 * n_dup_lines > {quality_rules.MAX_DUP_LINES} * n_lines AS failed
+           [n_words < {quality_rules.MIN_WORDS},
+            100 * n_repeat_words > {quality_rules.MAX_REPEATED} * n_words,
+            100 * n_symbols > {quality_rules.MAX_SYMBOLS} * word_chars,
+            100 * n_dup_lines > {quality_rules.MAX_DUP_LINES} * n_lines] AS failed
     FROM measured),
 hosts AS (
-    SELECT source, count(*)::double AS n, count(*) FILTER (failed)::double AS f
-    FROM judged WHERE source IS NOT NULL GROUP BY source),
+    SELECT source, rule, count(*)::double AS n, count(*) FILTER (failed[rule])::double AS f
+    FROM judged, range(1, {len(quality_rules.RULES)} + 1) AS r(rule) WHERE source IS NOT NULL
+    GROUP BY source, rule),
 sums AS (
-    SELECT count(*)::double AS k, sum(n) AS n, sum(f) / sum(n) AS m, sum(f * f / n) AS squares,
-           sum(n * n) AS sizes FROM hosts),
+    SELECT rule, count(*)::double AS k, sum(n) AS n, sum(f) / sum(n) AS m, sum(f * f / n) AS squares,
+           sum(n * n) AS sizes FROM hosts GROUP BY rule),
 spread AS (
-    SELECT m, CASE WHEN k < 2 OR m * (1 - m) = 0 OR n * n <= sizes OR n <= k THEN NULL ELSE
+    SELECT rule, m, CASE WHEN k < 2 OR m * (1 - m) = 0 OR n * n <= sizes OR n <= k THEN NULL ELSE
         ((squares - m * m * n) / (k - 1) - (m * n - squares) / (n - k))
         / ((squares - m * m * n) / (k - 1)
            + ((n - sizes / n) / (k - 1) - 1) * (m * n - squares) / (n - k)) END AS s FROM sums),
 prior AS (
-    SELECT m, CASE WHEN s IS NULL OR s <= 1 / ({quality_rules.DEFAULT_WEIGHT} + 1)
-                   THEN {quality_rules.DEFAULT_WEIGHT} ELSE 1 / least(s, 0.999) - 1 END AS weight
+    SELECT rule, m, CASE WHEN s IS NULL OR s <= 1 / ({quality_rules.DEFAULT_WEIGHT} + 1)
+                         THEN {quality_rules.DEFAULT_WEIGHT} ELSE 1 / least(s, 0.999) - 1 END AS weight
     FROM spread),
+posterior AS (
+    SELECT source, (f + m * weight) / (n + weight) AS mean, n + weight AS total
+    FROM hosts JOIN prior USING (rule)),
 rejected AS (
-    SELECT source FROM hosts, prior WHERE (f + m * weight) / (n + weight) > {quality_rules.MAX_SHARE})
+    SELECT source FROM posterior
+    WHERE mean - {quality_rules.CERTAIN} * sqrt(mean * (1 - mean) / (total + 1)) > {quality_rules.MAX_SHARE})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(source NOT IN (SELECT source FROM rejected), true) AS kept
 FROM judged

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from functools import lru_cache
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -20,8 +21,9 @@ from tokenizers import Tokenizer
 from crowdcover.llm import (bpe, chat, common, exact_dedup, jaccard_join, line_dedup, packing,
                             quality_rules, toxicity, training_order, url_filter)
 from crowdcover.llm.perfect_hash import PerfectHash, keys_of
-from crowdcover.llm.queries import BYTE_RANKS, TRAIN, WORD_TOKENIZER
+from crowdcover.llm.queries import BYTE_RANKS, OP3, TRAIN, WORD_TOKENIZER, op3_quality_rules
 from crowdcover.llm.words import WordEncoder, word_encoder
+from oracle import compare
 
 WORDS = "the of and a to in is it that was for on are with as at be this have from".split()
 
@@ -205,15 +207,23 @@ def test_quality_rules(spark, docs, empty):
         r = got[doc_id]
         assert tuple(r[c] for c in quality_rules.MEASURES) == m, doc_id
         assert r["base_failed"] == (m[0] < 50 or 100 * m[4] > 50 * m[0])
-        bad = r["base_failed"] or 100 * m[2] > 10 * m[1] or 100 * m[3] > 30 * n_lines
         if host is not None:
-            failed[host] += bad
             n[host] += 1
-    share, weight = quality_rules.prior(
-        len(n), sum(n.values()), sum(failed.values()), sum(failed[h] ** 2 / n[h] for h in n),
-        sum(k * k for k in n.values()))
-    rejected = {h for h in n if (failed[h] + share * weight) / (n[h] + weight) > 0.5}
-    assert "junk" in rejected and len(rejected) < len(n)
+            for rule, bad in zip(quality_rules.RULES, (m[0] < 50, 100 * m[4] > 50 * m[0], 100 * m[2] > 10 * m[1],
+                                                       100 * m[3] > 30 * n_lines)):
+                failed[host, rule] += bad
+    rejected = {}
+    for rule in quality_rules.RULES:
+        share, weight = quality_rules.prior(
+            len(n), sum(n.values()), sum(failed[h, rule] for h in n),
+            sum(failed[h, rule] ** 2 / n[h] for h in n), sum(k * k for k in n.values()))
+        for h in n:
+            mean = (failed[h, rule] + share * weight) / (n[h] + weight)
+            if mean - 2 * (mean * (1 - mean) / (n[h] + weight + 1)) ** 0.5 > 0.3:
+                rejected.setdefault(h, []).append(rule)
+    assert "symbols" in rejected["junk"] and len(rejected) < len(n)
+    for doc_id, _, host in rows:
+        assert got[doc_id]["host_rules"] == (None if host is None else rejected.get(host, []))
     for doc_id, _, host in rows:
         assert got[doc_id]["kept"] == (not got[doc_id]["base_failed"] and host not in rejected)
     assert quality_rules.judge(docs).columns[:3] == ["doc_id", "text", "source"]
@@ -221,6 +231,37 @@ def test_quality_rules(spark, docs, empty):
     assert quality_rules.judge(docs, carry=["doc_id"]).count() == len(odd_docs())
 
 
+def test_bad_hosts_lose_all_documents(spark, tmp_path):
+    """Documents of a given table on planted hosts that fail one rule each: these hosts go as a whole, and a
+    host of two such documents, one with a tenth of them and all others stay; the SQL says the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    part = F.col("doc_id") % 20
+    odd = (F.floor(F.col("doc_id") / 20) % 10)
+    symbols, lines = F.concat(F.lit(" "), F.repeat(F.lit("#|<>"), 9000)), F.repeat(F.lit("\nx"), 60)
+    bad = (docs.withColumn("source", F.when(part == 1, "symbols.example").when(part == 2, "lines.example")
+                           .when(part == 3, "tenth.example").when(F.col("doc_id") == 24, "tiny.example")
+                           .otherwise(F.col("source")))
+           .withColumn("text", F.when((part == 1) & (odd < 8), F.concat("text", symbols))
+                       .when((part == 2) & (odd < 8), F.concat("text", lines))
+                       .when((part == 3) & (odd < 1), F.concat("text", symbols))
+                       .when(F.col("doc_id") == 24, F.concat("text", symbols)).otherwise(F.col("text"))))
+    folder = str(tmp_path)
+    bad.write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    verdict, n, info = compare(spark, con, folder, op3_quality_rules, OP3)
+    assert verdict == "ok" and n == docs.count(), info
+    out = quality_rules.judge(spark.read.parquet(f"{folder}/documents.parquet"), carry=["doc_id"])
+    hosts = {r["source"]: r for r in out.groupBy("source").agg(
+        F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("kept"),
+        F.sum((~F.col("base_failed")).cast("int")).alias("passed"), F.any_value("host_rules").alias("rules")).collect()}
+    assert hosts["symbols.example"]["rules"] == ["symbols"] and hosts["lines.example"]["rules"][-1:] == ["dup_lines"]
+    for name, r in hosts.items():
+        gone = name in ("symbols.example", "lines.example")
+        assert r["passed"] > 0 or name == "tiny.example"
+        assert r["kept"] == (0 if gone else r["passed"]), name
+
+
 def test_prior_shrinks_small_hosts():
     # hosts that differ: a weak prior; hosts that don't: a strong one
     differ = quality_rules.prior(2, 200, 100, 100 ** 2 / 100, 2 * 100 ** 2)
