@@ -11,7 +11,8 @@ records of the same number of bytes:
 1. Every task tokenizes its documents and numbers its ids from 0; this is written as a table, so the
    order of the stream stays as it is if executors are lost.
 2. The number of ids per task, summed up, gives the place of every task's stream.
-3. Every piece of a document goes to the partition of its shard, is sorted there, and appended.
+3. Every piece of a document goes to the task of its range of slots, is sorted there, and appended. Slots
+   are even by construction, so ranges are equal shares without a sample of the pieces.
    A file gets its name only when it is complete; writing it again gives the same bytes.
 
 Records are 16-bit numbers, little-endian; the last sequence is filled up with the end id. The
@@ -182,9 +183,11 @@ def materialise(docs: DataFrame, tokenizer: str, key: int, length: int = 2048, s
         (F.col("at") + F.col("base")).alias("at"), "doc_id", "ids")
     dealt = batches(based, cut, "shard int, slot long, number long, off int, doc_id long, "
                                 "start long, size int, ids binary")
-    tasks = max(1, min(layout.shards, max(layout.shards // 4,
-                                          spark.sparkContext.defaultParallelism)))
-    index = batches(dealt.repartition(tasks, "shard").sortWithinPartitions("slot", "off"),
+    # slots are spread evenly, so equal ranges of shards are equal shares, and nothing need be sampled
+    tasks = max(1, min(layout.shards, max(layout.shards // 4, spark.sparkContext.defaultParallelism)))
+    spread = dealt.repartitionById(tasks, F.expr(f"CAST(CAST(shard AS bigint) * {tasks} DIV "
+                                                 f"{max(1, layout.shards)} AS int)"))
+    index = batches(spread.sortWithinPartitions("slot", "off"),
                     _writer(layout), "slot long, number long, shard int, at_byte long, "
                     "doc_ids array<long>, starts array<long>, lengths array<int>, ids_crc32 long")
     return layout, written(index)
@@ -215,7 +218,13 @@ def _writer(layout: Layout):
 
         def close_file() -> None:
             out.close()
-            store.move(f"{root}/_{shard_name(name)}.{task}", f"{root}/{shard_name(name)}")
+            mine, whole = f"{root}/_{shard_name(name)}.{task}", f"{root}/{shard_name(name)}"
+            try:
+                store.move(mine, whole)
+            except OSError:  # a task that ran before left the same file, and this store keeps what is there
+                if store.get_file_info(whole).size != store.get_file_info(mine).size:
+                    raise
+                store.delete_file(mine)
 
         def table() -> pa.RecordBatch:
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()),
