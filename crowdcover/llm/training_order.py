@@ -11,8 +11,8 @@ records of the same number of bytes:
 1. Every task tokenizes its documents and numbers its ids from 0; this is written as a table, so the
    order of the stream stays as it is if executors are lost.
 2. The number of ids per task, summed up, gives the place of every task's stream.
-3. Every piece of a document goes to the task of its range of slots, is sorted there, and appended. Slots
-   are even by construction, so ranges are equal shares without a sample of the pieces.
+3. Every piece of a document goes to the task of its range of slots, is sorted there, and appended.
+   Slots are even by construction, so ranges are equal shares without a sample of the pieces.
    A file gets its name only when it is complete; writing it again gives the same bytes.
 
 Records are 16-bit numbers, little-endian; the last sequence is filled up with the end id. The
