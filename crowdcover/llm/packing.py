@@ -71,8 +71,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, doc_id:
         kinds = [pa.int64()] * 5 + [pa.int32(), pa.int32(), pa.int64()]
         for batch in rows:
             out: list[tuple] = []
-            for key, doc in zip(batch[0].to_pylist(), as_texts(batch[1])):
-                ids = encoder.encode(doc) + end
+            for key, coded in zip(batch[0].to_pylist(), encoder.encode_all(as_texts(batch[1]))):
+                ids = coded + end
                 n, at = len(ids) // 4, 0
                 for length in cuts(n, capacity):
                     k = capacity // length

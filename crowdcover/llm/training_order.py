@@ -116,8 +116,8 @@ def streams(docs: DataFrame, tokenizer: str, end_id: int, doc_id: str, text: str
         press = zstandard.ZstdCompressor(level=3, write_content_size=True, write_checksum=False)
         for batch in rows:
             ats, sizes, packed = [], [], []
-            for doc in as_texts(batch[1]):
-                ids = np.frombuffer(encoder.encode(doc) + end_id.to_bytes(4, "little"), "<u4")
+            for coded in encoder.encode_all(as_texts(batch[1])):
+                ids = np.frombuffer(coded + end_id.to_bytes(4, "little"), "<u4")
                 if int(ids.max()) > 0xFFFF:
                     raise ValueError("an id does not fit 16 bits")
                 ats.append(at)

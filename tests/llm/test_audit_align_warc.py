@@ -19,30 +19,27 @@ from tokenizers import Tokenizer
 
 from crowdcover.llm import align, filter_audit, warc
 from crowdcover.llm.queries import BYTE_TOKENIZER, PIECE_MODEL
-from crowdcover.llm.words import Recent, Remembered
+from crowdcover.llm.words import Recent
 from test_operators import odd_docs, prose
 
 
 # what workers remember
 
 def test_memory_forgets_what_is_not_met():
-    made = []
-    memory = Remembered(lambda c: made.append(c) or c.encode(), room=3)
-    for c in "abcabcdabca":
-        assert memory[c] == c.encode()
-    assert made == list("abcd")  # the older generation is still there
-    for c in "efghijk":
-        memory[c]
-    memory["a"]
-    assert made.count("a") == 2 and len(memory) <= 3 and len(memory.older) <= 3
-    long = "x" * 1000
-    assert memory[long] and long not in memory
     recent = Recent(room=2)
     for words in (["a", "b", "c"], ["a", "d"], ["e", "f", "g"], ["a"]):
         new = recent.missing([words])
         got = {c: c * 2 for c in new}
         assert recent.of(words, got) == [c * 2 for c in words]
         recent.add(got)
+    recent = Recent(room=3)
+    made = []
+    for c in "abcabcdabca" + "efghijk" + "a":
+        new = recent.missing([[c]])
+        made += new
+        recent.add({x: x for x in new})
+    assert made.count("a") == 2 and made.count("b") == 1  # forgotten once, not while in use
+    assert len(recent.now) <= 3 and len(recent.older) <= 4
 
 
 # 11 filter audit

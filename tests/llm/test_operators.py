@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from crowdcover.llm import (bpe, chat, common, exact_dedup, jaccard_join, line_dedup, packing,
-                            quality_rules, toxicity, training_order, url_filter)
+                            quality_rules, toxicity, training_order, url_filter, words)
 from crowdcover.llm.perfect_hash import PerfectHash, keys_of
 from crowdcover.llm.queries import BYTE_RANKS, OP3, TRAIN, WORD_TOKENIZER, op3_quality_rules
 from crowdcover.llm.words import WordEncoder, word_encoder
@@ -643,7 +643,22 @@ def test_long_chunks_are_not_remembered():
     for text in [*long, " ".join(long) + " short", "y" * 40]:
         for _ in range(2):
             assert np.frombuffer(encoder.encode(text), "<u4").tolist() == word_ids(text)
-    assert max(map(len, encoder.known)) == 40
+    assert max(map(len, encoder.known.now)) == 40
+
+
+def test_texts_encoded_together(monkeypatch):
+    """Blocks of texts give what every text gives alone; special tokens in capitals are no special tokens."""
+    monkeypatch.setattr(words, "TOGETHER", 50)
+    monkeypatch.setattr(words, "AT_ONCE", 3)
+    rng = random.Random(6)
+    signs = [*"aAbZ019'’.,;- \n\t\x0b\x85\xa0éÉßİıς日本\u0301½Ⅷ<|", "'s", " the ", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(2000)]
+    texts += ["a <|ENDOFTEXT|> B", "", " ", "x" * 200, "long " * 5000]
+    encoder = WordEncoder(WORD_TOKENIZER)
+    encoder.known.room = 100
+    for text, ids in zip(texts, encoder.encode_all(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == word_ids(text), text[:80]
+    assert len(encoder.known.now) <= 100 and list(encoder.encode_all([])) == []
 
 
 def test_no_remembering_is_the_same(monkeypatch):
