@@ -71,7 +71,7 @@ def count(classes: DataFrame, population: DataFrame, slots: Sequence[Slot], *, k
     classes = classes.select(key, *[s.name for s in slots]).withColumn(
         "_pattern", sum((F.col(s.name).isNotNull().cast("int") * F.lit(1 << i)
                          for i, s in enumerate(slots)), F.lit(0)))
-    facts = _facts(classes, slots)
+    facts = _facts(classes, slots, unknown_matches)
     if not facts["patterns"]:
         empty = population.select(*by).limit(0)
         return classes.limit(0).select(key).join(empty, F.lit(False)).withColumn(
@@ -94,8 +94,8 @@ def count(classes: DataFrame, population: DataFrame, slots: Sequence[Slot], *, k
         wanted = _in_blocks(wanted, cut, unknown_matches, levels)
     else:
         cut = []
-        if facts["exploded"] <= BROADCAST_ROWS:
-            wanted = F.broadcast(wanted)
+    # the planner sizes these rows by the few classes they are made of, so it is told what to do
+    wanted = wanted.hint("broadcast" if not cut and facts["exploded"] <= BROADCAST_ROWS else "merge")
     on = F.col("p._pattern") == F.col("w._pattern")
     for i, s in enumerate(slots):
         if not s.numeric:
@@ -119,12 +119,15 @@ def _most_per_key(wanted: DataFrame, slots) -> int:
     return wanted.groupBy("_pattern", *keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def _facts(classes: DataFrame, slots) -> dict:
-    """What the classes look like, in one pass: patterns, spans, and sizes to decide on."""
+def _facts(classes: DataFrame, slots, unknown_matches: bool = False) -> dict:
+    """What the classes look like, in one pass: patterns, spans, and sizes to decide on. ``exploded``:
+    the rows of :func:`_wanted`."""
+    more = 1.0 if unknown_matches else 0.0
     cats = [s for s in slots if not s.numeric]
     exploded = F.lit(1).cast("double")
     for s in cats:
-        exploded = exploded * F.coalesce(F.size(F.col(s.name)["vals"]).cast("double"), F.lit(1.0))
+        exploded = exploded * F.when(F.col(s.name).isNull(), 1.0).otherwise(
+            F.coalesce(F.size(F.col(s.name)["vals"]).cast("double"), F.lit(0.0)) + more)
     aggs = [F.collect_set("_pattern").alias("patterns"),
             F.coalesce(F.sum(exploded), F.lit(0.0)).alias("exploded")]
     for i, s in enumerate(slots):
