@@ -180,3 +180,39 @@ def test_periods_inside_and_between_days(spark):
         assert got[t].period == (t >= switch) and got[t].zomer == (t >= switch)
         assert got[t].bij_wissel == (abs((t - switch).total_seconds() + 1) <= 24 * 3600)
     assert [(got[t].period, got[t].zomer) for t in gap] == [(1, True), (1, True), (2, False), (2, False)]
+
+
+def test_parts_and_blocks_change_nothing(spark, monkeypatch):
+    """Many small parts of entities and blocks of candidates, shifts as candidates, and groups that meet."""
+    monkeypatch.setattr(matching, "PART_ROWS", 30)
+    own, cands = world(random.Random(7), 9, 24 * 9 + 5, 0.1)
+    moved = {(s, *c): {h - s: x for h, x in v.items() if h != 40} for c, v in cands.items() for s in (0, 1, -2)}
+    counted = {(s,): {h - s: 1.0 for h in range(24 * 9 + 5) if h != 40} for s in (0, 1, -2)}
+    entities = frame(spark, own, ["id"], "v").withColumn("soort", F.col("id") % 2)
+    candidates = frame(spark, moved, ["shift", "cand"], "x").withColumn(
+        "soort", F.substring("cand", 2, 2).cast("bigint") % 2)
+    for order, trim in (("rms", matching.TRIM), ("aandeel", matching.TRIM), ("rms", 0.0)):
+        got = matching.nearest(entities, candidates, of=["id"], among=["shift", "cand"], within=["id", "shift"],
+                               counted=frame(spark, counted, ["shift"], "v").drop("v"), meet=["soort"], order=order,
+                               least=100, trim=trim).collect()
+        seen = {}
+        for r in got:
+            seen.setdefault((r.id, r["shift"]), []).append(r)
+        assert len(seen) == 24
+        for (e, s), rows in seen.items():
+            v = {h: x for h, x in own[(e,)].items() if h + s in range(24 * 9 + 5) and h + s != 40}
+            want = {c: plain_distance(v, moved[(s, c)], trim) for (c,) in cands if int(c[1:]) % 2 == e % 2}
+            value = (lambda w: w[0]) if order == "rms" else (lambda w: -w[1])
+            last = sorted(map(value, want.values()))[1]
+            assert {r.cand for r in rows} == {c for c, w in want.items() if value(w) <= last + 1e-12}
+            for r in rows:
+                assert (r.rms, r.aandeel) == pytest.approx(want[r.cand]) and r.uren == len(v)
+
+
+def test_aligned_series_are_rows_of_days(spark):
+    """An hour of an entity is never a row of its own in a table that is written."""
+    rng = random.Random(2)
+    ref = {(s,): {h: round(rng.gauss(8, 4), 1) for h in range(24 * 20)} for s, _, _ in STATIONS}
+    aligned, _ = trace.align(frame(spark, {("a",): ref[("B",)], ("b",): ref[("C",)]}, ["id"], "v"),
+                             frame(spark, ref, ["station"], "T"))
+    assert aligned.count() == 40 and {r.uren for r in aligned.select("uren").collect()} == {480}
