@@ -39,22 +39,24 @@ def numeric_columns(df: DataFrame, columns: Sequence[str]) -> set[str]:
     return {c for i, c in enumerate(columns) if row[f"n{i}"] and row[f"x{i}"] / row[f"n{i}"] >= 0.9}
 
 
-HASH_BITS, HASH_PARTS = 52, 4096
+#: Hexadecimal digits of a hash, and those of them that number its part: one of 4096.
+HASH_DIGITS, PART_DIGITS = 13, 3
 
 
 def _hash(seed: int, draw: Column, rid: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws(
-        "|", F.lit(str(seed)), draw.cast("string"), rid.cast("string"))), 1, 13), 16, 10).cast("bigint")
+    """The hash of a record in a draw, as a text: texts of one length are in the order of their numbers."""
+    return F.substring(F.md5(F.concat_ws(
+        "|", F.lit(str(seed)), draw.cast("string"), rid.cast("string"))), 1, HASH_DIGITS)
 
 
-def omission_limits(ids: DataFrame, left_out: int, draws: int, seed: int) -> list[int]:
+def omission_limits(ids: DataFrame, left_out: int, draws: int, seed: int) -> list[str]:
     """Per draw the hash up to which records are left out, so that ``left_out`` of them are.
 
     Hashes are counted in equal parts first; only the part in which the last one falls is
     ranked, which holds one in 4096 of the records of a draw. One number per draw comes back."""
     each = ids.select("_rid", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     each = each.withColumn("h", _hash(seed, F.col("draw"), F.col("_rid")))
-    each = each.withColumn("part", F.shiftright("h", HASH_BITS - 12))
+    each = each.withColumn("part", F.substring("h", 1, PART_DIGITS))
     counts = each.groupBy("draw", "part").agg(F.count(F.lit(1)).alias("n"))
     # at most 4096 rows per draw
     before = Window.partitionBy("draw").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -86,25 +88,29 @@ def shift(df: DataFrame, kept: str, columns: Sequence[str], *, record: str = "re
     draws = draws if 0 < total - keptn < total else 0
     out_of = F.when(F.col(kept), F.array().cast("array<int>")).otherwise(F.array(F.lit(-1)))
     if draws:
-        limits = F.lit(np.array(omission_limits(df.select(F.col(record).alias("_rid")),
-                                                total - keptn, draws, seed), dtype="int64"))
+        limits = F.lit(omission_limits(df.select(F.col(record).alias("_rid")), total - keptn, draws, seed))
         out_of = F.concat(out_of, F.filter(
             F.sequence(F.lit(0), F.lit(draws - 1)),
             lambda i: _hash(seed, i, F.col(record)) <= F.get(limits, i)))
     every = F.explode(F.lit(list(range(-1, draws)))).alias("draw")
+    # one row per column, draw and category: hashes are made once for all columns
+    text = [F.col(f"`{c}`").cast("string") for c in columns]
+    cells = F.array(*[F.struct(
+        F.lit(c).alias("kolom"), (F.lit(None).cast("string") if c in numbers else F.coalesce(t, F.lit(EMPTY))).alias("x"),
+        (t.try_cast("double") if c in numbers else F.lit(None).cast("double")).alias("v"))
+        for c, t in zip(columns, text)])
+    gone = df.select(out_of.alias("_d"), cells.alias("_c")).select("_d", F.explode("_c").alias("c")).select(
+        F.explode("_d").alias("draw"), "c.*").groupBy("kolom", "draw", "x").agg(
+            F.sum("v").alias("_gs"), F.count("v").alias("_gv"), F.count(F.lit(1)).alias("_gn"))
+    gone = cut(gone)
+    whole = df.select(F.explode(cells).alias("c")).select("c.*")
     parts = []
-    for names, measure, value in (
-            (num, "SMD", lambda c: F.col(f"`{c}`").cast("string").try_cast("double")),
-            (cat, "TVD", lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(EMPTY)))):
-        if not names:
-            continue
-        cells = F.explode(F.array(*[F.struct(F.lit(c).alias("kolom"), value(c).alias("x"))
-                                    for c in names]))
-        whole = df.select(cells.alias("v")).select("v.*")
-        gone = df.select(out_of.alias("_d"), cells.alias("v")).select(
-            F.explode("_d").alias("draw"), "v.*")
-        parts.append(_smd(whole, gone, every) if measure == "SMD"
-                     else _tvd(whole, gone, every, total, keptn))
+    if num:
+        parts.append(_smd(whole.where("x is null").select("kolom", F.col("v").alias("x")),
+                          gone.where("x is null").select("kolom", "draw", "_gs", F.col("_gv").alias("_gn")), every))
+    if cat:
+        parts.append(_tvd(whole.where("x is not null").select("kolom", "x"),
+                          gone.where("x is not null").select("kolom", "draw", "x", "_gn"), every, total, keptn))
     out = parts[0]
     for other in parts[1:]:
         out = out.unionByName(other)
@@ -124,8 +130,7 @@ def shift(df: DataFrame, kept: str, columns: Sequence[str], *, record: str = "re
 def _smd(whole: DataFrame, gone: DataFrame, every: Column) -> DataFrame:
     base = whole.groupBy("kolom").agg(F.sum("x").alias("_s"), F.count("x").alias("_n"),
                                       F.stddev_pop("x").alias("_sd")).select("*", every)
-    per_draw = gone.groupBy("kolom", "draw").agg(F.sum("x").alias("_gs"), F.count("x").alias("_gn"))
-    j = base.join(per_draw, ["kolom", "draw"], "left").fillna(0, ["_gs", "_gn"])
+    j = base.join(gone, ["kolom", "draw"], "left").fillna(0, ["_gs", "_gn"])
     left = F.col("_n") - F.col("_gn")
     smd = F.when((left > 0) & (F.col("_sd") > 0), (
         (F.col("_s") - F.col("_gs")) / left - F.col("_s") / F.col("_n")) / F.col("_sd")).otherwise(0.0)
@@ -134,8 +139,7 @@ def _smd(whole: DataFrame, gone: DataFrame, every: Column) -> DataFrame:
 
 def _tvd(whole: DataFrame, gone: DataFrame, every: Column, total: int, keptn: int) -> DataFrame:
     base = whole.groupBy("kolom", "x").agg(F.count(F.lit(1)).alias("_n")).select("*", every)
-    per_draw = gone.groupBy("kolom", "draw", "x").agg(F.count(F.lit(1)).alias("_gn"))
-    j = base.join(per_draw, ["kolom", "draw", "x"], "left").fillna(0, ["_gn"])
+    j = base.join(gone, ["kolom", "draw", "x"], "left").fillna(0, ["_gn"])
     part = (F.col("_n") - F.col("_gn")) / F.lit(float(max(keptn, 1)))
     return j.groupBy("kolom", "draw").agg((F.sum(F.abs(
         F.col("_n") / F.lit(float(total)) - part)) * 0.5).alias("size")).select(

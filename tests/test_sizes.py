@@ -1,8 +1,10 @@
 """What travels to every executor, and how large an intermediate table is, at any size of the input."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from crowdcover.operators import kmap
+from crowdcover.operators import kmap, represent
 
 SET = "struct<lo:double,hi:double,vals:array<string>>"
 
@@ -22,3 +24,12 @@ def test_classes_in_blocks_are_not_broadcast(spark):
     want = {str(i): sum((x is None or i <= x <= i + 9) and y in (None, "a", "b") for x, y in have) for i in range(40)}
     want["z"] = sum(y in (None, "b") for _, y in have)
     assert {r._key: r.n for r in n.collect()} == want
+
+
+def test_omissions_are_ranked_by_text(spark):
+    """Hashes are compared as they are made; no number is made of each."""
+    ids = [str(i) for i in range(300)]
+    limits = represent.omission_limits(spark.createDataFrame([(i,) for i in ids], "_rid string"), 70, 5, 3)
+    for draw, limit in enumerate(limits):
+        made = sorted(hashlib.md5(f"3|{draw}|{i}".encode()).hexdigest()[:13] for i in ids)
+        assert limit == made[69]
