@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import count_le, uniform
+from ..functions.numbers import count_le, uniform_of
 from ..session import cut, keep
 from .ordering import quantiles, running_totals
 from .population import Population
@@ -246,6 +246,22 @@ def compare_categories(df: DataFrame, population: Population, features: Sequence
                       F.round("toeval", 3).alias("toeval"))
 
 
+def _picks(records: DataFrame, draws: int, seed: int) -> DataFrame:
+    """A uniform number ``u`` per row of ``records`` (``kenmerk``, ``_rid``) and draw. The texts of a
+    record are made before its rows are multiplied."""
+    texts = records.select("kenmerk", F.concat_ws("|", F.lit(str(seed)), "kenmerk").alias("_head"), F.coalesce(
+        F.concat(F.lit("|"), F.col("_rid").cast("string")), F.lit("")).alias("_tail"))
+    each = texts.select("*", F.posexplode(F.lit([f"|{i}" for i in range(draws)])).alias("draw", "_draw"))
+    # never null, and the planner must know: its test for nulls would make every hash a second time
+    u = F.coalesce(uniform_of(F.concat("_head", "_draw", "_tail")), F.lit(0.0))
+    return each.select("kenmerk", "draw", u.alias("u"))
+
+
+def _slot(x: Column) -> Column:
+    """The whole part of a number made from a draw, as a key to join on; never null, as the draw."""
+    return F.coalesce(F.floor(x).cast("int"), F.lit(0))
+
+
 def draw_categories(counts: DataFrame, records: DataFrame, draws: int, seed: int) -> DataFrame:
     """Random samples from the population shares, one number per record (a row of ``records``:
     ``kenmerk``, ``_rid``) and draw: how often each category comes up per draw.
@@ -262,10 +278,7 @@ def draw_categories(counts: DataFrame, records: DataFrame, draws: int, seed: int
     slots = ends.withColumn("slot", F.explode(F.sequence(
         F.floor(F.col("a") * 1024).cast("int"),
         F.least(F.floor(F.col("b") * 1024).cast("int"), F.lit(1023)))))
-    picks = records.select("kenmerk", "_rid", F.explode(
-        F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    picks = picks.withColumn("u", uniform(seed, F.col("kenmerk"), F.col("draw"), F.col("_rid")))
-    picks = picks.withColumn("slot", F.floor(F.col("u") * 1024).cast("int"))
+    picks = _picks(records, draws, seed).withColumn("slot", _slot(F.col("u") * 1024))
     hit = (F.col("u") >= F.col("a")) & (F.col("u") < F.col("b"))
     return (picks.join(slots, ["kenmerk", "slot"]).where(hit)
             .groupBy("kenmerk", "draw", "klasse").agg(F.count(F.lit(1)).alias("c")))
@@ -301,17 +314,37 @@ def chance_percentile(df: DataFrame, population: Population, features: Sequence[
 def population_numbers(population: Population, columns: Sequence[str], n: int = QUANTILES
                        ) -> tuple[DataFrame, DataFrame]:
     """Moments ``(kenmerk, n, mu, sd)`` and ``n`` interpolated quantiles ``(kenmerk, p, q)``."""
-    cells = _number_cells(population.rows(), [(c, c) for c in columns])
-    moments = cells.groupBy("kenmerk").agg(F.count("x").alias("n"), F.avg("x").alias("mu"),
-                                           F.stddev_pop("x").alias("sd"))
-    return moments, quantiles(cells, "x", _grid(n), by=["kenmerk"])
+    counts = cut(_value_counts(_number_cells(population.rows(), [(c, c) for c in columns])))
+    return _moments(counts), quantiles(counts, "x", _grid(n), by=["kenmerk"], weight=F.col("_n"))
+
+
+def _value_counts(cells: DataFrame) -> DataFrame:
+    """How often every value of ``(kenmerk, x)`` occurs, unknown ones too: ``(kenmerk, x, _n)``."""
+    return cells.groupBy("kenmerk", "x").agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _moments(counts: DataFrame) -> DataFrame:
+    """``(kenmerk, n, mu, sd)`` from counted values, which are read twice: the deviations are taken
+    from the mean itself, and are zero where all values are equal."""
+    n = F.sum(F.when(F.col("x").isNotNull(), F.col("_n")))
+    mean = F.when(F.min("x") == F.max("x"), F.min("x")).otherwise(F.sum(F.col("x") * F.col("_n")) / n)
+    base = counts.groupBy("kenmerk").agg(F.coalesce(n, F.lit(0)).alias("n"), mean.alias("mu"))
+    # one row per feature: safe to broadcast
+    off = F.col("x") - F.col("mu")
+    return counts.join(F.broadcast(base), "kenmerk").groupBy("kenmerk").agg(
+        F.max("n").alias("n"), F.max("mu").alias("mu"), F.sqrt(F.sum(off * off * F.col("_n")) / n).alias("sd"))
 
 
 def wasserstein(one: DataFrame, other: DataFrame) -> DataFrame:
     """``(kenmerk, w)``: the exact distance between two sets of numbers ``(kenmerk, x)``: the area between
     their distribution functions, from one running count over the values of both."""
-    values = one.select("kenmerk", "x", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
-        other.select("kenmerk", "x", F.lit(0).alias("a"), F.lit(1).alias("b"))).where("x is not null")
+    return _distance(_value_counts(one), _value_counts(other))
+
+
+def _distance(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The distance of :func:`wasserstein` from counted values."""
+    values = one.select("kenmerk", "x", F.col("_n").alias("a"), F.lit(0).alias("b")).unionByName(
+        other.select("kenmerk", "x", F.lit(0).alias("a"), F.col("_n").alias("b"))).where("x is not null")
     counts = cut(values.groupBy("kenmerk", "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
     totals = counts.groupBy("kenmerk").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     run = running_totals(counts, "x", {"ca": F.col("a"), "cb": F.col("b")}, by=["kenmerk"], following="volgende")
@@ -327,8 +360,14 @@ def _grid(n: int) -> list[float]:
 def _number_cells(df: DataFrame, columns: Sequence[tuple[str, str]], record: str | None = None
                   ) -> DataFrame:
     rid = [F.col(record).alias("_rid")] if record else []
+
+    def number(c):
+        # a text has the same number as these types, and is longer in the making
+        plain = df.select(c).schema[0].dataType.typeName() in ("byte", "short", "integer", "long", "double")
+        return F.col(c).cast("double") if plain else F.col(c).cast("string").try_cast("double")
+
     return df.select(*rid, F.explode(F.array(*[
-        F.struct(F.lit(name).alias("kenmerk"), F.col(c).cast("string").try_cast("double").alias("x"))
+        F.struct(F.lit(name).alias("kenmerk"), number(c).alias("x"))
         for name, c in columns])).alias("v")).select(*(["_rid"] if record else []), "v.*")
 
 
@@ -337,17 +376,17 @@ def compare_numbers(df: DataFrame, population: Population, features: Sequence[Fe
                     n_quantiles: int = QUANTILES) -> DataFrame:
     """SMD and Wasserstein distance (in population standard deviations) per numeric feature, and
     the share of random samples from the population whose mean is off at least as much."""
-    cols = [f.column for f in features]
-    moments, pop_q = population_numbers(population, cols, n_quantiles)
-    moments, pop_q = cut(moments), cut(pop_q)
+    counts = cut(_value_counts(_number_cells(population.rows(), [(f.column, f.column) for f in features])))
+    moments = cut(_moments(counts))
     cells = keep(_number_cells(df, [(f.column, f.source or f.column) for f in features], record))
     mine = cells.groupBy("kenmerk").agg(F.count("x").alias("dn"), F.avg("x").alias("dmu"))
-    wass = wasserstein(_number_cells(population.rows(), [(c, c) for c in cols]), cells.select("kenmerk", "x"))
+    wass = _distance(counts, _value_counts(cells))
     row = moments.join(mine, "kenmerk").join(wass, "kenmerk", "left")
     usable = (F.col("dn") > 0) & (F.col("sd") > 0)
     row = row.withColumn("smd", F.when(usable, (F.col("dmu") - F.col("mu")) / F.col("sd")))
     row = row.withColumn("wasserstein", F.when(usable, F.col("w") / F.col("sd")))
     if draws:
+        pop_q = cut(quantiles(counts, "x", _grid(n_quantiles), by=["kenmerk"], weight=F.col("_n")))
         sampled = _sampled_means(cells.where("x is not null"), pop_q, draws, seed, n_quantiles)
         chance = sampled.join(row.select("kenmerk", "mu", "sd", "smd"), "kenmerk").groupBy(
             "kenmerk").agg(F.avg((F.abs((F.col("m") - F.col("mu")) / F.col("sd"))
@@ -371,10 +410,8 @@ def _sampled_means(cells: DataFrame, pop_q: DataFrame, draws: int, seed: int, n:
     nxt = inverse.select("kenmerk", (F.col("i") - 1).alias("i"), F.col("q").alias("q2"))
     low = inverse.where("i = 0").select("kenmerk", F.lit(-1).alias("i"), "q", F.col("q").alias("q2"))
     table = inverse.join(nxt, ["kenmerk", "i"], "left").unionByName(low)
-    picks = cells.select("kenmerk", "_rid", F.explode(
-        F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    pos = uniform(seed, F.col("kenmerk"), F.col("draw"), F.col("_rid")) * n - 0.5
-    picks = picks.withColumn("pos", pos).withColumn("i", F.floor("pos").cast("int"))
+    picks = _picks(cells, draws, seed).withColumn("pos", F.col("u") * n - 0.5)
+    picks = picks.withColumn("i", _slot(F.col("pos")))
     x = F.col("q") + (F.coalesce("q2", "q") - F.col("q")) * (F.col("pos") - F.col("i"))
     # the table has n + 1 rows per feature: safe to broadcast
     return picks.join(F.broadcast(table), ["kenmerk", "i"]).groupBy("kenmerk", "draw").agg(
